@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import html_text, shared, token_counts, warc
+from strandline.llm import decontam, html_text, shared, token_counts, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(token_counts.length_histogram(docs))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (shared.table(spark, sf_dir, x) for x in ("documents", "benchmark"))
+    return decontam.decontaminated(docs, benchmark).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(shared.table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_token_counts, op8_html_text)}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_token_counts, op5_decontam, op8_html_text)}
 
 SQL = {
     "op2_warc": """
@@ -38,4 +45,26 @@ SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM g""",
+    "op5_decontam": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (
+            SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+            FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+                  FROM (SELECT *, least(13, len(w)) AS m FROM b WHERE len(w) > 0))),
+        ms AS (SELECT DISTINCT m FROM bw),
+        dw AS (
+            SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+            FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, ms)),
+        f AS (SELECT doc_id, item_id, m, i FROM dw JOIN bw USING (m, g)),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM f) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM f) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
