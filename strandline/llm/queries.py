@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html_text, shared, token_counts, warc
+from strandline.llm import decontam, html_text, neardup, shared, token_counts, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(shared.table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_token_counts, op5_decontam, op8_html_text)}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(shared.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op4_token_counts, op5_decontam, op8_html_text, op10_neardup)}
 
 SQL = {
     "op2_warc": """
@@ -67,4 +71,20 @@ SQL = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op10_neardup": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+            FROM t WHERE len(w) > 0),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+              FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c WHERE 100 * common >= 75 * (na + nb - common)),
+        u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a),
+        m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+        SELECT t.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, component_id, t.doc_id = component_id AS kept
+        FROM t JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)""",
 }
