@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html_text, neardup, shared, token_counts, warc
+from strandline.llm import decontam, html_text, lm, neardup, shared, token_counts, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +33,16 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(shared.table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    return lm.scored(docs, held_out=shared.crc_mod(F.col("doc_id"), 5) == 1)
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_token_counts, op5_decontam, op8_html_text, op10_neardup)}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_token_counts, op5_decontam, op8_html_text, op9_lm, op10_neardup)}
 
 SQL = {
     "op2_warc": """
