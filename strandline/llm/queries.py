@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html_text, lm, neardup, shared, token_counts, warc
+from strandline.llm import decontam, html_text, lm, neardup, pieces, shared, token_counts, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encoded(docs).select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", "lossless")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     return token_counts.with_suffix_sums(token_counts.length_histogram(docs))
@@ -42,7 +47,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_token_counts, op5_decontam, op8_html_text, op9_lm, op10_neardup)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_pieces, op4_token_counts, op5_decontam, op8_html_text, op9_lm, op10_neardup)}
 
 SQL = {
     "op2_warc": """
