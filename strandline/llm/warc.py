@@ -11,8 +11,7 @@ revisits to their originals.
 
 Defined results: a null payload is an empty one; a null url is written as
 "about:blank"; of rows that repeat the largest id all are responses; a row
-without an id revisits the response if one with an id exists, else it is a
-response. An empty table gives no records.
+without an id is a response. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -47,12 +46,13 @@ def revisits(headers: DataFrame, least_bytes: int) -> DataFrame:
     originals = (
         large.groupBy("payload_digest")
         .agg(F.max("id").alias("refers_to"), F.count("*").alias("n"))
-        .where("n > 1 and refers_to is not null")
+        .where("n > 1")
     )
     return (
         large.join(originals, "payload_digest")
-        .where(~F.col("id").eqNullSafe(F.col("refers_to")))
-        .select("id", "payload_digest", "refers_to")
+        .where("id <> refers_to")
+        .select("id", F.col("payload_digest").alias("digest"), "refers_to")
+        .distinct()
     )
 
 
@@ -92,18 +92,14 @@ def write_archives(
     headers = payload_headers(pages, id_col, html_col)
     total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).repartition(
-        max(1, -(-total // file_bytes)), "id"
-    )
-    again = revisits(headers, least_bytes).select(
-        F.col("id").alias("again_id"), F.col("payload_digest").alias("again_digest"), "refers_to"
-    ).distinct()
-    digest = F.sha1(F.encode("payload", "UTF-8"))
-    size = F.octet_length("payload")
-    rows = own.join(again, F.col("id").eqNullSafe(F.col("again_id")) & (digest == F.col("again_digest")), "left")
-    rows.select(record(F.col("url"), F.col("id"), F.col("payload"), size, digest, F.col("refers_to"))).write.option(
-        "lineSep", END
-    ).option("compression", "gzip").text(path)
+    # payloads move once: the join keeps the partitions that set the files' size
+    own = pages.select(
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(F.encode(payload, "UTF-8")).alias("digest")
+    ).repartition(max(1, -(-total // file_bytes)), "id", "digest")
+    rows = own.join(revisits(headers, least_bytes), ["id", "digest"], "left")
+    rows.select(
+        record(F.col("url"), F.col("id"), F.col("payload"), F.octet_length("payload"), F.col("digest"), F.col("refers_to"))
+    ).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
