@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html_text, lm, neardup, pieces, quality, shared, token_counts, warc
+from strandline.llm import decontam, html_text, langid, lm, neardup, pieces, quality, shared, token_counts, warc
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.both_tables(spark, shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (shared.table(spark, sf_dir, x) for x in ("documents", "labels"))
     held_out = shared.crc_mod(F.col("doc_id"), 4) == 2
@@ -53,7 +57,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_pieces, op4_token_counts, op5_decontam, op7_quality, op8_html_text, op9_lm, op10_neardup)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_pieces, op4_token_counts, op5_decontam, op6_langid, op7_quality, op8_html_text, op9_lm, op10_neardup)}
 
 SQL = {
     "op2_warc": """

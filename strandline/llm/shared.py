@@ -49,3 +49,15 @@ def ascii_lower(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
+
+
+#: Rows of ids and hashes (16 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 400_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text are in gone (doc_id, text_hash); shuffles texts only if those are many."""
+    gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
