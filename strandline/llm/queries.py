@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html_text, langid, lm, neardup, pieces, quality, shared, token_counts, warc
+from strandline.llm import ann, decontam, html_text, langid, lm, neardup, pieces, quality, shared, token_counts, warc
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shared.table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, F.col("id") % 50 == 0, k=5).withColumnRenamed("id", "vec_id")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_pieces, op4_token_counts, op5_decontam, op6_langid, op7_quality, op8_html_text, op9_lm, op10_neardup)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_warc, op3_pieces, op4_token_counts, op5_decontam, op6_langid, op7_quality, op8_html_text, op9_lm, op10_neardup)}
 
 SQL = {
     "op2_warc": """
