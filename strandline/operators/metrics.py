@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from strandline.config import DEFAULT
 from strandline.functions.stats import cagr, cents, order_index, years_between
 
-R = F.col("r")
-
 
 def blend(returns: DataFrame, *by: str) -> DataFrame:
     """Equal weights over the series present that day; rounded at 10 decimals, null when none is."""
@@ -19,20 +17,20 @@ def blend(returns: DataFrame, *by: str) -> DataFrame:
 def weighted_blend(returns: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
     """Weights (series_id, w) renormalised over the series present; null unless their sum is positive."""
     joined = returns.join(weights, "series_id")
-    present = F.sum(F.when(R.isNotNull(), F.col("w")))
-    return joined.groupBy(*by, "pos", "date").agg(F.when(present > 0, F.sum(R * F.col("w")) / present).alias("r"))
+    present = F.sum(F.when(F.col("r").isNotNull(), F.col("w")))
+    return joined.groupBy(*by, "pos", "date").agg(F.when(present > 0, F.sum(F.col("r") * F.col("w")) / present).alias("r"))
 
 
-def volatility(r: Column = R, days: int = DEFAULT.trading_days) -> Column:
+def volatility(r: Column | str = "r", days: int = DEFAULT.trading_days) -> Column:
     return F.stddev_samp(r) * F.sqrt(F.lit(float(days)))
 
 
-def sharpe(r: Column = R, days: int = DEFAULT.trading_days, risk_free: float = DEFAULT.risk_free) -> Column:
+def sharpe(r: Column | str = "r", days: int = DEFAULT.trading_days, risk_free: float = DEFAULT.risk_free) -> Column:
     vol = volatility(r, days)
     return F.when(vol > 0, (F.avg(r) * days - risk_free) / vol)
 
 
-def sorted_returns(r: Column = R) -> Column:
+def sorted_returns(r: Column | str = "r") -> Column:
     return F.sort_array(F.collect_list(r))
 
 
@@ -49,7 +47,7 @@ def expected_shortfall(ordered: Column, confidence: float) -> Column:
 def with_wealth(returns: DataFrame, *by: str) -> DataFrame:
     """wealth: product of 1 + r so far, from 1; nulls are skipped."""
     so_far = Window.partitionBy(*by).orderBy("pos")
-    return returns.withColumn("wealth", F.coalesce(F.product(1 + R).over(so_far), F.lit(1.0)))
+    return returns.withColumn("wealth", F.coalesce(F.product(1 + F.col("r")).over(so_far), F.lit(1.0)))
 
 
 def max_drawdown(returns: DataFrame, *by: str) -> DataFrame:
@@ -144,7 +142,7 @@ def shape(*by: str, returns: DataFrame) -> DataFrame:
 def equity_curve(returns: DataFrame, *by: str, capital: float = DEFAULT.capital) -> DataFrame:
     """keys, pos, date, value: the first row is the capital, its own return ignored; a null return is a flat day."""
     order = Window.partitionBy(*by).orderBy("pos")
-    step = F.when(F.row_number().over(order) == 1, F.lit(1.0)).otherwise(1 + F.coalesce(R, F.lit(0.0)))
+    step = F.when(F.row_number().over(order) == 1, F.lit(1.0)).otherwise(1 + F.coalesce(F.col("r"), F.lit(0.0)))
     steps = returns.withColumn("step", step)
     return steps.select(*by, "pos", "date", cents(capital * F.product("step").over(order)).alias("value"))
 
@@ -154,7 +152,7 @@ def anchored_curve(returns: DataFrame, *by: str, capital: float = DEFAULT.capita
     first = returns.where("r is not null").groupBy(*by).agg(F.greatest(F.lit(0), F.min("pos") - 1).alias("start"))
     held = returns.join(first, list(by)).where("pos >= start")
     order = Window.partitionBy(*by).orderBy("pos")
-    steps = held.withColumn("step", F.when(F.col("pos") == F.col("start"), F.lit(1.0)).otherwise(1 + F.coalesce(R, F.lit(0.0))))
+    steps = held.withColumn("step", F.when(F.col("pos") == F.col("start"), F.lit(1.0)).otherwise(1 + F.coalesce(F.col("r"), F.lit(0.0))))
     return steps.select(*by, "pos", "date", cents(capital * F.product("step").over(order)).alias("value"))
 
 
@@ -166,7 +164,7 @@ def curve_summary(curve: DataFrame, *by: str, capital: float = DEFAULT.capital)
 
 
 def period_stats(returns: DataFrame, *by: str) -> DataFrame:
-    return returns.where("r is not null").groupBy(*by).agg(F.avg((R > 0).cast("double")).alias("up_rate"), F.avg("r").alias("avg_return"), F.count("*").alias("n_periods"))
+    return returns.where("r is not null").groupBy(*by).agg(F.avg((F.col("r") > 0).cast("double")).alias("up_rate"), F.avg("r").alias("avg_return"), F.count("*").alias("n_periods"))
 
 
 def derived_stats(returns: DataFrame, *by: str, capital: float = DEFAULT.capital) -> DataFrame:
@@ -183,4 +181,4 @@ def sampled(curve: DataFrame, *by: str, target: int) -> DataFrame:
 
 
 def monthly(returns: DataFrame, *by: str) -> DataFrame:
-    return returns.where("r is not null").groupBy(*by, F.trunc("date", "MM").alias("month")).agg((F.product(1 + R) - 1).alias("r"))
+    return returns.where("r is not null").groupBy(*by, F.trunc("date", "MM").alias("month")).agg((F.product(1 + F.col("r")) - 1).alias("r"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
 from strandline.functions import stats
-from strandline.operators.metrics import R
 
 
 def inclusive(days: int, *by: str):
@@ -25,10 +24,10 @@ def place(*by: str) -> Column:
 def rolling_metrics(returns: DataFrame, market: DataFrame, *by: str, cfg: Config = DEFAULT) -> DataFrame:
     """volatility, sharpe and beta of the last rolling_days rows, today included; null before there are so many."""
     days, w = cfg.rolling_days, inclusive(cfg.rolling_days, *by)
-    both = F.col("m").isNotNull() & R.isNotNull()
-    vol = F.stddev_samp(R).over(w) * F.sqrt(F.lit(float(cfg.trading_days)))
-    level = F.avg(R).over(w) * cfg.trading_days - cfg.risk_free
-    beta = F.when(F.sum(both.cast("int")).over(w) > 1, F.regr_slope(F.when(both, R), F.when(both, F.col("m"))).over(w))
+    both = F.col("m").isNotNull() & F.col("r").isNotNull()
+    vol = F.stddev_samp(F.col("r")).over(w) * F.sqrt(F.lit(float(cfg.trading_days)))
+    level = F.avg(F.col("r")).over(w) * cfg.trading_days - cfg.risk_free
+    beta = F.when(F.sum(both.cast("int")).over(w) > 1, F.regr_slope(F.when(both, F.col("r")), F.when(both, F.col("m"))).over(w))
     rows = returns.join(market.select("pos", "m"), "pos", "left").withColumns({"_i": place(*by), "_v": vol, "_l": level, "_b": beta})
     ready = F.col("_i") >= days
     return rows.select(
@@ -43,7 +42,7 @@ def var_lines(returns: DataFrame, *by: str, cfg: Config = DEFAULT) -> DataFrame:
     The windows run over the whole history; filter by date afterwards.
     """
     w = exclusive(cfg.var_window, *by)
-    rows = returns.withColumns({"_i": place(*by), "_x": F.collect_list(R).over(w), "_n": F.count(R).over(w), "_m": F.avg(R).over(w), "_s": F.stddev_samp(R).over(w)})
+    rows = returns.withColumns({"_i": place(*by), "_x": F.collect_list(F.col("r")).over(w), "_n": F.count(F.col("r")).over(w), "_m": F.avg(F.col("r")).over(w), "_s": F.stddev_samp(F.col("r")).over(w)})
     rows = rows.withColumn("_x", F.sort_array("_x"))
     ready = F.col("_i") > cfg.var_window
     out = {}
@@ -59,7 +58,7 @@ def exceptions(lines: DataFrame, *by: str, cfg: Config = DEFAULT) -> DataFrame:
     names = [(f"{m}_{round(c * 100)}", m, c) for m in ("hist", "param") for c, _ in cfg.z_scores]
     packed = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(c).alias("confidence"), F.col(n).alias("var")) for n, m, c in names]))
     rows = lines.select(*by, "pos", "date", "r", packed.alias("v")).select(*by, "pos", "date", "r", "v.*")
-    return rows.where("r is not null and var is not null").withColumn("exc", (R < -F.col("var")).cast("int"))
+    return rows.where("r is not null and var is not null").withColumn("exc", (F.col("r") < -F.col("var")).cast("int"))
 
 
 def coverage_tests(exc: DataFrame, *by: str, cfg: Config = DEFAULT) -> DataFrame:

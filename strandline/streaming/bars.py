@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 def daily_bars(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     """event_type, day, n, total, low, high per day; on a stream a day closes when the watermark passes it."""
-    rows = events.withWatermark("ts", lateness) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", lateness) if events.isStreaming else rows
     bars = rows.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
     return bars.select("event_type", F.to_date("window.start").alias("day"), "n", "total", "low", "high")
 
