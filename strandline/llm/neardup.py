@@ -9,12 +9,13 @@ probability that its similarity reaches the threshold falls under a chosen
 miss probability. Survivors are confirmed on their full sets.
 
 Buckets never emit all their pairs. First each member is compared with its
-bucket's leader, over several rounds with other leaders for what is still
-unlinked. Then, in buckets whose members still lie in several components,
-members outside the bucket's main component are compared with all members of
-other components, in blocks of bounded size inside the tasks, and only pairs
-that pass the pruning leave them. So each pair of a bucket is either linked
-through others or compared, whatever the bucket's size.
+bucket's leader, and with another leader as long as most members of the
+undecided buckets are not linked to the largest component there. Then, in
+buckets whose members still lie in several components, members outside the
+main one are compared with all members of other components, in blocks of
+bounded size inside the tasks: pruned by their signatures, confirmed on their
+full sets, and only links leave the block. So each pair of a bucket is either
+linked through others or compared, whatever the bucket's size.
 
 Defined results: null or wordless texts have an empty set and are linked with
 nothing. Rows that repeat an id and text get equal results. A row without an
@@ -44,8 +45,10 @@ BATCH = 16
 #: A pair is dropped when the posterior probability of a link is under this.
 MISS = 1e-7
 SEED = 20_240_229
-#: Rounds with one leader per bucket before the block comparison, and rows of a block.
-STAR_ROUNDS, BLOCK = 3, 256
+#: Rounds with one leader per bucket before the block comparison, and documents of a block's side.
+STAR_ROUNDS, BLOCK = 3, 192
+#: Edges that one task of the component search takes at least.
+EDGES_PER_TASK = 100_000
 #: Ids of candidate documents (8 bytes each) are broadcast up to so many.
 BROADCAST_ROWS = 400_000
 
@@ -134,9 +137,9 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def in_buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, node: one row per band."""
-    band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))")
-    return nodes.select("node", F.explode(band).alias("bucket"))
+    """node, band, bucket: one row per band."""
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))")
+    return nodes.select("node", F.posexplode(keys).alias("band", "bucket"))
 
 
 def passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -161,12 +164,16 @@ def passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInPandas(prune, f"a {kind}, b {kind}")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs a, b that are links on their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text of the documents with these ids (column id, distinct), stored."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id"]), "texts")
+    return written(texts.dropDuplicates(["id"]), "texts")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs a, b that are links on their full sets."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col)
 
     def confirm(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -175,8 +182,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                 if a not in sets:
                     sets = {a: shingle_hashes(text_a, hashes)}  # pairs of one leader come together
                 x, y = sets[a], shingle_hashes(text_b, hashes)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield part.loc[keep, ["a", "b"]]
 
     named = lambda end: texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}"))
@@ -187,14 +194,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (least node reachable) for the nodes of edges a, b; edges is a stored table."""
+    tasks = 1 + edges.count() // EDGES_PER_TASK
+    kept = lambda df, name: written(df.coalesce(tasks), name)
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
+    both = kept(both, "edges")
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("there"))
-        step = lower.join(jump, "to").select("node", "was", F.least("to", "there").alias("comp"))
-        step = written(step, "labels")
+        step = kept(lower.join(jump, "to").select("node", "was", F.least("to", "there").alias("comp")), "labels")
         labels = step.select("node", "comp")
         if not step.where("comp <> was").limit(1).count():
             return labels
@@ -207,38 +216,82 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def block_survivors(members: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
-    """Pairs a, b of different components in a bucket that survive the pruning.
-
-    members: bucket, node, comp. In each bucket the members outside its main
-    component (the one with most members) meet all members, block by block.
-    """
+def main_components(members: DataFrame) -> DataFrame:
+    """bucket, main (the component with most members), size, in_main."""
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("size"), F.max("n").alias("in_main"))
+    return sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("size"), F.max("n").alias("in_main"))
+
+
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, by matrix products over shingles that occur on both sides."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    of_a, of_b = np.repeat(np.arange(len(left)), list(map(len, left))), np.repeat(np.arange(len(right)), list(map(len, right)))
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, len(shared), width):
+        some = shared[i : i + width]
+        sides = []
+        for values, owner, n in ((a, of_a, len(left)), (b, of_b, len(right))):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            hit = some[at] == values
+            side = np.zeros((n, len(some)), np.float32)
+            side[owner[hit], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links a, b between different components of a bucket; of an outsider's links to one component, one.
+
+    members: bucket, band, node, comp. In each bucket the members outside its
+    main component meet all members, block by block. A pair is taken up in
+    the first band that it shares, so that other buckets of it pass it over.
+    """
+    kind = dict(members.dtypes)["node"]
+    main = main_components(members)
     main = main.withColumns({"blocks": F.ceil(F.col("size") / BLOCK), "outer": F.ceil((F.col("size") - F.col("in_main")) / BLOCK)})
-    all_of = members.join(main, "bucket").join(nodes.select("node", "sig"), "node")
+    texts = texts_of(members.select(F.col("node").alias("id")).distinct(), docs, id_col, text_col)
+    whole = nodes.join(texts.withColumnRenamed("id", "node"), "node")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    inner = all_of.select("bucket", "node", "comp", "sig", F.lit(False).alias("out"), place("blocks").alias("j"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"))
-    outer = all_of.where("comp <> main").select("bucket", "node", "comp", "sig", F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), place("outer").alias("i"))
+    all_of = members.join(main, "bucket")
+    inner = all_of.select("bucket", "band", "node", "comp", F.lit(False).alias("out"), place("blocks").alias("j"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"))
+    outer = all_of.where("comp <> main").select("bucket", "band", "node", "comp", F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), place("outer").alias("i"))
     bounds = least_matches(BANDS * ROWS, BATCH, PERCENT, MISS)
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(block["sig"]), ">u4").reshape(len(block), -1).astype(np.uint32)
-        out, node, comp = (block[c].to_numpy() for c in ("out", "node", "comp"))
-        inside, found_a, found_b = np.flatnonzero(~out), [], []
-        for k in np.flatnonzero(out):
+        bands = sig.reshape(len(block), BANDS, ROWS)
+        out, node, comp, band = (block[c].to_numpy() for c in ("out", "node", "comp", "band"))
+        inside, outside = np.flatnonzero(~out), np.flatnonzero(out)
+        left_of: dict[int, np.ndarray] = {}
+        for k in outside:
             left = inside[comp[inside] != comp[k]]
             equal, at = np.zeros(len(left), int), 0
             for n, m in bounds:
                 equal = equal + (sig[left, at:n] == sig[k, at:n]).sum(axis=1)
                 keep, at = equal >= m, n
                 left, equal = left[keep], equal[keep]
-            found_a.append(np.minimum(node[left], node[k]))
-            found_b.append(np.maximum(node[left], node[k]))
-        joined = lambda x: np.concatenate(x) if x else node[:0]
-        return pd.DataFrame({"a": joined(found_a), "b": joined(found_b)})
-
-    cut = inner.unionByName(outer)
+            if len(left):
+                left = left[(bands[left] == bands[k]).all(axis=2).argmax(axis=1) == band[k]]
+            if len(left):
+                left_of[k] = left
+        found_a, found_b = [node[:0]], [node[:0]]
+        if left_of:
+            hashes, text = WordHashes(), block["text"].tolist()
+            rights = np.unique(np.concatenate(list(left_of.values())))
+            ours, theirs = ([shingle_hashes(text[k], hashes) for k in which] for which in (left_of, rights))
+            common = common_shingles(ours, theirs)
+            size = np.array(list(map(len, theirs)))
+            for i, (k, left) in enumerate(left_of.items()):
+                at = np.searchsorted(rights, left)
+                link = left[100 * common[i, at] >= PERCENT * (len(ours[i]) + size[at] - common[i, at])]
+                link = link[np.unique(comp[link], return_index=True)[1]]
+                found_a.append(np.minimum(node[link], node[k]))
+                found_b.append(np.maximum(node[link], node[k]))
+        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    cut = inner.unionByName(outer).join(whole, "node")
     return cut.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
@@ -252,31 +305,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(nodes.dropDuplicates(["node"]), "nodes")
     buckets = in_buckets(nodes)
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(shared, "bucket").select("bucket", "node", "leader", "n"), "members")
-
-    links, labels = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if not turn:
-            pairs = passing(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes)
-        else:
-            # two members: compared already; else open while its members lie in several components
-            held = labelled(members.where("n > 2").select("bucket", "node", "leader"), labels)
-            spread = held.where("node <> leader").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-            held = written(held.join(spread.select("bucket"), "bucket", "left_semi"), "open")
-            if not held.limit(1).count():
-                break
-            if turn < STAR_ROUNDS:
-                # another leader: from outside the first leader's component, by a hash that changes with the round
-                heads = held.where("node = leader").select("bucket", F.col("comp").alias("led"))
-                rest = held.join(heads, "bucket").where("comp <> led")
-                chosen = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"), F.col("comp"))).alias("x"))
-                chosen = chosen.select("bucket", F.col("x.node").alias("to"), F.col("x.comp").alias("to_comp"))
-                ends = held.join(chosen, "bucket").where("comp <> to_comp")
-                pairs = passing(ends.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), nodes)
-            else:
-                pairs = block_survivors(held.select("bucket", "node", "comp"), nodes, kind)
-        more = written(confirmed(written(pairs, "survivors"), docs, id_col, text_col), "links")
-        links = more if links is None else links.unionAll(more)
+    members = written(buckets.join(shared, "bucket").select("bucket", "band", "node", "leader", "n"), "members")
+    pairs = passing(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes)
+    links = written(confirmed(written(pairs, "survivors"), docs, id_col, text_col), "links")
+    labels = components(links)
+    for turn in range(1, STAR_ROUNDS + 1):
+        # all members have met their leader; a bucket is open while the others lie in several components
+        held = labelled(members.where("n > 2").select("bucket", "band", "node", "leader"), labels)
+        spread = held.where("node <> leader").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        held = written(held.join(spread.select("bucket"), "bucket", "left_semi"), "open")
+        size, in_main = main_components(held).agg(F.sum("size"), F.sum("in_main")).first()
+        if not size:
+            break
+        if turn == STAR_ROUNDS or 2 * in_main >= size:
+            more = block_links(held.drop("leader"), nodes, docs, id_col, text_col)
+            links = links.unionAll(written(more, "links"))
+            labels = components(links)
+            break
+        # another leader: from outside the first leader's component, by a hash that changes with the round
+        heads = held.where("node = leader").select("bucket", F.col("comp").alias("led"))
+        rest = held.join(heads, "bucket").where("comp <> led")
+        chosen = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"), F.col("comp"))).alias("x"))
+        chosen = chosen.select("bucket", F.col("x.node").alias("to"), F.col("x.comp").alias("to_comp"))
+        ends = held.join(chosen, "bucket").where("comp <> to_comp")
+        pairs = passing(ends.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), nodes)
+        links = links.unionAll(written(confirmed(written(pairs, "survivors"), docs, id_col, text_col), "links"))
         labels = components(links)
     found = labelled(classes, labels).select("digest", F.col("comp").alias("component"))
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))

@@ -40,7 +40,9 @@ UNIT = re.compile(f" *[^ {SPACE}]+| +|{SPACE}")
 TURNS, HELD = 16, 400_000
 #: Symbols beyond which a unit's agenda is a heap; characters of texts that are encoded together.
 LONG, TOGETHER = 32, 600_000
-NEVER = 1 << 62
+NEVER = 1 << 30
+#: A bit that all draws have: units with more turns than bits test for it, so that their agenda is always run.
+ALWAYS = 1 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 MASK64 = (1 << 64) - 1
 
@@ -69,7 +71,7 @@ def load(model: str = MODEL) -> Vocabulary:
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     n = sp.get_piece_size()
     ids, byte_ids, spelled = {}, [0] * 256, []
-    order, chars = np.full(n, NEVER), np.full(0x110000, -1, np.int32)
+    order, chars = np.full(n, NEVER, np.int32), np.full(0x110000, -1, np.int32)
     for i in range(n):
         piece = sp.id_to_piece(i)
         if sp.is_byte(i):
@@ -136,8 +138,9 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, seed: int = SEED, dropout: float = DROPOUT, plain: dict | None = None, varied: dict | None = None) -> None:
         self.v, self.seed, self.limit = vocab, seed, round(dropout * 65536)
-        self.plain: dict[str, tuple[tuple[int, ...], int, int]] = {} if plain is None else plain
-        self.varied: dict[tuple[str, int], tuple[int, ...]] = {} if varied is None else varied
+        # of each unit: its ids without skips, the turns these used, the turns that its varied ids are kept by, and its place in the keys of those
+        self.plain: dict[str, tuple[tuple[int, ...], int, int, int]] = {} if plain is None else plain
+        self.varied: dict[int, tuple[int, ...]] = {} if varied is None else varied
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id that each pair of ids merges to, or -1."""
@@ -174,16 +177,16 @@ class Encoder:
         return out, turns
 
     def short_agendas(self, units, sizes, width, which, bits, keys, out, turns) -> None:
-        points = np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points = np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         literal = np.fromiter((u == SPACE for u in units), bool, len(units))
         ids = self.v.chars[points]
         inside = np.arange(width) < sizes[:, None]
-        symbols = np.full((len(units), width), -1, np.int64)
+        symbols = np.full((len(units), width), -1, np.int32)
         symbols[inside] = np.where(ids >= 0, ids, -2 - points)  # below -1: a code point that is no piece
         symbols[literal, 0] = -2 - ord(SPACE)
         joined = np.full((len(units), width), -1, np.int32)
         joined[:, :-1] = self.merged(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(units), -1)
-        ranks = np.where(joined >= 0, self.v.order[joined], NEVER)
+        ranks = np.where(joined >= 0, self.v.order[joined], np.int32(NEVER))
         done, row, turn = symbols.copy(), np.arange(len(units)), 0
         while True:
             best = ranks.argmin(axis=1)
@@ -205,11 +208,14 @@ class Encoder:
             at = np.flatnonzero(~skip)
             i = best[at]
             into = joined[at, i]
-            shift = np.minimum(np.arange(width) + (np.arange(width) > i[:, None]), width - 1)
+            # what stands right of the pair moves one place to the left, in the few columns that any row needs
+            low = int(i.min()) + 1 if len(i) else width
+            keep = np.arange(low, width) <= i[:, None]
             for x, fill in ((symbols, -1), (joined, -1), (ranks, NEVER)):
-                moved = np.take_along_axis(x[at], shift, axis=1)
-                moved[:, -1] = fill
-                x[at] = moved
+                old = x[at, low:]
+                moved = np.full_like(old, fill)
+                moved[:, :-1] = old[:, 1:]
+                x[at, low:] = np.where(keep, old, moved)
             symbols[at, i] = into
             for place in (i - 1, i):
                 fits = place >= 0
@@ -217,7 +223,7 @@ class Encoder:
                 new = self.merged(symbols[r, c], symbols[r, np.minimum(c + 1, width - 1)])
                 new[c + 1 >= width] = -1
                 joined[r, c] = new
-                ranks[r, c] = np.where(new >= 0, self.v.order[new], NEVER)
+                ranks[r, c] = np.where(new >= 0, self.v.order[new], np.int32(NEVER))
         left = (done != -1).sum(axis=1).tolist()
         strange = (done < -1).any(axis=1).tolist()
         for k, line, n, odd in zip(which.tolist(), done.tolist(), left, strange, strict=True):
@@ -265,33 +271,35 @@ class Encoder:
         units = [u for found in by_text for u in found]
         if len(self.plain) > HELD:
             self.plain.clear()
+            self.varied.clear()
         if len(self.varied) > HELD:
             self.varied.clear()
         plain, varied = self.plain, self.varied
         new = list(set(units).difference(plain))
         for unit, ids, n in zip(new, *self.agendas(new, np.zeros(len(new), np.int64), None), strict=True):
-            use = (1 << int(n)) - 1 if n <= TURNS else -1  # -1: its agenda is always run
-            plain[unit] = (ids, use, (1 << min(TURNS, int(n) + 3)) - 1)
+            use = (1 << int(n)) - 1 if n <= TURNS else ALWAYS
+            plain[unit] = (ids, use, (1 << min(TURNS, int(n) + 3)) - 1, len(plain) << TURNS)
         if not self.limit:
             pieces = [plain[u][0] for u in units]
         else:
             keys = np.concatenate([unit_keys(document_key(self.seed, d), len(found)) for d, found in zip(doc_ids, by_text, strict=True)] or [np.empty(0, np.uint64)])
-            bits = skips(keys, self.limit)
+            bits = skips(keys, self.limit) | ALWAYS
             pieces, todo = [], []
             add, known = pieces.append, varied.get
             for k, (unit, b) in enumerate(zip(units, bits.tolist(), strict=True)):
-                ids, use, within = plain[unit]
-                if use < 0 or b & use:
-                    ids = known((unit, b & within)) if use >= 0 else None
+                ids, use, within, at = plain[unit]
+                if b & use:
+                    ids = known(at | b & within)
                     if ids is None:
                         todo.append(k)
                 add(ids)
-            at = np.array(todo, np.int64)
-            for k, ids, n in zip(todo, *self.agendas([units[k] for k in todo], bits[at], keys[at]), strict=True):
+            chosen = np.array(todo, np.int64)
+            drawn = bits[chosen]
+            for k, b, ids, n in zip(todo, drawn.tolist(), *self.agendas([units[k] for k in todo], drawn, keys[chosen]), strict=True):
                 pieces[k] = ids
-                within = plain[units[k]][2]
-                if n < TURNS and 1 << n <= within + 1:  # no draw beyond those in the key was made
-                    varied[units[k], int(bits[k]) & within] = ids
+                _, use, within, at = plain[units[k]]
+                if n < TURNS and 1 << n <= within + 1 and not use & ALWAYS:  # no draw beyond those in the key was made
+                    varied[at | b & within] = ids
         out, start = [], 0
         for found in by_text:
             out.append(array("i", chain.from_iterable(pieces[start : start + len(found)])))
