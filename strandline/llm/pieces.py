@@ -37,7 +37,7 @@ SEED = 17
 SPACE = "▁"
 UNIT = re.compile(f" *[^ {SPACE}]+| +|{SPACE}")
 #: Turns whose draws are made for all units at once, and units kept with their pieces.
-TURNS, HELD = 16, 400_000
+TURNS, HELD = 16, 120_000
 #: Symbols beyond which a unit's agenda is a heap; characters of texts that are encoded together.
 LONG, TOGETHER = 32, 600_000
 NEVER = 1 << 30
