@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import written
+from strandline.llm.shared import trimmed, written
 
 SHINGLE = 5
 #: Similarity in percent that makes a link.
@@ -120,6 +120,7 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
     a, b = hash_family(BANDS * ROWS, SEED)
 
+    @trimmed
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
@@ -146,6 +147,7 @@ def passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs a, b whose signatures survive the sequential pruning."""
     bounds = least_matches(BANDS * ROWS, BATCH, PERCENT, MISS)
 
+    @trimmed
     def prune(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if not len(part):
@@ -175,6 +177,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     """The pairs a, b that are links on their full sets."""
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col)
 
+    @trimmed
     def confirm(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             hashes, sets, keep = WordHashes(), {}, []

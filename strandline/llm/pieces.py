@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.shared import trimmed
+
 #: A public vocabulary with byte pieces; only the driver reads the file (under 1 MB), tasks get a broadcast.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of candidate merges that are skipped.
@@ -326,6 +328,7 @@ def encoded(
     at_id, at_text = names.index(id_col), names.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("lossless", T.BooleanType())])
 
+    @trimmed
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 

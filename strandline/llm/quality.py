@@ -30,11 +30,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.shared import trimmed
+
 #: Labelled documents used to fit the chain; their lines' features reach the driver (under 100 bytes a line).
 SAMPLE = 4000
 ROUNDS, STEPS, RATE, RIDGE = 2, 80, 0.15, 1e-3
 #: Characters that are handled at a time.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
@@ -200,6 +202,7 @@ def learned(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, t
     marked = marked.where(~held_out).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @trimmed
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for doc_id, label, text in zip(part["doc_id"], part["label"], part["text"], strict=True):
@@ -229,6 +232,7 @@ def scored(
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, score double, predicted int" + ", lines array<double>" * line_scores
 
+    @trimmed
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             edges = np.cumsum(part["_text"].str.len().to_numpy()) // TOGETHER
@@ -250,6 +254,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
     chain = learned(docs, labels, held_out, id_col, text_col, label_col, sample)
 
     @F.pandas_udf("double")
+    @trimmed
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             texts, out, start = part.tolist(), [], 0

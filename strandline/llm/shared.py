@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,29 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over a task's batches; at the end of the task, freed memory goes back to the system.
+
+    Python workers stay alive between stages, and what they keep counts
+    against the executor's memory while others work.
+    """
+
+    @wraps(f)
+    def run(parts: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from f(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 #: Rows of ids and hashes (16 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 400_000
 
