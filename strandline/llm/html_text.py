@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from strandline.llm.shared import bounded_batches
+
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
 #: Elements that hold something other than the article.
@@ -175,6 +177,7 @@ def content_blocks(html: str | None, sigma: float = 1.0) -> list[tuple[str, floa
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:
     """id, url, text, n_chars, n_blocks, ratio (mean smoothed text-to-tag ratio of the content)."""
+    bounded_batches(pages.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = f"`{id_col}` {fields[id_col]}, `{url_col}` {fields[url_col]}, text string, n_chars long, n_blocks int, ratio double"
 

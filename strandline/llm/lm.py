@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import written
+from strandline.llm.shared import bounded_batches, written
 
 #: Words broadcast with their counts (about 100 bytes each in a task), classes of single words, classes by ending.
 BROADCAST_WORDS, WORD_CLASSES, ENDING_CLASSES = 200_000, 767, 256
@@ -247,6 +247,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     smoothed word counts, score the model's; both are log10 of probabilities.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     out = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), out.alias("_out"))
     train = rows.where("not _out").select("_text")

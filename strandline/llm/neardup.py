@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import trimmed, written
+from strandline.llm.shared import bounded_batches, trimmed, written
 
 SHINGLE = 5
 #: Similarity in percent that makes a link.
@@ -300,6 +300,7 @@ def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least id reachable), kept."""
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     signed = written(signed_documents(docs, id_col, text_col), "signed")
     linkable = signed.where("digest is not null and doc_id is not null")

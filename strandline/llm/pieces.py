@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.shared import trimmed
+from strandline.llm.shared import bounded_batches, trimmed
 
 #: A public vocabulary with byte pieces; only the driver reads the file (under 1 MB), tasks get a broadcast.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -321,6 +321,7 @@ def encoded(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT
 ) -> DataFrame:
     """docs with piece_ids (array of int) and lossless (whether they decode to the text), in place of any columns so named."""
+    bounded_batches(docs.sparkSession)
     # a Python worker keeps a broadcast's value from task to task, and so the units that it has met
     held = docs.sparkSession.sparkContext.broadcast(({k: v for k, v in vars(load(model)).items()}, {}, {}))
     docs = docs.drop("piece_ids", "lossless")

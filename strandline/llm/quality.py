@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import trimmed
+from strandline.llm.shared import bounded_batches, trimmed
 
 #: Labelled documents used to fit the chain; their lines' features reach the driver (under 100 bytes a line).
 SAMPLE = 4000
@@ -198,6 +198,7 @@ def fitted(own: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: np.nda
 
 def learned(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, sample: int) -> Chain | None:
     """The chain fitted on a bounded sample of labelled documents that aren't held out (held_out: over the id)."""
+    bounded_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
     marked = marked.where(~held_out).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

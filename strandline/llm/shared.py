@@ -54,6 +54,16 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+#: Bytes of the Arrow batches that carry whole texts to Python, where the session names no limit of its own.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps batches small: an executor holds several outside its heap, and long texts make 10,000 rows of them large."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """f over a task's batches; at the end of the task, freed memory goes back to the system.
 
