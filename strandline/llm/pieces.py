@@ -21,7 +21,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ DROPOUT = 0.1
 SEED = 17
 SPACE = "▁"
 UNIT = re.compile(f" *[^ {SPACE}]+| +|{SPACE}")
-#: Turns whose draws are made for all units at once, and units kept with their pieces.
-TURNS, HELD = 16, 120_000
+#: Turns whose draws are made for all units at once, and units and their variations kept with their pieces (about 250 bytes each).
+TURNS, HELD = 16, 400_000
 #: Symbols beyond which a unit's agenda is a heap; characters of texts that are encoded together.
 LONG, TOGETHER = 32, 600_000
 NEVER = 1 << 30
@@ -138,11 +138,38 @@ def skips(keys: np.ndarray, limit: int) -> np.ndarray:
 class Encoder:
     """Encodes texts; keeps the pieces of units that it has met."""
 
-    def __init__(self, vocab: Vocabulary, seed: int = SEED, dropout: float = DROPOUT, plain: dict | None = None, varied: dict | None = None) -> None:
+    def __init__(self, vocab: Vocabulary, seed: int = SEED, dropout: float = DROPOUT, store: dict | None = None) -> None:
         self.v, self.seed, self.limit = vocab, seed, round(dropout * 65536)
-        # of each unit: its ids without skips, the turns these used, the turns that its varied ids are kept by, and its place in the keys of those
-        self.plain: dict[str, tuple[tuple[int, ...], int, int, int]] = {} if plain is None else plain
-        self.varied: dict[int, tuple[int, ...]] = {} if varied is None else varied
+        self.store = {} if store is None else store
+        if not self.store:
+            self.forget()
+
+    def forget(self) -> None:
+        """Starts with an empty store.
+
+        An entry is a run of ids. units: the entry of each unit's ids without
+        skips; varied: the entry of its ids under some draws, by entry and
+        draws. use: the turns that an entry's unit took, as bits; within:
+        those that its varied ids are kept by.
+        """
+        small = {"start": np.int64, "size": np.int32, "use": np.int32, "within": np.int32, "ids": np.int32}
+        self.store.update({k: np.zeros(1024, kind) for k, kind in small.items()}, units={}, varied={}, entries=0, held=0)
+
+    def put(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, use: np.ndarray | int = 0, within: np.ndarray | int = 0) -> int:
+        """Adds entries, whose ids start in flat at start; returns the number of the first."""
+        s = self.store
+        first, held = s["entries"], s["held"]
+        s["entries"], s["held"] = first + len(start), held + len(flat)
+        for name, values, at, end in (
+            ("ids", flat, held, s["held"]), ("start", start + held, first, s["entries"]), ("size", size, first, s["entries"]),
+            ("use", use, first, s["entries"]), ("within", within, first, s["entries"]),
+        ):
+            if end > len(s[name]):
+                wider = np.zeros(max(end, 2 * len(s[name])), s[name].dtype)
+                wider[:at] = s[name][:at]
+                s[name] = wider
+            s[name][at:end] = values
+        return first
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id that each pair of ids merges to, or -1."""
@@ -158,27 +185,33 @@ class Encoder:
             left, at = left[on], (at[on] + 1) & (len(self.v.slots) - 1)
         return found
 
-    def agendas(self, units: list[str], bits: np.ndarray, keys: np.ndarray | None) -> tuple[list[tuple[int, ...]], np.ndarray]:
-        """Ids of each unit and the number of its candidates that came up; keys None: nothing is skipped.
+    def agendas(self, units: list[str], bits: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units in one array; where each unit's start and how many they are; the number of its candidates that came up.
 
-        All units take their turns together: every unit that still has
-        candidates has had as many as there have been rounds.
+        keys None: nothing is skipped. All units take their turns together:
+        every unit that still has candidates has had as many as there have
+        been rounds.
         """
-        out: list[tuple[int, ...]] = [()] * len(units)
-        turns = np.zeros(len(units), np.int64)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        low = 0
+        start, size, turns = np.zeros((3, len(units)), np.int64)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        flat, held, low = [np.empty(0, np.int32)], 0, 0
         for high in (4, 6, 8, 10, 12, 16, 24, LONG):
-            which = np.flatnonzero((sizes > low) & (sizes <= high))
+            which = np.flatnonzero((lengths > low) & (lengths <= high))
             low = high
             if len(which):
-                self.short_agendas([units[i] for i in which], sizes[which], high, which, bits, keys, out, turns)
-        for i in np.flatnonzero(sizes > LONG):
+                ids, n = self.short_agendas([units[i] for i in which], lengths[which], high, which, bits, keys, turns)
+                flat.append(ids)
+                start[which], size[which] = held + np.cumsum(n) - n, n
+                held += len(ids)
+        for i in np.flatnonzero(lengths > LONG):
             symbols = list(units[i].replace(" ", SPACE))
-            out[i], turns[i] = self.long_agenda(symbols, int(bits[i]), None if keys is None else int(keys[i]))
-        return out, turns
+            found, turns[i] = self.long_agenda(symbols, int(bits[i]), None if keys is None else int(keys[i]))
+            flat.append(np.array(found, np.int32))
+            start[i], size[i] = held, len(found)
+            held += len(found)
+        return np.concatenate(flat), start, size, turns
 
-    def short_agendas(self, units, sizes, width, which, bits, keys, out, turns) -> None:
+    def short_agendas(self, units, sizes, width, which, bits, keys, turns) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         literal = np.fromiter((u == SPACE for u in units), bool, len(units))
         ids = self.v.chars[points]
@@ -226,14 +259,16 @@ class Encoder:
                 new[c + 1 >= width] = -1
                 joined[r, c] = new
                 ranks[r, c] = np.where(new >= 0, self.v.order[new], np.int32(NEVER))
-        left = (done != -1).sum(axis=1).tolist()
-        strange = (done < -1).any(axis=1).tolist()
-        for k, line, n, odd in zip(which.tolist(), done.tolist(), left, strange, strict=True):
-            if odd:
-                spell = lambda x: [x] if x >= 0 else [self.v.byte_ids[b] for b in chr(-2 - x).encode("utf-8", "surrogatepass")]
-                out[k] = tuple(i for x in line[:n] for i in spell(x))
-            else:
-                out[k] = tuple(line[:n])
+        ids, n = done[done != -1], (done != -1).sum(axis=1)
+        strange = ids < -1
+        if strange.any():  # a code point that is no piece becomes its bytes
+            spelled = [[self.v.byte_ids[b] for b in chr(-2 - x).encode("utf-8", "surrogatepass")] for x in ids[strange].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[strange] = list(map(len, spelled))
+            np.add.at(n, np.repeat(np.arange(len(n)), n)[strange], times[strange] - 1)
+            strange, ids = np.repeat(strange, times), np.repeat(ids, times)
+            ids[strange] = list(chain.from_iterable(spelled))
+        return ids, n
 
     def long_agenda(self, symbols: list[str], bits: int, key: int | None) -> tuple[tuple[int, ...], int]:
         """The agenda of one long unit, as a heap."""
@@ -271,42 +306,36 @@ class Encoder:
         """Ids of each text."""
         by_text = [UNIT.findall(" " + t) if t else [] for t in texts]
         units = [u for found in by_text for u in found]
-        if len(self.plain) > HELD:
-            self.plain.clear()
-            self.varied.clear()
-        if len(self.varied) > HELD:
-            self.varied.clear()
-        plain, varied = self.plain, self.varied
-        new = list(set(units).difference(plain))
-        for unit, ids, n in zip(new, *self.agendas(new, np.zeros(len(new), np.int64), None), strict=True):
-            use = (1 << int(n)) - 1 if n <= TURNS else ALWAYS
-            plain[unit] = (ids, use, (1 << min(TURNS, int(n) + 3)) - 1, len(plain) << TURNS)
-        if not self.limit:
-            pieces = [plain[u][0] for u in units]
-        else:
-            keys = np.concatenate([unit_keys(document_key(self.seed, d), len(found)) for d, found in zip(doc_ids, by_text, strict=True)] or [np.empty(0, np.uint64)])
+        if self.store["entries"] > HELD:
+            self.forget()
+        s, place, varied = self.store, self.store["units"], self.store["varied"]
+        if new := list(set(units).difference(place)):
+            *found, turns = self.agendas(new, np.zeros(len(new), np.int64), None)
+            use = np.where(turns <= TURNS, (1 << np.minimum(turns, TURNS)) - 1, ALWAYS)
+            first = self.put(*found, use, (1 << np.minimum(TURNS, turns + 3)) - 1)
+            place.update(zip(new, range(first, first + len(new)), strict=True))
+        entry = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
+        if self.limit and units:
+            keys = np.concatenate([unit_keys(document_key(self.seed, d), len(found)) for d, found in zip(doc_ids, by_text, strict=True)])
             bits = skips(keys, self.limit) | ALWAYS
-            pieces, todo = [], []
-            add, known = pieces.append, varied.get
-            for k, (unit, b) in enumerate(zip(units, bits.tolist(), strict=True)):
-                ids, use, within, at = plain[unit]
-                if b & use:
-                    ids = known(at | b & within)
-                    if ids is None:
-                        todo.append(k)
-                add(ids)
-            chosen = np.array(todo, np.int64)
-            drawn = bits[chosen]
-            for k, b, ids, n in zip(todo, drawn.tolist(), *self.agendas([units[k] for k in todo], drawn, keys[chosen]), strict=True):
-                pieces[k] = ids
-                _, use, within, at = plain[units[k]]
-                if n < TURNS and 1 << n <= within + 1 and not use & ALWAYS:  # no draw beyond those in the key was made
-                    varied[at | b & within] = ids
-        out, start = [], 0
-        for found in by_text:
-            out.append(array("i", chain.from_iterable(pieces[start : start + len(found)])))
-            start += len(found)
-        return out
+            hit = np.flatnonzero(bits & s["use"][entry])
+            plain = entry[hit]
+            wanted = plain << TURNS | bits[hit] & s["within"][plain]
+            known = np.fromiter(map(varied.get, wanted.tolist(), repeat(-1)), np.int64, len(hit))
+            entry[hit] = known
+            if len(left := np.flatnonzero(known < 0)):
+                todo, plain = hit[left], plain[left]
+                *found, turns = self.agendas([units[k] for k in todo.tolist()], bits[todo], keys[todo])
+                first = self.put(*found)
+                entry[todo] = first + np.arange(len(todo))
+                # to be kept, no draw beyond those in the key may have been made
+                keep = np.flatnonzero((turns < TURNS) & (1 << np.minimum(turns, TURNS) <= s["within"][plain] + 1) & (s["use"][plain] & ALWAYS == 0))
+                varied.update(zip(wanted[left[keep]].tolist(), (first + keep).tolist(), strict=True))
+        size = s["size"][entry].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = s["ids"][np.repeat(s["start"][entry] - ends + size, size) + np.arange(size.sum())]
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, by_text)])].tolist()
+        return [array("i", ids[a:b].tobytes()) for a, b in pairwise(bounds)]
 
     def encode(self, text: str, doc_id: int = 0) -> array:
         return self.encode_all([text], [doc_id])[0]
@@ -323,7 +352,7 @@ def encoded(
     """docs with piece_ids (array of int) and lossless (whether they decode to the text), in place of any columns so named."""
     bounded_batches(docs.sparkSession)
     # a Python worker keeps a broadcast's value from task to task, and so the units that it has met
-    held = docs.sparkSession.sparkContext.broadcast(({k: v for k, v in vars(load(model)).items()}, {}, {}))
+    held = docs.sparkSession.sparkContext.broadcast((vars(load(model)), {}))
     docs = docs.drop("piece_ids", "lossless")
     names = docs.columns
     at_id, at_text = names.index(id_col), names.index(text_col)
@@ -331,16 +360,10 @@ def encoded(
 
     @trimmed
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        vocab, plain, varied = held.value
-        coder = Encoder(Vocabulary(**vocab), seed, dropout, plain, varied)
-        gc.disable()  # else it walks through all kept units again and again; nothing here is cyclic
-        try:
-            for part in parts:
-                yield batch(part, coder)
-        finally:
-            gc.enable()
+        vocab, store = held.value
+        coder = Encoder(Vocabulary(**vocab), seed, dropout, store)
+        for part in parts:
+            yield batch(part, coder)
 
     def batch(part: pa.RecordBatch, coder: Encoder) -> pa.RecordBatch:
         flat, sizes, same = array("i"), [], []
