@@ -49,7 +49,10 @@ SYMBOLS[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 SYMBOLS[128:] = np.arange(27, 155)
 
 DROP = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
+#: The language of the html element (group 2), or something before it whose content is no markup.
+HTML_LANG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|title|textarea)\b.*?(?:</\1\b|\Z)|<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.S | re.I
+)
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +127,11 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def page_text(html: str) -> tuple[str, str | None]:
-    """Text of a page, roughly, and the language that its markup declares."""
+    """Text of a page, roughly, and the language that its markup declares, wherever the html element stands."""
     from html import unescape
 
-    declared = HTML_LANG.search(html[:4096])
-    return unescape(DROP.sub(" ", html)), declared and declared[1].lower()
+    declared = next((x[2].lower() for x in HTML_LANG.finditer(html) if x[2]), None)
+    return unescape(DROP.sub(" ", html)), declared
 
 
 def identified(

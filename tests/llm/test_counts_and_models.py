@@ -90,6 +90,13 @@ def test_host_prior_decides_a_short_text(spark):
     assert got[100] == "de" and got[101] == "fr"
 
 
+def test_declaration_after_a_long_start():
+    for start in ("", f"<!-- {'licence ' * 600} -->", " \n" * 3000, f"<!-- {'x' * 5000} <html lang='xx'> --><!doctype html>"):
+        assert langid.page_text(f"{start}<html class='a' lang=\"DE-at\"><body>q")[1] == "de"
+    assert langid.page_text("<html><body><script>var t = '<html lang=xx>'</script><!-- <html lang=xx> --> q")[1] is None
+    assert langid.page_text("<!--><html lang=fr>")[1] == "fr" and langid.page_text("")[1] is None
+
+
 # --- quality
 
 
