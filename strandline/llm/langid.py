@@ -8,8 +8,9 @@ with few documents leans on its domain, and so on up. A document's own share
 is taken out of its host's sums. How far a declaration or suffix is to be
 trusted is counted in the same way.
 
-The trigram model is fitted on at most `SAMPLE` labelled documents, chosen by
-a hash of their ids; all else covers all rows.
+The trigram model is fitted on about `SAMPLE` labelled documents of each
+language, chosen by a hash of their ids and texts; a language with fewer gives
+all. Which languages there are comes from all rows, and so does all else.
 
 Besides the languages of the labels there is "und" for anything else: a text
 without letters, or one that even distribution explains better.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.shared import bounded_batches, trimmed, without, written
 
+#: Labelled documents of each language that its trigrams are counted on.
 SAMPLE = 4000
 UND = "und"
 #: Cells of the trigram tables, log probability of a trigram in "und", trigrams that count as independent evidence.
@@ -40,6 +42,8 @@ CELLS, UND_LOG, EVIDENCE = 1 << 17, -11.0, 60.0
 CELLS_PRIME = 131_071
 #: Prior share of "und", weight of the level above in host priors, smoothing of declaration counts.
 UND_PRIOR, KAPPA, ALPHA = 0.01, 5.0, 0.5
+#: Values of the hash that chooses documents.
+HASHES = 1 << 40
 #: Characters that are handled at a time.
 TOGETHER = 500_000
 
@@ -99,10 +103,12 @@ def text_posteriors(model: TextModel, texts: list[str]) -> np.ndarray:
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Trigram counts of each declared language, summed by Spark over a bounded sample of labelled texts."""
+    """Trigram counts of each declared language, summed by Spark over about `sample` labelled texts of each."""
     known = F.lower(F.regexp_extract(F.col(lang_col), "^[A-Za-z]{2,8}", 0))
-    rows = docs.select(F.col(id_col).alias("_id"), known.alias("_lang")).where("_lang <> ''").orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_id").distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), known.alias("_lang"), F.col(text_col).alias("_text")).where("_lang <> '' and _text is not null")
+    texts = docs.select(known.alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_hash")).where("_lang <> '' and _text is not null")
+    sizes = texts.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("n"))  # a row per language
+    part = F.least(F.lit(1.0), sample / F.col("n")) * HASHES
+    shares = F.broadcast(sizes.select("_lang", F.ceil(part).alias("_part")))
 
     @trimmed
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,8 +120,9 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     at = np.flatnonzero(n)
                     yield pd.DataFrame({"lang": lang, "cell": at, "n": n[at]})
 
-    # at most `sample` ids are broadcast; the sums are at most cells x languages
-    sums = texts.join(F.broadcast(rows), "_id").mapInPandas(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    # the sums are at most cells x languages
+    chosen = texts.join(shares, "_lang").where(F.pmod("_hash", F.lit(HASHES)) < F.col("_part")).select("_lang", "_text")
+    sums = chosen.mapInPandas(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(sums["lang"]) - {UND})
     table = np.full((CELLS, len(languages) + 1), UND_LOG, np.float64)
     for i, lang in enumerate(languages):

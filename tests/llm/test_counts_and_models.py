@@ -97,6 +97,17 @@ def test_declaration_after_a_long_start():
     assert langid.page_text("<!--><html lang=fr>")[1] == "fr" and langid.page_text("")[1] is None
 
 
+def test_rare_languages_are_learned(spark):
+    words = {"de": "und der die das nicht ein ist", "fr": "les des une est dans pour que", "fi": "mutta sekä joka kun vain niin"}
+    rows = [(i, f"{words['de']} {i}", "de") for i in range(1500)] + [(None, f"{words['fr']} {i}", "fr") for i in range(5)]
+    rows += [(3000 + i, f"{words['fi']} {i}", "fi-FI") for i in range(3)] + [(4000, words["fi"], "und")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
+    model = langid.learned(docs, sample=20)
+    assert model.languages == ["de", "fi", "fr", langid.UND]
+    got = [x.language for x in langid.of_documents(docs.where("doc_id between 3000 and 3999 or doc_id is null"), model).collect()]
+    assert sorted(got) == ["fi"] * 3 + ["fr"] * 5
+
+
 # --- quality
 
 
