@@ -70,6 +70,12 @@ def s1_prices(spark, sf_dir):
     return rounded(p.select("series_id", "pos", "date", "price"), 4)
 
 
+@query
+def s1_prices_full(spark, sf_dir):
+    """All dates; s1_prices is the part of it that SQL repeats."""
+    return rounded(dense(spark, sf_dir).prices.where("kind = 'stock'").select("series_id", "pos", "date", "price"), 4)
+
+
 @query
 def s2_enough_history(spark, sf_dir):
     return enough_history(gapped(spark, sf_dir).prices.where("kind = 'stock'"), 0.98)
@@ -473,14 +479,26 @@ def n7_cloud(spark, sf_dir):
     return rounded(optimize.cloud(gapped(spark, sf_dir).stocks(), replace(DEFAULT, cloud_points=500)))
 
 
+@query
+def n7_cloud_full(spark, sf_dir):
+    """With the usual number of points; n7_cloud has the first 500 for SQL."""
+    return rounded(optimize.cloud(gapped(spark, sf_dir).stocks()))
+
+
 @query
 def n9_monte_carlo(spark, sf_dir):
     return rounded(montecarlo.summary(_values(spark, sf_dir)), 3)
 
 
-def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def n9_monte_carlo_full(spark, sf_dir):
+    """With the usual number of paths; n9_monte_carlo has the first 2000 for SQL."""
+    return rounded(montecarlo.summary(_values(spark, sf_dir, None)), 3)
+
+
+def _values(spark: SparkSession, sf_dir: str, paths: int | None = 2000) -> DataFrame:
     moments = market_blend(spark, sf_dir).agg(F.avg("r").alias("mu"), F.stddev_samp("r").alias("sigma"))
-    return montecarlo.terminal_values(moments, 63, paths=2000)
+    return montecarlo.terminal_values(moments, 63, paths)
 
 
 @query
@@ -488,6 +506,11 @@ def a25_histogram(spark, sf_dir):
     return rounded(montecarlo.histogram(_values(spark, sf_dir)), 3)
 
 
+@query
+def a25_histogram_full(spark, sf_dir):
+    return rounded(montecarlo.histogram(_values(spark, sf_dir, None)), 3)
+
+
 # --- vintages
 
 

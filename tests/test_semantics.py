@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.config import DEFAULT
 from strandline.functions import stats
 from strandline.operators import costs, gate, metrics, montecarlo, optimize, rolling, strategies, stress
+from strandline.plans import queries
 from strandline.sources import json_payload
 from strandline.sources.panel import calendar_of, enough_history, simple_returns
 from strandline.streaming import bars
@@ -273,3 +274,29 @@ def test_streamed_bars(spark, sf_dir, tmp_path):
     whole = bars.daily_bars(events)
     assert 0 < closed.count() <= whole.count()
     assert closed.select("event_type", "day", "n").exceptAll(whole.select("event_type", "day", "n")).count() == 0
+
+
+def test_whole_jobs(spark, sf_dir):
+    import hashlib
+
+    import numpy as np
+
+    def uniform(*parts):
+        return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+    mu, sigma = one(queries.market_blend(spark, sf_dir).agg(F.avg("r").alias("mu"), F.stddev_samp("r").alias("sigma")), "mu", "sigma")
+    u = np.array([[[uniform(7, p, d, k) for k in (1, 2)] for d in range(1, 64)] for p in range(DEFAULT.paths)])
+    z = np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1])
+    values = DEFAULT.capital * np.maximum(1 + mu + sigma * z, 1e-6).prod(axis=1)
+    found = queries.QUERIES["n9_monte_carlo_full"](spark, sf_dir).first()
+    want = [*np.percentile(values, [5, 50, 95]), np.mean(values < DEFAULT.capital), np.mean(values)]
+    assert [found[c] for c in ("p5", "p50", "p95", "prob_loss", "mean")] == pytest.approx(want, abs=1e-3)
+    bins = queries.QUERIES["a25_histogram_full"](spark, sf_dir).orderBy("bin").collect()
+    assert [x.n for x in bins] == np.histogram(values, DEFAULT.bins)[0].tolist()
+    more = "/root/testdata/sf0.01"  # the smallest tables have no complete days
+    points = {x.point: x for x in queries.QUERIES["n7_cloud_full"](spark, more).collect()}
+    assert sorted(points) == list(range(DEFAULT.cloud_points))
+    assert all(points[x.point] == x for x in queries.QUERIES["n7_cloud"](spark, more).collect())
+    prices = queries.QUERIES["s1_prices_full"](spark, sf_dir)
+    calendar = queries.dense(spark, sf_dir).calendar
+    assert one(prices, F.min("date"), F.max("date"), F.count_distinct("date")) == one(calendar, F.min("date"), F.max("date"), F.count("*"))
