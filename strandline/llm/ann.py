@@ -9,13 +9,14 @@ are reranked by their exact cosine in double precision.
 
 Leaves are cut in blocks of bounded size, and so are a leaf's queries, so a
 leaf that holds a third of all rows is many small matrix products. Only each
-block's best k per query leave it. The work of a query grows with the share
+block's best k ids per query leave it. The work of a query grows with the share
 it searches, which is set for vectors that have next to no structure.
 
 Defined results: vectors that are null, zero, of another length than most or
 with null or non-finite components take no part, as rows and as queries. Rows
-without an id take no part. Of rows that repeat an id each is a candidate, and
-the id is listed once, with its best score. A query with fewer candidates than k gets
+without an id take no part. Rows that repeat an id and its vector count once. Of
+rows that repeat an id alone each is a candidate, and the id is listed once, with
+its best score, in one of the k places. A query with fewer candidates than k gets
 all that it reaches. Other columns are not read.
 """
 
@@ -121,8 +122,8 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, id, score: the k nearest found of each row that satisfies `queries` (over the column id)."""
     kind = dict(rows.dtypes)[id_col]
-    all_of = valid_vectors(rows, id_col, vec_col)
-    taken = all_of.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    all_of = written(valid_vectors(rows, id_col, vec_col).dropDuplicates(["id", "vec"]), "vectors")
+    taken = all_of.orderBy(F.xxhash64("id", "vec"), "id").limit(sample).toPandas()
     if taken.empty:
         return rows.sparkSession.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
     width = int(taken["vec"].map(len).mode()[0])
@@ -164,24 +165,31 @@ def nearest(
     )
     cuts = F.broadcast(cuts)  # a row per leaf of the bounded forest
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    ours = indexed.join(cuts, "leaf").select("leaf", place("id", "blocks").alias("block"), each("parts").alias("part"), "id", "vec")
-    theirs = asked.join(cuts, "leaf").select("leaf", each("blocks").alias("block"), place("query_id", "parts").alias("part"), "query_id", "query")
+    place = lambda c, n: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    ours = indexed.join(cuts, "leaf").select("leaf", place(("id", "vec"), "blocks").alias("block"), each("parts").alias("part"), "id", "vec")
+    theirs = asked.join(cuts, "leaf").select("leaf", each("blocks").alias("block"), place(("query_id", "query"), "parts").alias("part"), "query_id", "query")
 
     def rerank(key, block: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(part):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         ids = block["id"].to_numpy()
+        firsts, of_id = np.unique(ids, return_inverse=True)
+        repeats = len(firsts) < len(ids)
+        firsts = firsts if repeats else ids
         x, q = (np.frombuffer(b"".join(c), float).reshape(-1, width) for c in (block["vec"], part["query"]))
         score = q @ x.T
         score /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
         out = []
         for i, query in enumerate(part["query_id"].to_numpy()):
             own = np.where(ids == query, -2.0, score[i])
+            if repeats:  # an id takes one place, by its best row
+                best = np.full(len(firsts), -2.0)
+                np.maximum.at(best, of_id, own)
+                own = best
             top = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
             top = top[own[top] > -2]
-            top = top[np.lexsort((ids[top], -own[top]))][: k]
-            out.append((np.repeat(query, len(top)), ids[top], own[top]))
+            top = top[np.lexsort((firsts[top], -own[top]))][: k]
+            out.append((np.repeat(query, len(top)), firsts[top], own[top]))
         return pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     keys = ["leaf", "block", "part"]

@@ -63,6 +63,22 @@ def test_neighbours(spark):
     assert sorted(r.id for r in few) == [1, 2]
 
 
+def test_repeated_ids_take_one_place(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 8))
+    near = x[0] + rng.normal(0, 0.01, size=(60, 8))  # one id's rows, all closer to the query than any other
+    vectors = [*enumerate(x), *((1, v) for v in near), *((1, near[0]) for _ in range(60)), *((0, x[0]) for _ in range(3))]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in vectors], "vec_id long, embedding array<double>")
+    got = {r["rank"]: (r.id, r.score) for r in ann.nearest(df, F.col("id") == 0, leaf=1000).collect()}
+    best = {}
+    for i, v in vectors:
+        if i:
+            best[i] = max(best.get(i, -2), v @ x[0] / np.linalg.norm(v) / np.linalg.norm(x[0]))
+    want = sorted(best.items(), key=lambda b: -b[1])[:5]
+    assert [got[i + 1][0] for i in range(5)] == [i for i, _ in want] and got[1][0] == 1
+    assert [got[i + 1][1] for i in range(5)] == pytest.approx([s for _, s in want])
+
+
 # --- language
 
 
