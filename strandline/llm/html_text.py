@@ -4,9 +4,11 @@ Each page runs through the standard library's streaming parser. Its events
 give blocks of text in page order; what stands inside menus, headers, footers,
 sidebars, forms, scripts, adverts, notices or comment sections is set aside.
 Each block is a line with a text-to-tag ratio; the ratios are smoothed with a
-Gaussian and split in two clusters. Where a page marks its article, its blocks
-are the content and the ratios only score them; where it doesn't, the blocks
-of the high cluster, and low ones between two of them, are the content.
+Gaussian and split in two clusters. Where what a page marks as its article or
+main part holds at least half of the high cluster's text, the marked blocks are
+the content and the ratios only score them; where it doesn't, as with teasers
+beside an unmarked text, the blocks of the high cluster, and low ones between
+two of them, are the content.
 
 A null or empty page has no blocks and an empty text. Repeated rows give
 repeated results. Ids may be null; they are carried along. Only the id, url
@@ -167,12 +169,15 @@ def content_blocks(html: str | None, sigma: float = 1.0) -> list[tuple[str, floa
         return []
     ratio = np.array([len(text) / max(1, tags) for text, tags, _ in blocks])
     level = smoothed(ratio, sigma)
-    if any(main for *_, main in blocks):
-        return [(text, float(x)) for (text, _, main), x in zip(blocks, level, strict=True) if main]
-    if len(blocks) < 3 or level.max() < 2 * level.min():  # one cluster
-        return [(text, float(x)) for (text, _, _), x in zip(blocks, level, strict=True)]
-    high = np.flatnonzero(level >= two_means(level))
-    return [(blocks[i][0], float(level[i])) for i in range(high[0], high[-1] + 1)]
+    one = len(blocks) < 3 or level.max() < 2 * level.min()  # one cluster
+    high = np.arange(len(blocks)) if one else np.flatnonzero(level >= two_means(level))
+    main = np.array([m for *_, m in blocks])
+    size = np.array([len(text) for text, *_ in blocks])
+    if 2 * size[high][main[high]].sum() >= size[high].sum():  # what is marked holds the cluster
+        chosen = np.flatnonzero(main)
+    else:
+        chosen = np.arange(high[0], high[-1] + 1)
+    return [(blocks[i][0], float(level[i])) for i in chosen]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:

@@ -28,6 +28,17 @@ def test_without_marks_the_dense_region_wins():
     assert got.count("story") == 72 and "l5" not in got
 
 
+def test_marked_teasers_do_not_replace_the_text():
+    teasers = "".join(f"<article><a href='/{i}'><b>teaser</b></a> {i}</article>" for i in range(5))
+    body = "".join(f"<div>{'long sentence of the story ' * 12}{i}</div>" for i in range(6))
+    for page in (f"<div>{body}</div>{teasers}", f"{teasers}<div>{body}</div>", f"<div>{body}</div><article>a box</article>"):
+        got = "\n".join(t for t, _ in html_text.content_blocks(page))
+        assert got.count("story") == 72
+    links = "".join(f"<li><a href='/{i}'>l{i}</a></li>" for i in range(12))
+    got = "\n".join(t for t, _ in html_text.content_blocks(f"<ul>{links}</ul><main><h1>T</h1>{body}<p>e</p></main><ul>{links}</ul>"))
+    assert got.startswith("T\n") and got.endswith("\ne") and "l5" not in got
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>", 3), (1, "u", "<article>x</article>", 3), (None, None, None, 1)], "page_id long, url string, html string, n_chars int")
     got = html_text.main_text(pages).collect()
