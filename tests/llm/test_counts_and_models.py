@@ -79,6 +79,37 @@ def test_repeated_ids_take_one_place(spark):
     assert [got[i + 1][1] for i in range(5)] == pytest.approx([s for _, s in want])
 
 
+@pytest.mark.parametrize("n", [600, 4000])
+def test_recall_with_fewer_products_than_rows(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("id") % 50 == 0).collect()
+    u = ann.unit(x.astype(float))
+    hit = 0
+    for q in range(0, n, 50):
+        s = u @ u[q]
+        s[q] = -2
+        own = [r for r in got if r.query_id == q]
+        assert all(abs(r.score - s[r.id]) < 1e-12 for r in own)
+        hit += len({r.id for r in own} & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.9 * 5 * len(range(0, n, 50))
+    forest = ann.grown(u)
+    leaves = np.stack([forest.route(u, t) for t in range(ann.TREES)], axis=1)
+    scored = [np.isin(leaves, forest.search(u[q], ann.SHARE)).any(axis=1).sum() for q in range(0, n, 50)]
+    assert max(scored) < 0.9 * n
+
+
+def test_copies_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 8))
+    rows = [*enumerate(x), *((1000 + i, x[7]) for i in range(90))]  # a hot vector in many blocks
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in rows], "vec_id long, embedding array<double>")
+    got = [r.id for r in sorted(ann.nearest(df, F.col("id") == 1050, share=1.0).collect(), key=lambda r: r["rank"])]
+    assert got == [7, 1000, 1001, 1002, 1003]
+
+
 # --- language
 
 
