@@ -1,12 +1,13 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact links.
 
 A document's set holds its distinct shingles of five words (fewer words: the
-whole sequence). Documents with equal sets form a class at once; only one
-member of each class, the smallest id, goes on as a node. Nodes that share a
-band of their signatures share a bucket. Candidates are compared batch by
-batch of signature values: a pair is dropped as soon as the posterior
-probability that its similarity reaches the threshold falls under a chosen
-miss probability. Survivors are confirmed on their full sets.
+whole sequence). Documents with equal sets form a class at once; one row of
+each class goes on as its node. A node is a number of its own, so texts that
+share an id stay apart. Nodes that share a band of their signatures share a
+bucket. Candidates are compared batch by batch of signature values: a pair is
+dropped as soon as the posterior probability that its similarity reaches the
+threshold falls under a chosen miss probability. Survivors are confirmed on
+their full sets, which are hashed once and then travel as hashes.
 
 Buckets never emit all their pairs. First each member is compared with its
 bucket's leader, and with another leader as long as most members of the
@@ -15,12 +16,17 @@ buckets whose members still lie in several components, members outside the
 main one are compared with all members of other components, in blocks of
 bounded size inside the tasks: pruned by their signatures, confirmed on their
 full sets, and only links leave the block. So each pair of a bucket is either
-linked through others or compared, whatever the bucket's size.
+linked through others or compared, whatever the bucket's size. What is known of
+a bucket, a leader or a component reaches its rows through keys that are salted
+by the row, so that a group of a third of all rows is dealt to many tasks.
 
 Defined results: null or wordless texts have an empty set and are linked with
-nothing. Rows that repeat an id and text get equal results. A row without an
-id is linked with nothing, has no component and is kept. Other columns are
-not read. An empty table gives no rows.
+nothing. Rows that repeat an id and text get equal results. Different texts
+with one id are told apart: each belongs to its own component. A row without an
+id is linked with nothing, has no component and is kept. Texts may be of any
+length: a set is held whole, and pairs are dealt out by the size of their sets.
+Other columns are not read. An empty table gives no rows. `deduplicated` leaves
+one row of each component, and one of rows that repeat an id and text.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import bounded_batches, trimmed, written
+from strandline.llm.shared import bounded_batches, looked_up, one_of_repeats, salted, trimmed, without, written
 
 SHINGLE = 5
 #: Similarity in percent that makes a link.
@@ -45,8 +51,10 @@ BATCH = 16
 #: A pair is dropped when the posterior probability of a link is under this.
 MISS = 1e-7
 SEED = 20_240_229
-#: Rounds with one leader per bucket before the block comparison, and documents of a block's side.
-STAR_ROUNDS, BLOCK = 3, 192
+#: Rounds with one leader per bucket before the block comparison, documents of a block's side and their shingles.
+STAR_ROUNDS, BLOCK, BLOCK_SHINGLES = 3, 192, 400_000
+#: Shingles of the followers that are confirmed with one copy of their leader's.
+TOGETHER = 500_000
 #: Edges that one task of the component search takes at least.
 EDGES_PER_TASK = 100_000
 #: Ids of candidate documents (8 bytes each) are broadcast up to so many.
@@ -116,7 +124,7 @@ def least_matches(total: int, batch: int, percent: int, miss: float) -> list[tup
 
 
 def signed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest (128 bits of the whole set; null if empty), sig."""
+    """doc_id, text_hash, n_shingles, digest (128 bits of the whole set; null if empty), sig."""
     kind = dict(docs.dtypes)[id_col]
     a, b = hash_family(BANDS * ROWS, SEED)
 
@@ -131,10 +139,10 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s, a, b) if len(s) else None)
-            yield pd.DataFrame({"doc_id": part["_id"], "n_shingles": sizes, "digest": digests, "sig": sigs})
+            yield pd.DataFrame({"doc_id": part["_id"], "text_hash": part["_hash"], "n_shingles": sizes, "digest": digests, "sig": sigs})
 
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return own.mapInPandas(sign, f"doc_id {kind}, n_shingles long, digest binary, sig binary")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    return own.mapInPandas(sign, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, sig binary")
 
 
 def in_buckets(nodes: DataFrame) -> DataFrame:
@@ -160,39 +168,57 @@ def passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 left, equal = left[keep], equal[keep]
             yield part.iloc[left][["a", "b"]]
 
+    pairs = written(pairs, "pairs")
     signed = lambda end: nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
-    both = pairs.join(signed("b"), "b").join(signed("a"), "a").select("a", "b", "sig_a", "sig_b")
-    kind = dict(pairs.dtypes)["a"]
-    return both.mapInPandas(prune, f"a {kind}, b {kind}")
+    # a node follows in one pair a band at most, but leads in any number
+    both = looked_up(pairs.join(signed("b"), "b"), "a", "b", signed("a"), asking=pairs)
+    return both.select("a", "b", "sig_a", "sig_b").mapInPandas(prune, "a long, b long")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text of the documents with these ids (column id, distinct), stored."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return written(texts.dropDuplicates(["id"]), "texts")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs a, b that are links on their full sets."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col)
+def sets_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, n_shingles, shingles (8 bytes each, sorted) of the nodes in ids (column node, distinct), stored."""
+    wanted = written(nodes.join(ids, "node", "left_semi").select("node", "doc_id", "text_hash"), "wanted")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("node", "text")
 
     @trimmed
-    def confirm(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            hashes, sets, keep = WordHashes(), {}, []
-            for a, b, text_a, text_b in zip(part["a"], part["b"], part["text_a"], part["text_b"], strict=True):
-                if a not in sets:
-                    sets = {a: shingle_hashes(text_a, hashes)}  # pairs of one leader come together
-                x, y = sets[a], shingle_hashes(text_b, hashes)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield part.loc[keep, ["a", "b"]]
+            hashes = WordHashes()
+            sets = [shingle_hashes(t, hashes) for t in part["text"]]
+            yield pd.DataFrame({"node": part["node"], "n_shingles": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+    return written(texts.mapInPandas(hashed, "node long, n_shingles long, shingles binary").dropDuplicates(["node"]), "sets")
 
-    named = lambda end: texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}"))
-    both = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "text_a", "text_b")
-    kind = dict(pairs.dtypes)["a"]
-    return both.mapInPandas(confirm, f"a {kind}, b {kind}")
+
+def as_set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs a, b (a leads) that are links on their full sets; pairs is a stored table.
+
+    A leader's pairs are cut by the size of the followers' sets, and each cut
+    takes one copy of the leader's set.
+    """
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, id_col, text_col)
+    sized = pairs.join(nodes.select(F.col("node").alias("b"), "n_shingles"), "b")
+    cuts = written(sized.groupBy("a").agg(F.ceil(F.sum("n_shingles") / TOGETHER).alias("cuts")), "cuts")
+    followers = looked_up(pairs, "a", "b", cuts).select("a", F.pmod(F.xxhash64("b"), F.col("cuts")).alias("cut"), "b")
+    followers = followers.join(sets.select(F.col("node").alias("b"), "shingles"), "b").select("a", "cut", "b", "shingles")
+    leaders = cuts.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("lead")), "a")
+    leaders = leaders.select("a", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "lead")
+
+    def confirm(key, led: pd.DataFrame, lead: pd.DataFrame) -> pd.DataFrame:
+        x, keep = as_set(lead["lead"].iloc[0]), []
+        for raw in led["shingles"]:
+            y = as_set(raw)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+        return led.loc[np.array(keep, bool), ["a", "b"]]
+
+    return followers.groupBy("a", "cut").cogroup(leaders.groupBy("a", "cut")).applyInPandas(confirm, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,10 +229,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = kept(both, "edges")
     labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = looked_up(both, "b", "a", labels.select(F.col("node").alias("b"), "comp")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("there"))
-        step = kept(lower.join(jump, "to").select("node", "was", F.least("to", "there").alias("comp")), "labels")
+        step = kept(looked_up(lower, "to", "node", jump).select("node", "was", F.least("to", "there").alias("comp")), "labels")
         labels = step.select("node", "comp")
         if not step.where("comp <> was").limit(1).count():
             return labels
@@ -220,9 +246,12 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def main_components(members: DataFrame) -> DataFrame:
-    """bucket, main (the component with most members), size, in_main."""
-    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    return sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("size"), F.max("n").alias("in_main"))
+    """bucket, main (the component with most members), size, in_main, shingles of all and of those in main."""
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    most = F.max(F.struct("n", "comp", "weight"))
+    return sizes.groupBy("bucket").agg(most.alias("most"), F.sum("n").alias("size"), F.sum("weight").alias("weight")).select(
+        "bucket", F.col("most.comp").alias("main"), "size", F.col("most.n").alias("in_main"), "weight", (F.col("weight") - F.col("most.weight")).alias("outer_weight")
+    )
 
 
 def common_shingles(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -247,17 +276,18 @@ def common_shingles(left: list[np.ndarray], right: list[np.ndarray], width: int
 def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links a, b between different components of a bucket; of an outsider's links to one component, one.
 
-    members: bucket, band, node, comp. In each bucket the members outside its
-    main component meet all members, block by block. A pair is taken up in
-    the first band that it shares, so that other buckets of it pass it over.
+    members: bucket, band, node, n_shingles, comp. In each bucket the
+    members outside its main component meet all members, block by block. A pair
+    is taken up in the first band that it shares, so that other buckets of it
+    pass it over.
     """
-    kind = dict(members.dtypes)["node"]
-    main = main_components(members)
-    main = main.withColumns({"blocks": F.ceil(F.col("size") / BLOCK), "outer": F.ceil((F.col("size") - F.col("in_main")) / BLOCK)})
-    texts = texts_of(members.select(F.col("node").alias("id")).distinct(), docs, id_col, text_col)
-    whole = nodes.join(texts.withColumnRenamed("id", "node"), "node")
+    parts = lambda n, weight: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(weight / BLOCK_SHINGLES))
+    main = main_components(members).withColumns(
+        {"blocks": parts(F.col("size"), F.col("weight")), "outer": parts(F.col("size") - F.col("in_main"), F.col("outer_weight"))}
+    )
+    sets = sets_of(members.select("node").distinct(), nodes, docs, id_col, text_col).select("node", "shingles")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    all_of = members.join(main, "bucket")
+    all_of = looked_up(members, "bucket", "node", main.select("bucket", "main", "blocks", "outer"))
     inner = all_of.select("bucket", "band", "node", "comp", F.lit(False).alias("out"), place("blocks").alias("j"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"))
     outer = all_of.where("comp <> main").select("bucket", "band", "node", "comp", F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), place("outer").alias("i"))
     bounds = least_matches(BANDS * ROWS, BATCH, PERCENT, MISS)
@@ -281,9 +311,9 @@ def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
                 left_of[k] = left
         found_a, found_b = [node[:0]], [node[:0]]
         if left_of:
-            hashes, text = WordHashes(), block["text"].tolist()
+            raw = block["shingles"].tolist()
             rights = np.unique(np.concatenate(list(left_of.values())))
-            ours, theirs = ([shingle_hashes(text[k], hashes) for k in which] for which in (left_of, rights))
+            ours, theirs = ([as_set(raw[k]) for k in which] for which in (left_of, rights))
             common = common_shingles(ours, theirs)
             size = np.array(list(map(len, theirs)))
             for i, (k, left) in enumerate(left_of.items()):
@@ -294,30 +324,37 @@ def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
                 found_b.append(np.maximum(node[link], node[k]))
         return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
+    whole = nodes.select("node", "sig").join(sets, "node")
     cut = inner.unionByName(outer).join(whole, "node")
-    return cut.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return cut.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (least id reachable), kept."""
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """bucket, band, node, n_shingles, leader, n of the nodes in buckets of two or more (each band's bucket of a node is one row)."""
+    rows = salted(in_buckets(nodes), "node")
+    # counts by salt are summed per bucket and go back by salt, so that no task meets a whole bucket
+    by_salt = rows.groupBy("bucket", "salt").agg(F.min("node").alias("least"), F.count("*").alias("k"))
+    shared = by_salt.groupBy("bucket").agg(F.min("least").alias("leader"), F.sum("k").alias("n")).where("n > 1")
+    placed = by_salt.select("bucket", "salt").join(shared, "bucket")
+    return rows.join(placed, ["bucket", "salt"]).join(nodes.select("node", "n_shingles"), "node").select("bucket", "band", "node", "n_shingles", "leader", "n")
+
+
+def placed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, n_shingles, digest, comp (a number for each component; null without a set or an id), component_id."""
     bounded_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    signed = written(signed_documents(docs, id_col, text_col), "signed")
+    signed = written(signed_documents(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signed")
     linkable = signed.where("digest is not null and doc_id is not null")
-    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = linkable.select(F.col("doc_id").alias("node"), "sig").join(classes.select("node").distinct(), "node", "left_semi")
-    nodes = written(nodes.dropDuplicates(["node"]), "nodes")
-    buckets = in_buckets(nodes)
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(shared, "bucket").select("bucket", "band", "node", "leader", "n"), "members")
+    classes = written(linkable.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("row").alias("node")), "classes")
+    nodes = written(linkable.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node").drop("digest"), "nodes")
+    members = written(bucket_members(nodes), "members")
     pairs = passing(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes)
-    links = written(confirmed(written(pairs, "survivors"), docs, id_col, text_col), "links")
+    links = written(confirmed(written(pairs, "survivors"), nodes, docs, id_col, text_col), "links")
     labels = components(links)
     for turn in range(1, STAR_ROUNDS + 1):
         # all members have met their leader; a bucket is open while the others lie in several components
-        held = labelled(members.where("n > 2").select("bucket", "band", "node", "leader"), labels)
+        held = written(labelled(members.where("n > 2").select("bucket", "band", "node", "n_shingles", "leader"), labels), "held")
         spread = held.where("node <> leader").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        held = written(held.join(spread.select("bucket"), "bucket", "left_semi"), "open")
+        held = written(looked_up(held, "bucket", "node", spread.select("bucket")), "open")
         size, in_main = main_components(held).agg(F.sum("size"), F.sum("in_main")).first()
         if not size:
             break
@@ -328,23 +365,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         # another leader: from outside the first leader's component, by a hash that changes with the round
         heads = held.where("node = leader").select("bucket", F.col("comp").alias("led"))
-        rest = held.join(heads, "bucket").where("comp <> led")
+        rest = looked_up(held, "bucket", "node", heads).where("comp <> led")
         chosen = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"), F.col("comp"))).alias("x"))
-        chosen = chosen.select("bucket", F.col("x.node").alias("to"), F.col("x.comp").alias("to_comp"))
-        ends = held.join(chosen, "bucket").where("comp <> to_comp")
-        pairs = passing(ends.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), nodes)
-        links = links.unionAll(written(confirmed(written(pairs, "survivors"), docs, id_col, text_col), "links"))
+        chosen = chosen.select("bucket", F.col("x.node").alias("a"), F.col("x.comp").alias("to_comp"))
+        ends = looked_up(held, "bucket", "node", chosen).where("comp <> to_comp")
+        pairs = passing(ends.select("a", F.col("node").alias("b")).distinct(), nodes)
+        links = links.unionAll(written(confirmed(written(pairs, "survivors"), nodes, docs, id_col, text_col), "links"))
         labels = components(links)
-    found = labelled(classes, labels).select("digest", F.col("comp").alias("component"))
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
-    return signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    found = written(labelled(classes, labels), "found")
+    firsts = found.groupBy("comp").agg(F.min("first").alias("component_id"))
+    of_class = looked_up(found.select("digest", "comp"), "comp", "digest", firsts).select("digest", "comp", "component_id")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"), "row")
+    held = looked_up(rows.where("digest is not null"), "digest", "row", of_class).select("doc_id", "text_hash", "n_shingles", "digest", "comp", "component_id")
+    alone = rows.where("digest is null").select("doc_id", "text_hash", "n_shingles", "digest", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return held.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (least id reachable), kept."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return placed_rows(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are not the first of their group."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    gone = written(gone, "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
+    """docs with one row of each component: that of the least id and, of several texts with that id, of the least hash."""
+    rows = written(placed_rows(docs, id_col, text_col).select("doc_id", "text_hash", "comp", "component_id"), "placed")
+    heads = rows.where("comp is not null and doc_id = component_id")
+    several = heads.groupBy("comp").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most")
+    others = heads.join(several.select("comp", "least"), "comp").where("text_hash <> least")
+    gone = rows.where("doc_id <> component_id").select("doc_id", "text_hash").unionAll(others.select("doc_id", "text_hash"))
+    gone = written(gone.distinct(), "gone")
+    repeats = rows.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return one_of_repeats(without(docs, gone, id_col, text_col), repeats, id_col, text_col)

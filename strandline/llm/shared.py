@@ -10,7 +10,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder, as in tests on one machine.
+#: Only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 #: White space that ends a word: space and \t \n \v \f \r.
@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
         named = LOCAL_SHARED
     return named.rstrip("/")
@@ -89,11 +91,57 @@ def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 #: Rows of ids and hashes (16 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 400_000
+#: Shares that the rows of one key are cut in where they meet what is known of the key.
+SALTS = 512
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose id and text are in gone (doc_id, text_hash); shuffles texts only if those are many."""
-    gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def salted(rows: DataFrame, spread_by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+
+
+def looked_up(rows: DataFrame, key: str, spread_by: str, table: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """rows joined with a table of one row per key, when one key may hold a great part of the rows.
+
+    Each key asks once for every salt of its rows, at most SALTS times; rows
+    meet the answer by key and salt. rows must have no column salt. asking has
+    the same keys and spread_by where rows are costly to make twice.
+    """
+    asked = salted(rows if asking is None else asking, spread_by).select(key, "salt").distinct()
+    rows = salted(rows, spread_by)
+    return rows.join(asked.join(table, key), [key, "salt"]).drop("salt")
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if a count shows that it has no more rows than that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def keyed(docs: DataFrame, keys: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    """docs joined (left_semi or left_anti) on id and text with stored keys (doc_id, text_hash); shuffles texts only if the keys are many."""
+    names = [unused(docs, "key_id"), unused(docs, "key_hash")]
+    keys = keys.select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1]))
+    same = F.col(id_col).eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1]))
+    return docs.join(maybe_broadcast(keys), same, how)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and text are in gone (doc_id, text_hash)."""
+    return keyed(docs, written(gone.select("doc_id", "text_hash").distinct(), "gone"), "left_anti", id_col, text_col)
+
+
+def one_of_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each id and text in repeats (doc_id, text_hash); only such rows move."""
+    repeats = written(repeats.select("doc_id", "text_hash"), "repeats")
+    if repeats.isEmpty():
+        return docs
+    again, name = keyed(docs, repeats, "left_semi", id_col, text_col), unused(docs, "text_hash")
+    first = again.withColumn(name, F.xxhash64(text_col)).dropDuplicates([id_col, name]).drop(name)
+    return keyed(docs, repeats, "left_anti", id_col, text_col).unionByName(first)

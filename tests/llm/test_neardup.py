@@ -55,6 +55,36 @@ def test_blocks_of_two_documents(spark, monkeypatch):
     check(spark, [(i, edited(base, 0.02 + 0.001 * i, i)) for i in range(60)])
 
 
+def test_texts_that_share_an_id_stay_apart(spark):
+    a, b, c = prose(60, 21), prose(60, 22), prose(60, 23)
+    rows = [(1, a), (2, a), (2, b), (1, c), (3, c), (1, a), (4, None), (4, None), (4, ""), (None, a), (None, a)]
+    got = sorted(((x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (1, 1, True), (3, 1, False), (1, 1, True), (4, 4, True), (4, 4, True), (4, 4, True), (None, None, True), (None, None, True)], key=str)
+    left = sorted(((x.doc_id, x.text) for x in neardup.deduplicated(table(spark, rows)).collect()), key=str)
+    assert left == sorted([(1, a), (2, b), (1, c), (4, None), (4, ""), (None, a), (None, a)], key=str)
+    one = neardup.deduplicated(table(spark, [(7, a), (7, a.upper()), (8, a)])).collect()
+    assert len(one) == 1 and one[0].doc_id == 7
+
+
+def test_very_long_texts(spark):
+    base = prose(150_000, 31)
+    check(spark, [(1, base), (2, base + " more"), (3, "x " * 400_000), (4, prose(100, 32)), (5, edited(base, 0.03, 1))])
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f")]
+    docs = table(spark, rows).selectExpr("*", "1 as key_id", "2 as KEY_HASH", "3 as gone_id", "4 as comp", "5 as salt", "6 as component_id", "7 as node", "8 as least")
+    left = neardup.deduplicated(docs)
+    assert left.columns == docs.columns and [x.doc_id for x in left.collect()] == [1]
+
+
+def test_cuts_of_a_leader(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TOGETHER", 300)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
+    base = prose(120, 6)
+    check(spark, [(i, edited(base, 0.02 + 0.001 * i, i)) for i in range(50)])
+
+
 def test_empty(none):
     assert neardup.near_duplicates(none).count() == 0
 
