@@ -25,7 +25,7 @@ def test_histogram_and_sums(spark, odd, odd_rows, none):
     for x in sums.collect():
         assert x.docs_over == sum(s > x.n_tokens for s in sizes) and x.tokens_over == sum(s for s in sizes if s > x.n_tokens)
         assert x.truncated_tokens == sum(min(s, x.n_tokens) for s in sizes)
-    limits = [0, 3, 500, 10**6]
+    limits = [0, 1, 3, 500, 10**6, max(sizes)]
     got = {x.limit: (x.docs_within, x.truncated_tokens, x.tokens_lost) for x in token_counts.limits_report(sums, limits).collect()}
     assert got == {n: (sum(s <= n for s in sizes), sum(min(s, n) for s in sizes), sum(max(s - n, 0) for s in sizes)) for n in limits}
     half = token_counts.length_quantile(sums, [0.5]).first().n_tokens
@@ -33,6 +33,23 @@ def test_histogram_and_sums(spark, odd, odd_rows, none):
     assert token_counts.with_suffix_sums(token_counts.length_histogram(none)).count() == 0
 
 
+def test_long_runs(spark):
+    count = token_counts.Counter(open(token_counts.RANKS, "rb").read())
+    n = 12_000
+    for run in (" " * n, "\n" * n, " \n\t" * (n // 3), "\u3000 " * (n // 2), "x" * n, "-" * n):
+        for text in (run, f"a{run}", f"{run}b", f"a{run}b c{run} d{run}'s", f"a{run}\x1c{run}"):
+            assert count(text) == len(count.whole.encode_ordinary(text)), (run[:3], text[-3:])
+    rows = [(i, t) for i, t in enumerate(["x" + " " * 1_000_000, "\n" * 1_000_000 + "y", "z" * 1_000_000])]
+    got = token_counts.length_histogram(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.agg(F.sum("n_docs")).first()[0] == 3 and got.agg(F.max("n_tokens")).first()[0] > 900_000
+
+
+def test_texts_are_encoded_once(spark, odd):
+    sums = token_counts.with_suffix_sums(token_counts.length_histogram(odd))
+    assert "ArrowEvalPython" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert token_counts.limits_report(sums.where("false"), [3]).count() == 0
+
+
 # --- nearest neighbours
 
 
