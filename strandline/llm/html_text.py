@@ -1,24 +1,28 @@
 """HTML extraction: parser events, text-to-tag ratios, smoothing, thresholds.
 
 Each page runs through the standard library's streaming parser. Its events
-give blocks of text in page order; what stands inside menus, headers, footers,
-sidebars, forms, scripts, adverts, notices or comment sections is set aside.
-Each block is a line with a text-to-tag ratio; the ratios are smoothed with a
-Gaussian and split in two clusters. Where what a page marks as its article or
-main part holds at least half of the high cluster's text, the marked blocks are
-the content and the ratios only score them; where it doesn't, as with teasers
-beside an unmarked text, the blocks of the high cluster, and low ones between
-two of them, are the content.
-
-A null or empty page has no blocks and an empty text. Repeated rows give
-repeated results. Ids may be null; they are carried along. Only the id, url
-and html columns are read.
+give lines (blocks of text) in page order; what stands inside menus, headers,
+footers, sidebars, forms, scripts, adverts, notices or comment sections is set
+aside, by element or by a class, id or role whose whole name says so. Each line
+has a text-to-tag ratio; the ratios' logarithms are smoothed with a Gaussian over
+the page's lines and split in two clusters. Lines that share a container (an
+article, or else the innermost section, list or table) are a region, and a region
+is content if its level, weighted by text, reaches the threshold between the
+clusters. A lower region between two of content stays unless most of its text
+stands in links. Where what a page marks as its article or main part holds at
+least half of the text so chosen, regions outside of it are dropped, and lower
+ones beside the chosen in the same marked part stay under the same condition.
+
+A null or empty page has no lines and an empty text. Pages may be of any length
+and depth. Repeated rows give repeated results. Ids may be null; they are
+carried along. Only the id, url and html columns are read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,9 +33,9 @@ from strandline.llm.shared import bounded_batches
 
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
-#: Elements that hold something other than the article.
-ASIDE = frozenset("nav header footer aside form menu dialog select button textarea fieldset".split())
-#: Words in class, id or role that mark such parts.
+#: Elements that hold something other than the article; a header or footer of an article is told apart below.
+ASIDE = frozenset("nav header footer aside form menu dialog select button textarea".split())
+#: Words for such parts in class, id or role ...
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar "
@@ -39,6 +43,11 @@ ASIDE_WORDS = frozenset(
     "comment comments disqus replies reply respond related recommended share sharing social widget "
     "search pagination pager toolbar complementary contentinfo".split()
 )
+#: ... and words that only place or hold them: a name of several words counts if all are of these two kinds.
+LAYOUT_WORDS = frozenset(
+    "site page main global top bottom left right upper lower primary secondary sub box block bar list area wrap wrapper container section "
+    "inner outer holder slot unit links link buttons button icons icon form item items thread posts post articles stories user users reader readers the".split()
+)
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a block.
@@ -47,42 +56,61 @@ BLOCKS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that mark the article itself.
+#: Elements that mark the article itself, and those whose lines are a region.
 MAIN = frozenset(("article", "main"))
+CONTAINERS = frozenset("article main section div ul ol dl table blockquote details".split())
 WORDS = re.compile(r"[a-z]+")
+#: Least distance of two clusters (of logarithms): a fourfold ratio.
+APART = 1.386
 BLANK = re.compile(r"\s+")
 
 
-def marked_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def names_aside(name: str) -> bool:
+    """Whether a whole class, id or role names a part that is set aside."""
+    words = WORDS.findall(name)
+    return not ASIDE_WORDS.isdisjoint(words) and all(w in ASIDE_WORDS or w in LAYOUT_WORDS for w in words)
+
+
+def marked_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool = False) -> bool:
     if tag in ASIDE:
-        return True
+        return not (in_article and tag == "header")  # an article's own header holds its title
     if tag in ("html", "body") or tag in MAIN:
         return False
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            if not ASIDE_WORDS.isdisjoint(WORDS.findall(value.lower())):
+            if any(map(names_aside, value.lower().split())):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
+@dataclass
+class Line:
+    text: str
+    tags: int  # since the line before, but for set-aside parts
+    region: int
+    mark: int  # number of the outermost article or main element around it, or 0
+    linked: int  # characters inside links
+
+
 class Events(HTMLParser):
-    """Collects (text, tags, in_main) for each block outside of set-aside parts."""
+    """Collects the lines outside of set-aside parts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, sets aside, marks the article
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, sets aside, marks the article, region
         self.counts: dict[str, int] = {}  # of open elements by tag
-        self.aside = self.main = self.tags = 0
+        self.aside = self.main = self.marks = self.tags = self.linked = self.regions = 0
         self.parts: list[str] = []
-        self.blocks: list[tuple[str, int, bool]] = []
+        self.lines: list[Line] = []
 
     def end_block(self) -> None:
         text = BLANK.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.tags, self.main > 0))
+            self.lines.append(Line(text, self.tags, self.open[-1][3] if self.open else 0, self.marks if self.main else 0, self.linked))
             self.tags = 0
+        self.linked = 0
         self.parts.clear()
 
     def handle_starttag(self, tag, attrs):
@@ -92,13 +120,18 @@ class Events(HTMLParser):
                 self.end_paragraph()
             if tag == "body" and self.counts.get("head"):
                 self.close_element("head")
-        self.tags += 1
+        self.tags += not self.aside
         if tag in VOID:
             return
-        aside, main = tag in SILENT or marked_aside(tag, attrs), tag in MAIN
-        self.open.append((tag, aside, main))
+        aside, main = tag in SILENT or marked_aside(tag, attrs, self.counts.get("article", 0) > 0), tag in MAIN
+        region = self.open[-1][3] if self.open else 0
+        if tag == "article" or tag in CONTAINERS and not self.counts.get("article"):
+            self.regions += 1
+            region = self.regions
+        self.open.append((tag, aside, main, region))
         self.counts[tag] = self.counts.get(tag, 0) + 1
         self.aside += aside
+        self.marks += main and not self.main
         self.main += main
 
     def handle_startendtag(self, tag, attrs):
@@ -107,14 +140,14 @@ class Events(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.end_block()
-        self.tags += 1
+        self.tags += not self.aside
         if self.counts.get(tag):  # a stray end tag closes nothing
             self.close_element(tag)
 
     def close_element(self, tag):
         """Closes the innermost open element of this tag and all inside it."""
         while self.open:
-            last, aside, main = self.open.pop()
+            last, aside, main, _ = self.open.pop()
             self.counts[last] -= 1
             self.aside -= aside
             self.main -= main
@@ -132,6 +165,8 @@ class Events(HTMLParser):
     def handle_data(self, data):
         if not self.aside:
             self.parts.append(data)
+            if self.counts.get("a"):
+                self.linked += len(data.strip())
 
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -156,32 +191,57 @@ def two_means(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def line_levels(lines: list[Line], sigma: float) -> np.ndarray:
+    """Smoothed logarithm of each line's text-to-tag ratio."""
+    return smoothed(np.log1p([len(x.text) / max(1, x.tags) for x in lines]), sigma)
+
+
+def threshold(level: np.ndarray) -> float:
+    """Between the two clusters of levels; under all of them if the clusters are not apart."""
+    cut = two_means(level)
+    above = level > cut
+    if above.all() or not above.any() or level[above].mean() - level[~above].mean() < APART:
+        return -np.inf
+    return cut
+
+
+def chosen_lines(lines: list[Line], level: np.ndarray) -> np.ndarray:
+    """Places of the lines in content regions."""
+    _, region = np.unique([x.region for x in lines], return_inverse=True)
+    size = np.array([len(x.text) for x in lines])
+    total = np.bincount(region, size)
+    mean, cut = np.bincount(region, size * level) / total, threshold(level)
+    high = mean >= cut
+    if not high.any():
+        high[mean.argmax()] = True
+    linked = np.bincount(region, [x.linked for x in lines])
+    ends = np.flatnonzero(high[region])[[0, -1]]
+    between = np.zeros(len(high), bool)
+    between[region[ends[0] : ends[1] + 1]] = True
+    loose = 2 * linked <= total
+    chosen = (high | between & loose)[region]
+    mark = np.array([x.mark for x in lines])
+    if 2 * size[chosen & (mark > 0)].sum() >= size[chosen].sum():  # what is marked holds the content
+        chosen = (mark > 0) & (chosen | np.isin(mark, mark[chosen]) & loose[region])
+    return np.flatnonzero(chosen)
+
+
 def content_blocks(html: str | None, sigma: float = 1.0) -> list[tuple[str, float]]:
-    """(text, smoothed text-to-tag ratio) of each content block in page order."""
+    """(text, smoothed logarithm of the text-to-tag ratio) of each content line in page order."""
     if not html:
         return []
     events = Events()
     events.feed(html)
     events.close()
     events.end_block()
-    blocks = events.blocks
-    if not blocks:
+    if not events.lines:
         return []
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _ in blocks])
-    level = smoothed(ratio, sigma)
-    one = len(blocks) < 3 or level.max() < 2 * level.min()  # one cluster
-    high = np.arange(len(blocks)) if one else np.flatnonzero(level >= two_means(level))
-    main = np.array([m for *_, m in blocks])
-    size = np.array([len(text) for text, *_ in blocks])
-    if 2 * size[high][main[high]].sum() >= size[high].sum():  # what is marked holds the cluster
-        chosen = np.flatnonzero(main)
-    else:
-        chosen = np.arange(high[0], high[-1] + 1)
-    return [(blocks[i][0], float(level[i])) for i in chosen]
+    level = line_levels(events.lines, sigma)
+    return [(events.lines[i].text, float(level[i])) for i in chosen_lines(events.lines, level)]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:
-    """id, url, text, n_chars, n_blocks, ratio (mean smoothed text-to-tag ratio of the content)."""
+    """id, url, text, n_chars, n_blocks, ratio (mean smoothed logarithm of the text-to-tag ratio of the content)."""
     bounded_batches(pages.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = f"`{id_col}` {fields[id_col]}, `{url_col}` {fields[url_col]}, text string, n_chars long, n_blocks int, ratio double"

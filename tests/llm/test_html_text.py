@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import pytest
 
 from strandline.llm import html_text
@@ -13,6 +17,10 @@ CASES = [
     ("<main><p>in main</p></main><div id='cookie-notice'>no</div>", "in main"),
     ("<article><p>x</p></nav></div><p>stray ends</p></article>", "x\nstray ends"),
     ("<article>" + "<p>w</p>" * 3000 + "</article>", "\n".join("w" * 3000)),
+    ("<header>site</header><article><header><h1>Title</h1></header><p>text</p><footer>by</footer></article>", "Title\ntext"),
+    ("<article><p class='share-price'>a</p><section id='search-algorithms'>b</section><p class='notice-board'>c</p><fieldset>d</fieldset></article>", "a\nb\nc\nd"),
+    ("<article><p>a</p><div class='lead site-header'>no</div><ul class=related-posts><li>no</ul><div id=comment-list>no</div><div class='commentary'>yes</div></article>", "a\nyes"),
+    ("<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>", "deep"),
 ]
 
 
@@ -44,3 +52,73 @@ def test_rows(spark):
     got = html_text.main_text(pages).collect()
     assert sorted((x.text, x.n_chars) for x in got) == [("", 0), ("x", 1), ("x", 1)]
     assert html_text.main_text(pages.where("false")).count() == 0
+
+
+def test_clusters_alone_choose_the_article(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    text = lambda html: "\n".join(t for t, _ in html_text.content_blocks(html))
+    marked = [text(h) for h in pages]
+    renamed = [text(h.replace("<article", "<div").replace("</article", "</div")) for h in pages]
+    assert sum(a == b for a, b in zip(marked, renamed, strict=True)) >= 0.95 * len(pages)
+    # without names for menu and article the menu's lines are a region of their own
+    bare = [text(re.sub(r"(</?)(nav|article)\b", r"\1div", h)) for h in pages]
+    assert sum(a == b for a, b in zip(marked, bare, strict=True)) >= 0.95 * len(pages)
+
+
+def test_region_rules():
+    story = "".join(f"<p>{'long sentence of the story ' * 12}{i}</p>" for i in range(3))
+    links = "".join(f"<li><a href='/{i}'>l{i}</a></li>" for i in range(12))
+    got = "\n".join(t for t, _ in html_text.content_blocks(f"<div>{story}</div><ul>{links}</ul><div>{story}<p>The end.</p></div>"))
+    assert got.count("story") == 72 and "l5" not in got and got.endswith("The end.")
+    got = "\n".join(t for t, _ in html_text.content_blocks(f"<div>{story}<ul><li>Milk<li>Eggs</ul>{story}</div>"))
+    assert "Milk\nEggs" in got
+
+
+def plain_choice(lines, sigma=1.0):
+    """The rules once more, with plain loops."""
+    raw = [math.log(1 + len(x.text) / max(1, x.tags)) for x in lines]
+    level = []
+    for i in range(len(raw)):
+        w = {j: math.exp(-0.5 * ((i - j) / sigma) ** 2) for j in range(len(raw)) if abs(i - j) <= 3}
+        level.append(sum(w[j] * raw[j] for j in w) / sum(w.values()))
+    low, high = min(level), max(level)
+    for _ in range(50):
+        cut = (low + high) / 2
+        over, under = [x for x in level if x > cut], [x for x in level if x <= cut]
+        if not over or not under or (low, high) == (sum(under) / len(under), sum(over) / len(over)):
+            break
+        low, high = sum(under) / len(under), sum(over) / len(over)
+    cut = (low + high) / 2
+    over, under = [x for x in level if x > cut], [x for x in level if x <= cut]
+    if not over or not under or sum(over) / len(over) - sum(under) / len(under) < math.log(4):
+        cut = -math.inf
+    regions = sorted({x.region for x in lines})
+    size = {r: sum(len(x.text) for x in lines if x.region == r) for r in regions}
+    mean = {r: sum(len(x.text) * v for x, v in zip(lines, level, strict=True) if x.region == r) / size[r] for r in regions}
+    high = {r for r in regions if mean[r] >= cut} or {max(regions, key=mean.get)}
+    places = [i for i, x in enumerate(lines) if x.region in high]
+    inside = {x.region for x in lines[places[0] : places[-1] + 1] if 2 * sum(y.linked for y in lines if y.region == x.region) <= size[x.region]}
+    chosen = [i for i, x in enumerate(lines) if x.region in high | inside]
+    if 2 * sum(len(lines[i].text) for i in chosen if lines[i].mark) >= sum(len(lines[i].text) for i in chosen):
+        marks = {lines[i].mark for i in chosen} - {0}
+        loose = {r for r in regions if 2 * sum(y.linked for y in lines if y.region == r) <= size[r]}
+        chosen = [i for i, x in enumerate(lines) if x.mark in marks and (i in chosen or x.region in loose)]
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_choice_against_plain_loops(seed):
+    rng = random.Random(seed)
+    lines, region = [], 0
+    for _ in range(rng.randrange(1, 60)):
+        region = rng.choice([region, region, region, rng.randrange(8)])
+        n = rng.choice([1, 5, 20, 300])
+        lines.append(html_text.Line("x" * rng.randrange(1, n + 1), rng.randrange(0, 9), region, rng.choice([0, region % 3]), rng.choice([0, 0, n])))
+    assert html_text.chosen_lines(lines, html_text.line_levels(lines, 1.0)).tolist() == plain_choice(lines)
+
+
+def test_long_pages_and_clashing_columns(spark):
+    big = "<nav>m</nav><article>" + "<p>paragraph of the text</p>" * 100_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", big, "a", "b", 1, "c")], "page_id long, url string, html string, text string, _id string, n_blocks int, ratio string")
+    got = html_text.main_text(pages).collect()
+    assert got[0].n_blocks == 100_000 and got[0].n_chars == len(got[0].text) == 100_000 * 22 - 1
