@@ -218,10 +218,51 @@ def test_quality_on_held_out_documents(spark, odd, none):
 
 
 def test_tables_are_normalised():
-    p = lm.first_values(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    near, far, norm = lm.log_tables(p)
-    total = np.exp(near[5].astype(float) + far[9] - norm[5, 9]).sum()
-    assert total == pytest.approx(1, abs=1e-4)
+    rng = np.random.default_rng(0)
+    p = lm.first_values(rng.dirichlet(np.ones(9000)))
+    p["target"] = rng.normal(0, 1, p["target"].shape)
+    near, far, norm = lm.normalised(p)
+    for a, b in ((5, 9), (0, 0), (1023, 700)):
+        logit = (near[a] + far[b]).astype(float) @ p["target"].T + p["bias"]
+        assert np.exp(logit - norm[a, b]).sum() == pytest.approx(1, abs=1e-3)
+
+
+def plain_scores(docs, vocab, p):
+    """log10 of each text's probability by a softmax over all outputs for every token, and word shares within classes."""
+    outputs, classes = vocab.tables()
+    out = []
+    for text in docs:
+        total, before = 0.0, [0, 0]
+        for w in [*lm.text_words(text), b""]:
+            code = vocab.words.get(w, lm.ending_class(w) - lm.ENDINGS)
+            h = p["context"][before[-1]] @ p["one"] + p["context"][before[-2]] @ p["two"]
+            logit = p["target"] @ h + p["bias"]
+            o = outputs[code]
+            total += logit[o] - logit.max() - np.log(np.exp(logit - logit.max()).sum())
+            if o >= vocab.singles:
+                e = o - vocab.singles
+                c = vocab.counts[code] if code >= 0 else 0
+                total += np.log((c + 0.5) / (vocab.class_total[e] + 0.5 * (vocab.class_words[e] + 1)))
+            before.append(classes[code])
+        out.append(total / np.log(10))
+    return out
+
+
+def test_lm_against_a_plain_softmax_whatever_the_partitions(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "OUTPUT_WORDS", 900)
+    monkeypatch.setattr(lm, "SLOT_TOKENS", 2000)
+    kept, first = {}, lm.normalised
+    monkeypatch.setattr(lm, "normalised", lambda p: kept.update(p=p) or first(p))
+    words, made = lm.vocabulary, []
+    monkeypatch.setattr(lm, "vocabulary", lambda counts: made.append(words(counts)) or made[-1])
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = []
+    for n in (1, 4, 40):
+        got = {x.doc_id: x.score for x in lm.scored(docs.repartition(n), held_out=shared.crc_mod(F.col("doc_id"), 5) == 1).collect()}
+        scores.append([got[i] for i in sorted(got)])
+    assert scores[1] == pytest.approx(scores[0], rel=1e-7) and scores[2] == pytest.approx(scores[0], rel=1e-7)
+    rows = [(x.doc_id, x.text) for x in docs.collect() if len(x.text or "") < 800][:60]
+    assert [got[i] for i, _ in rows] == pytest.approx(plain_scores([t for _, t in rows], made[-1], kept["p"]), rel=1e-4, abs=1e-2)
 
 
 def check_lm(got, docs, held):
