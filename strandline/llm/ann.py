@@ -249,7 +249,7 @@ def nearest(
 
     def rerank(key, block: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(part):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": part["query_id"].iloc[:0], "id": block["id"].iloc[:0], "score": np.empty(0)})
         x, q = (np.frombuffer(b"".join(c), raw).astype(float).reshape(-1, width) for c in (block["vec"], part["query"]))
         leaves, visited = np.array(block["leaves"].tolist()), np.frombuffer(b"".join(part["visited"]), np.uint8).reshape(len(q), -1)
         return best_of_block(block["id"].to_numpy(), x, block["tree"].to_numpy(), leaves, part["query_id"].to_numpy(), q, np.unpackbits(visited, axis=1).astype(bool), k)

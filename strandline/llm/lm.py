@@ -46,7 +46,7 @@ BROADCAST_WORDS, OUTPUT_WORDS, CONTEXT_WORDS, ENDINGS = 200_000, 20_000, 767, 25
 CONTEXTS = 1 + CONTEXT_WORDS + ENDINGS
 DIMENSIONS = 16
 #: Tokens of a training step, noise words drawn for each step, learning rate of AdaGrad.
-STEP_TOKENS, NOISE, RATE = 4096, 48, 0.1
+STEP_TOKENS, NOISE, RATE = 1024, 128, 0.1
 #: Rounds of training, and tokens of a slot.
 ROUNDS, SLOT_TOKENS = 4, 1_000_000
 #: Most tasks of a round; beyond, a task learns several slots, one after the other.
@@ -88,7 +88,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 held[b""] += 1
                 if len(held) > HELD_WORDS:
                     yield passed_on()
-        yield passed_on()
+        if held:
+            yield passed_on()
 
     return texts.mapInPandas(count, "word string, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
@@ -224,13 +225,15 @@ class Learner:
         r1, r2, q = p["context"][one], p["context"][two], p["target"][own]
         h = r1 @ p["one"] + r2 @ p["two"]
         drawn = np.searchsorted(self.noise, self.rng.random(NOISE) * self.noise[-1])
-        qn = p["target"][drawn]
-        up = 1 - 1 / (1 + np.exp(self.shift[own] - (h * q).sum(axis=1) - p["bias"][own]))
-        down = -1 / (1 + np.exp(self.shift[drawn] - h @ qn.T - p["bias"][drawn]))
+        single, qn = h.astype(np.float32), p["target"][drawn].astype(np.float32)
+        up = 1 - 1 / (1 + np.exp(self.shift[own] - np.einsum("ij,ij->i", h, q) - p["bias"][own]))
+        down = single @ qn.T
+        down += (p["bias"][drawn] - self.shift[drawn]).astype(np.float32)
+        down = -1 / (1 + np.exp(-down))
         gh = up[:, None] * q + down @ qn
         rows, at = np.unique(np.concatenate([own, drawn]), return_inverse=True)
         target, bias = summed_rows(at[:n], up[:, None] * h, len(rows)), np.bincount(at[:n], up, len(rows))
-        np.add.at(target, at[n:], down.T @ h)
+        np.add.at(target, at[n:], down.T @ single)
         np.add.at(bias, at[n:], down.sum(axis=0))
         context = summed_rows(one, gh @ p["one"].T, CONTEXTS) + summed_rows(two, gh @ p["two"].T, CONTEXTS)
         change_one, change_two = r1.T @ gh, r2.T @ gh

@@ -298,6 +298,7 @@ def test_lm(spark, sf_dir, most, monkeypatch):
 
 
 def test_lm_odd_rows(spark, odd, odd_rows, none):
+    assert lm.scored(odd.repartition(40)).count() == len(odd_rows)  # most partitions are empty
     got = lm.scored(odd, held_out=shared.crc_mod(F.col("doc_id"), 5) == 1).collect()
     assert len(got) == len(odd_rows)
     check_lm(got, odd_rows, held_out)
