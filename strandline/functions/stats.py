@@ -71,3 +71,22 @@ def cents(x: Column) -> Column:
 def order_index(n: Column, confidence: float) -> Column:
     """0-based place of the loss quantile among n sorted returns."""
     return F.least(n - 1, F.floor(F.lit(1 - confidence) * n)).cast("int")
+
+
+def tone(x: Column) -> Column:
+    return F.when(x > 0, "positive").when(x < 0, "negative").otherwise("neutral")
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """0.5248 as 52.5%."""
+    return F.format_string(f"%.{digits}f%%", share * 100)
+
+
+def signed_percent(share: Column, digits: int = 3) -> Column:
+    """0.00064 as +0.064%."""
+    return F.concat(F.when(share > 0, "+").otherwise(""), percent(share, digits))
+
+
+def signed_points(share: Column, digits: int = 1) -> Column:
+    """0.711, a difference of shares, as +71.1 pts."""
+    return F.concat(F.when(share > 0, "+").otherwise(""), F.format_string(f"%.{digits}f pts", share * 100))

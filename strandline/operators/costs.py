@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
@@ -101,3 +101,17 @@ def verdict(strategies: DataFrame, order: list[str], cfg: Config = DEFAULT) -> D
     return rows.crossJoin(tally).crossJoin(best).select(
         "strategy_id", "total_return", "diff_pts", (F.col("diff_pts") > 0).alias("beats"), tone.alias("tone"), (F.col("strategy_id") == F.col("best")).alias("is_best")
     )
+
+
+def winners(verdicts: DataFrame) -> DataFrame:
+    """place, strategy_id, diff_pts of the active strategies that beat the passive one, the largest edge first."""
+    won = verdicts.where((F.col("strategy_id") != PASSIVE) & F.col("beats"))
+    place = F.row_number().over(Window.orderBy(F.desc("diff_pts"), "strategy_id"))  # a row per strategy
+    return won.select(place.alias("place"), "strategy_id", "diff_pts")
+
+
+def low_volatility_verdict(rows: DataFrame, low: str = "low_volatility") -> DataFrame:
+    """One row from comparison rows: volatility and Sharpe ratio of the low-volatility and the passive strategy, calmer, better; none if one is absent."""
+    of = lambda name, end: rows.where(F.col("strategy_id") == name).select(F.col("volatility").alias(f"volatility_{end}"), F.col("sharpe").alias(f"sharpe_{end}"))
+    both = of(low, "low").crossJoin(of(PASSIVE, "passive"))  # one row each
+    return both.withColumns({"calmer": F.col("volatility_low") < F.col("volatility_passive"), "better": F.col("sharpe_low") > F.col("sharpe_passive")})

@@ -15,10 +15,16 @@ def blend(returns: DataFrame, *by: str) -> DataFrame:
 
 
 def weighted_blend(returns: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
-    """Weights (series_id, w) renormalised over the series present; null unless their sum is positive."""
+    """Weights (series_id, w) renormalised over the series present; null unless their sum is positive.
+
+    Returns at 10 decimals and weights at 8 are added exactly, so that half
+    steps don't hang on the order of the rows; the blend has 10 decimals.
+    """
     joined = returns.join(weights, "series_id")
-    present = F.sum(F.when(F.col("r").isNotNull(), F.col("w")))
-    return joined.groupBy(*by, "pos", "date").agg(F.when(present > 0, F.sum(F.col("r") * F.col("w")) / present).alias("r"))
+    r, w = F.col("r").try_cast("decimal(16,10)"), F.col("w").try_cast("decimal(12,8)")
+    present = F.sum(F.when(r.isNotNull(), w)).cast("decimal(16,8)")
+    total = F.sum(r * w).cast("decimal(30,18)")
+    return joined.groupBy(*by, "pos", "date").agg(F.when(present > 0, F.round(total / present, 10)).cast("double").alias("r"))
 
 
 def volatility(r: Column | str = "r", days: int = DEFAULT.trading_days) -> Column:
@@ -171,6 +177,25 @@ def derived_stats(returns: DataFrame, *by: str, capital: float = DEFAULT.capital
     return curve_summary(equity_curve(returns, *by, capital=capital), *by, capital=capital).join(period_stats(returns, *by), list(by), "left")
 
 
+def scaled_curve(curve: DataFrame, target: int, width: float = 600.0, height: float = 200.0, margin: float = 0.1) -> DataFrame:
+    """pos, x, y (1 decimal) of one sampled curve drawn in a box: x by place among all rows, y down from the top, with a margin."""
+    whole = Window.partitionBy()  # one curve, as long as the calendar
+    at = F.row_number().over(Window.orderBy("pos")) - 1
+    lo, hi = F.min("value").over(whole), F.max("value").over(whole)
+    pad = margin * height
+    tenth = lambda c: F.floor(c * 10 + 0.5) / 10
+    x = at / F.nullif(F.count("*").over(whole) - 1, F.lit(0)) * width
+    y = height - pad - (F.col("value") - lo) / F.coalesce(F.nullif(hi - lo, F.lit(0.0)), F.lit(1.0)) * (height - 2 * pad)
+    return sampled(curve.withColumns({"x": tenth(x), "y": tenth(y)}), target=target).select("pos", "x", "y")
+
+
+def best_of_columns(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, metric, value, is_best (equals the column's greatest value; nulls never do)."""
+    long = rows.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(key, "x.*")
+    best = F.max("value").over(Window.partitionBy("metric"))
+    return long.withColumn("is_best", F.coalesce(F.col("value") == best, F.lit(False)))
+
+
 def sampled(curve: DataFrame, *by: str, target: int) -> DataFrame:
     """Every ceil(n / target)-th row and the last, if there are more than target."""
     order = Window.partitionBy(*by).orderBy("pos")

@@ -17,7 +17,7 @@ def terminal_values(moments: DataFrame, days: int, paths: int | None = None, see
     rows = spark.range(paths or cfg.paths).select(F.col("id").alias("path")).crossJoin(moments.select("mu", "sigma"))  # one row of moments
     rows = rows.select("path", "mu", "sigma", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
     step = F.greatest(1 + F.col("mu") + F.col("sigma") * z, F.lit(1e-6))
-    # the days of a path stay in its task: the product needs no shuffle of single days
+    # a path's days are made in one task, whose partial products alone are shuffled: a row per path
     return rows.groupBy("path").agg((cfg.capital * F.product(step)).alias("value"))
 
 

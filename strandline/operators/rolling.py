@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +100,19 @@ def basel_summary(windows: DataFrame, *by: str) -> DataFrame:
     both = windows.groupBy(*by).agg(last, worst)
     fields = [F.col(f"{w}.{f}").alias(f"{w}_{f}") for w in ("last", "worst") for f in ("start", "end", "exceptions", "zone")]
     return both.select(*by, *fields, (F.col("last.zone") != F.col("worst.zone")).alias("zones_differ"))
+
+
+def var_chart(lines: DataFrame, name: str) -> DataFrame:
+    """pos, date, r, lower (the loss line), exception_r (the return where it breaks the line) of one VaR column."""
+    broken = F.col("r") < -F.col(name)
+    return lines.select("pos", "date", "r", (-F.col(name)).alias("lower"), F.when(broken, F.col("r")).alias("exception_r"))
+
+
+def rolling_chart(rows: DataFrame, value: str, ids: list[str], target: int = DEFAULT.rolling_points) -> DataFrame:
+    """One row per date with a column for each id (names made plain), sampled to about `target` rows; the last always stays."""
+    from strandline.operators.metrics import sampled
+
+    plain = F.regexp_replace("series_id", "[^A-Za-z0-9]", "_")
+    names = [re.sub("[^A-Za-z0-9]", "_", x) for x in ids]
+    wide = rows.where(F.col("series_id").isin(*ids)).withColumn("c", plain).groupBy("pos", "date").pivot("c", names).agg(F.first(value, ignorenulls=True))
+    return sampled(wide, target=target)

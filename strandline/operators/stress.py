@@ -35,6 +35,11 @@ def coverage(rows: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("window_key", "series_id").agg(share.alias("coverage")).withColumn("covered", F.col("coverage") >= least)
 
 
+def uncovered(stocks: DataFrame, windows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """window_key, series_id, coverage of the stocks that a window's figures leave out."""
+    return coverage(in_windows(stocks, windows), cfg.min_coverage).where("not covered").drop("covered")
+
+
 def window_stats(rows: DataFrame, *by: str) -> DataFrame:
     """total_return, max_drawdown, volatility, worst_day, n, coverage; null figures of risk count as 0."""
     basic = rows.groupBy(*by).agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from strandline.config import DEFAULT
 from strandline.functions.stats import ERF_A, ERF_P
-from strandline.plans.queries import OLD_END, START
+from strandline.plans.queries import LONG_FIRST, LONG_LAST, OLD_END, START
 
 D = DEFAULT
 
@@ -261,11 +261,57 @@ def stress_stats(source: str, by: str) -> str:
               (SELECT {by}, pos, coalesce(product(1 + r) OVER (PARTITION BY {by} ORDER BY pos), 1) AS w FROM {source})) GROUP BY {by}) USING ({', '.join(keys)})"""
 
 
+TESTS = tests().rsplit("SELECT method,", 1)[0].rstrip()
+
+
+def findings() -> str:
+    one, two = D.chi2_critical
+    uc, ind = f"lr_uc > {one}", f"lr_ind > {one}"
+    return f""", k AS (SELECT count(r) AS n, avg(r) AS mu FROM bl WHERE pos >= least({D.var_window}, (SELECT count(*) FROM cal) - 1)),
+    ku AS (SELECT CASE WHEN any_value(n) >= 3 THEN CASE WHEN avg((r - mu) ** 2) = 0 THEN 0 ELSE avg((r - mu) ** 4) / avg((r - mu) ** 2) ** 2 - 3 END END AS k
+           FROM bl, k WHERE r IS NOT NULL AND pos >= least({D.var_window}, (SELECT count(*) FROM cal) - 1)),
+    cb AS (SELECT avg(corr) AS base FROM {pair_corr('(SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM win WHERE date BETWEEN s AND e))')}),
+    iw AS (SELECT window_key, series_id, pos, r FROM st JOIN win ON date BETWEEN s AND e),
+    cw AS (SELECT window_key, avg(corr) AS high FROM {pair_corr('iw', 'window_key')} GROUP BY 1),
+    cx AS (SELECT high, label, base FROM cb LEFT JOIN (SELECT high, label FROM cw JOIN names USING (window_key) JOIN win USING (window_key) WHERE high IS NOT NULL ORDER BY high DESC, s LIMIT 1) ON true)
+    SELECT 'clustering' AS finding, CASE WHEN {uc} AND {ind} THEN 'count_and_timing_off' WHEN {uc} THEN 'count_off' WHEN {ind} THEN 'timing_off' ELSE 'passes' END AS verdict,
+           CASE WHEN {uc} OR {ind} THEN 'negative' ELSE 'positive' END AS tone, {r('rate', 5)} AS observed, {r('1 - confidence', 5)} AS reference, {r(tail1('lr_ind'), 5)} AS p, NULL::VARCHAR AS label
+    FROM lr WHERE method = 'hist' AND confidence = 0.95::DOUBLE
+    UNION ALL SELECT 'fat_tails', CASE WHEN {uc} AND rate > 1 - confidence THEN 'too_often' WHEN {uc} AND rate < 1 - confidence THEN 'too_seldom' ELSE 'not_rejected' END,
+           CASE WHEN {uc} AND rate <> 1 - confidence THEN 'negative' ELSE 'neutral' END, {r('rate', 5)}, {r('1 - confidence', 5)}, {r(tail1('lr_uc'), 5)},
+           CASE WHEN k IS NULL THEN 'kurtosis_unknown' WHEN k > 0 THEN 'fat_tails' ELSE 'no_fat_tails' END
+    FROM lr, ku WHERE method = 'param' AND confidence = 0.99::DOUBLE
+    UNION ALL SELECT 'correlation', CASE WHEN high IS NULL OR base IS NULL THEN 'unavailable' WHEN high > base THEN 'rose' ELSE 'did_not_rise' END,
+           CASE WHEN high > base THEN 'negative' ELSE 'neutral' END, {r('high', 5)}, {r('base', 5)}, NULL, label FROM cx"""
+
+
+def window_names() -> str:
+    return ", names AS (SELECT * FROM (VALUES " + ", ".join(f"('{w.key}', '{w.label}')" for w in D.windows) + ") AS v(window_key, label))"
+
+
+def break_even() -> str:
+    total = lambda who, bps: f"floor({D.capital} * product(1 + coalesce(be.r + be.t * ({double(D.cost_bps)} - {bps}) / 10000, 0)) FILTER (be.strategy_id = {who}) * 100 + 0.5) / 100 / {D.capital}"
+    edge = lambda bps: f"{total('s.strategy_id', bps)} - {total(chr(39) + 'buy_and_hold' + chr(39), bps)}"
+    return f""", be AS MATERIALIZED (SELECT strategy_id, r, coalesce(turnover, 0) AS t FROM sr QUALIFY row_number() OVER (PARTITION BY strategy_id ORDER BY pos) > 1),
+    bs AS (SELECT DISTINCT strategy_id, 0 AS k, 0.0::DOUBLE AS lo, {D.max_cost_bps}::DOUBLE AS hi FROM sr WHERE strategy_id <> 'buy_and_hold'
+        UNION ALL SELECT strategy_id, k + 1, CASE WHEN e > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN e > 0 THEN hi ELSE (lo + hi) / 2 END
+        FROM (SELECT s.strategy_id, s.k, s.lo, s.hi, {edge('(s.lo + s.hi) / 2')} AS e FROM bs s JOIN be ON be.strategy_id IN (s.strategy_id, 'buy_and_hold') WHERE s.k < {D.cost_halvings} GROUP BY ALL)),
+    ed AS (SELECT s.strategy_id, {edge('0')} AS at_zero, {edge(str(D.max_cost_bps))} AS at_max FROM (SELECT DISTINCT strategy_id FROM bs) s JOIN be ON be.strategy_id IN (s.strategy_id, 'buy_and_hold') GROUP BY s.strategy_id),
+    kd AS (SELECT s.strategy_id, lo, hi, CASE WHEN at_zero IS NULL THEN 'unavailable' WHEN at_zero <= 0 THEN 'loses_at_zero' WHEN at_max > 0 THEN 'beyond_range' ELSE 'solved' END AS kind
+           FROM bs s LEFT JOIN ed USING (strategy_id) WHERE k = {D.cost_halvings})
+    SELECT strategy_id, kind, CASE WHEN kind = 'solved' THEN {r('(lo + hi) / 2', 4)} END AS bps FROM kd"""
+
+
+LONG = P.replace("FROM lineitem", f"FROM (SELECT * FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '{LONG_FIRST}' AND DATE '{LONG_LAST}') AS lineitem")
+
 SQL = {
     "s1_prices": P + f" SELECT series_id, pos, date, {r('price', 4)} AS price FROM px WHERE kind = 'stock' AND date BETWEEN DATE '{START}' AND DATE '1998-12-31'",
     "s2_enough_history": G + " SELECT series_id, count(price) AS n FROM px WHERE kind = 'stock' GROUP BY series_id HAVING count(price) >= floor((SELECT count(*) FROM cal) * 0.98::DOUBLE)",
     "s3_universe": P + " SELECT kind, count(DISTINCT series_id) AS n_series, count(r) AS n_returns, min(date) AS first, max(date) AS last FROM ret GROUP BY kind",
     "s5_names": P + " SELECT DISTINCT series_id, CASE series_id WHEN 'Brand#11' THEN 'First Brand' WHEN 'Brand#12' THEN 'Second Brand' ELSE series_id END AS name FROM st",
+    "s4_long_history": LONG + f" SELECT series_id, min(date) AS first, max(pos) AS last_pos, count(r) AS n, {r('sum(r)')} AS total FROM ret GROUP BY 1",
+    "s7_results_round_trip": S5 + " SELECT strategy_id, pos, date, r, turnover FROM sr",
+    "s7_windows": "SELECT * FROM (VALUES " + ", ".join(f"('{w.key}', '{w.label}', DATE '{w.start}', DATE '{w.end}', DATE '{w.lookback_start}')" for w in D.windows) + ") AS v(window_key, label, start, \"end\", lookback_start)",
     "s6_json_round_trip": G + " SELECT series_id, kind, pos, date, r FROM ret WHERE kind = 'stock'",
     "s8_wide": G + " SELECT date, " + ", ".join(f"max(r) FILTER (series_id = '{x}') AS \"{x}\"" for x in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM st GROUP BY date",
     "s10_by_date": G + " SELECT series_id, date, r FROM st WHERE r IS NOT NULL",
@@ -273,6 +319,11 @@ SQL = {
     "f1_returns_gapped": G + " SELECT series_id, kind, pos, date, r FROM ret",
     "f2_trailing_return": P + f" SELECT series_id, pos, {r('t')} AS trailing FROM (SELECT series_id, pos, price / lag(price, {D.momentum_days}) OVER (PARTITION BY series_id ORDER BY pos) - 1 AS t FROM px WHERE kind = 'stock') WHERE t IS NOT NULL",
     "f3_slice_from": P + f" SELECT series_id, min(pos) AS first_pos, count(*) AS days, count(r) AS n FROM st WHERE date >= DATE '{START}' GROUP BY series_id",
+    "f7_clean": P + f", cl AS (SELECT series_id, CASE WHEN pos % 97 = 13 OR pos % 89 = 5 THEN NULL ELSE r END AS r FROM st) SELECT series_id, count(r) AS n, {r('avg(r)')} AS mean, {r('max(r)')} AS top FROM cl GROUP BY 1",
+    "f13_default_selection": P + ", ids AS (SELECT DISTINCT series_id FROM st) SELECT series_id, 'known' AS asked FROM ids WHERE series_id IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#99') UNION ALL SELECT * FROM (SELECT series_id, 'one_known' FROM ids ORDER BY 1 LIMIT 5)",
+    "f14_benchmark_options": P + ", ix AS (SELECT DISTINCT series_id FROM ret WHERE kind = 'index') SELECT 0 AS place, 'none' AS value, 'None' AS label, '' AS keys UNION ALL SELECT 1, 'index:F', 'Fulfilled', 'index:F' FROM ix WHERE series_id = 'index:F' UNION ALL SELECT 2, 'index:O', 'Open', 'index:O' FROM ix WHERE series_id = 'index:O' UNION ALL SELECT 3, 'all', 'Both', 'index:F,index:O' FROM ix HAVING count(*) = 2",
+    "f15_search_names": P + " SELECT DISTINCT 'Brand#12' AS series_id, 'Second Brand' AS name FROM st WHERE series_id = 'Brand#12' UNION ALL SELECT DISTINCT series_id, series_id FROM st WHERE contains(series_id, '#13')",
+    "k2_preset_active": P + " SELECT count(*) = 4 AS active FROM (SELECT DISTINCT series_id FROM st WHERE series_id IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#99'))",
     "f9_repriced": S5 + f" SELECT strategy_id, pos, {r(f'r + coalesce(turnover, 0) * ({double(D.cost_bps)} - 50) / 10000', 8)} AS r50 FROM sr",
     "f12_earliest_backtest": P + f" SELECT pos, date FROM cal WHERE pos = least({D.var_window}, (SELECT count(*) FROM cal) - 1)",
     "f13_preset": P + " SELECT DISTINCT series_id FROM st WHERE series_id IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#99')",
@@ -324,6 +375,16 @@ SQL = {
     "w14_momentum_baskets": P + baskets("mom") + " SELECT * FROM mom_b",
     "w15_low_vol_baskets": P + baskets("low") + " SELECT * FROM low_b",
     "w16_strategies": S5 + " SELECT strategy_id, pos, r, turnover FROM sr",
+    "j16_rolling_chart": P + f""", rw AS (SELECT series_id, pos, date, row_number() OVER w AS i, stddev_samp(r) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN {D.rolling_days - 1} PRECEDING AND CURRENT ROW) * sqrt({D.trading_days}.0::DOUBLE) AS v
+            FROM st WINDOW w AS (PARTITION BY series_id ORDER BY pos)), wd AS (SELECT pos, date, """ + ", ".join(f"{r(f'any_value(v) FILTER (series_id = {chr(39)}{x}{chr(39)} AND i >= {D.rolling_days})', 5)} AS \"{x.replace('#', '_')}\"" for x in ("Brand#11", "Brand#12", "Brand#13")) + f""" FROM rw GROUP BY pos, date)
+        SELECT * EXCLUDE (i, n) FROM (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n FROM wd) WHERE n <= {D.rolling_points} OR i % ceil(n / {D.rolling_points}) = 0 OR i = n - 1""",
+    "v1_var_chart": P + lines("SELECT * FROM bl") + f" SELECT pos, date, {r('r', 8)} AS r, {r('-hist_95', 8)} AS lower, CASE WHEN r < -hist_95 THEN {r('r', 8)} END AS exception_r FROM vl",
+    "v1_uncovered": G + window_rows() + f" SELECT window_key, series_id, {r('count(r) / count(*)')} AS coverage FROM st JOIN win ON date BETWEEN s AND e GROUP BY ALL HAVING count(r) / count(*) < {D.min_coverage}",
+    "c11_findings": P + window_rows() + window_names() + lines("SELECT * FROM bl") + exc(where=f"pos >= least({D.var_window}, (SELECT count(*) FROM cal) - 1)") + TESTS + findings(),
+    "c14_missing_keys": "SELECT unnest(['benchmark', 'indexes']) AS key",
+    "n10_break_even": S5 + break_even(),
+    "c12_hero_curve": S5 + ", bb AS (SELECT * FROM sr WHERE strategy_id = 'buy_and_hold')" + curve("bb", "strategy_id") + """ SELECT pos, x, y FROM (SELECT pos, floor(i / (n - 1) * 600 * 10 + 0.5) / 10 AS x, floor((180 - (value - lo) / coalesce(nullif(hi - lo, 0), 1) * 160) * 10 + 0.5) / 10 AS y, i, n
+        FROM (SELECT pos, value, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n, min(value) OVER () AS lo, max(value) OVER () AS hi FROM cv)) WHERE n <= 150 OR i % ceil(n / 150) = 0 OR i = n - 1""",
     "w17_look_ahead": P + baskets("low") + " SELECT count(*) AS rebalances, sum((c.date >= month)::INT) AS violations FROM (SELECT DISTINCT month, first_pos FROM low_b) b JOIN cal c ON c.pos = b.first_pos - 1",
     "n11_cost_sensitivity": S5 + f", lv AS (SELECT strategy_id, bps, pos, date, r + coalesce(turnover, 0) * ({double(D.cost_bps)} - bps) / 10000 AS r FROM sr, (VALUES (0.0::DOUBLE), (10.0), (25.0), (50.0), (100.0)) v(bps))" + curve("lv", "strategy_id, bps") + totals("strategy_id, bps") + f"""
         SELECT a.strategy_id, a.bps, {r('a.total_return')} AS total_return, {r('a.total_return - b.total_return')} AS edge FROM tt a LEFT JOIN tt b ON a.bps = b.bps AND b.strategy_id = 'buy_and_hold'""",
@@ -364,3 +425,15 @@ SQL = {
     "business_days": P + f" SELECT pos, {weekdays('date', '''DATE '2001-11-20' ''')} AS n FROM cal",
     "daily_event_bars": f"SELECT event_type, ts::DATE AS day, count(*) AS n, {r('sum(value)', 4)} AS total, {r('min(value)', 4)} AS low, {r('max(value)', 4)} AS high FROM events GROUP BY ALL",
 }
+
+SQL["a28_best_columns"] = f"""WITH d AS ({SQL['a15_derived_stats']}),
+    l AS (UNPIVOT (SELECT strategy_id, up_rate, avg_return, total_return, final_value FROM d) ON up_rate, avg_return, total_return, final_value INTO NAME metric VALUE value)
+    SELECT strategy_id, metric, value, value = max(value) OVER (PARTITION BY metric) AS is_best FROM l"""
+SQL["c13_low_volatility"] = f"""WITH d AS ({SQL['c3_comparison']})
+    SELECT a.volatility AS volatility_low, a.sharpe AS sharpe_low, b.volatility AS volatility_passive, b.sharpe AS sharpe_passive, a.volatility < b.volatility AS calmer, a.sharpe > b.sharpe AS better
+    FROM d a, d b WHERE a.strategy_id = 'low_volatility' AND b.strategy_id = 'buy_and_hold'"""
+SQL["w18_verdict_order"] = f"""WITH d AS ({SQL['c7_verdict']})
+    SELECT row_number() OVER (ORDER BY diff_pts DESC, strategy_id)::INT AS place, strategy_id, diff_pts FROM d WHERE beats AND strategy_id <> 'buy_and_hold'"""
+SQL["k12_formats"] = f"""WITH d AS ({SQL['c3_comparison']})
+    SELECT strategy_id, CASE WHEN total_return > 0 THEN 'positive' WHEN total_return < 0 THEN 'negative' ELSE 'neutral' END AS tone, printf('%.1f%%', total_return * 100) AS pct,
+           CASE WHEN total_return > 0 THEN '+' ELSE '' END || printf('%.3f%%', total_return * 100) AS signed, CASE WHEN total_return > 0 THEN '+' ELSE '' END || printf('%.1f pts', total_return * 100) AS points FROM d"""

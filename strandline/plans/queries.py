@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT
 from strandline.functions import stats
-from strandline.operators import costs, gate, metrics, montecarlo, optimize, rolling, strategies, stress
+from strandline.operators import costs, findings, gate, metrics, montecarlo, optimize, rolling, strategies, stress
 from strandline.sources import json_payload
-from strandline.sources.panel import Panel, enough_history, panel
+from strandline.sources.panel import Panel, benchmark_options, clean, default_selection, enough_history, is_preset, matching, named, panel
 from strandline.streaming import bars
 
 START = date(1997, 1, 1)
@@ -24,6 +24,9 @@ DIGITS = 6
 OLD_END = date(2001, 9, 30)
 GAPPED = replace(DEFAULT, top_n=2)
 SOME_STOCKS = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#99")
+NAMES = [("Brand#11", "First Brand"), ("Brand#12", "Second Brand")]
+INDEX_LABELS = {"index:F": "Fulfilled", "index:O": "Open"}
+LONG_FIRST, LONG_LAST = date(1995, 6, 1), date(2000, 3, 31)
 
 QUERIES: dict = {}
 
@@ -89,9 +92,26 @@ def s3_universe(spark, sf_dir):
 
 @query
 def s5_names(spark, sf_dir):
-    names = spark.createDataFrame([("Brand#11", "First Brand"), ("Brand#12", "Second Brand")], "series_id string, name string")
-    ids = dense(spark, sf_dir).stocks().select("series_id").distinct()
-    return ids.join(names, "series_id", "left").select("series_id", F.coalesce("name", "series_id").alias("name"))
+    return named(dense(spark, sf_dir).stocks(), spark.createDataFrame(NAMES, "series_id string, name string"))
+
+
+@query
+def s4_long_history(spark, sf_dir):
+    r = panel(spark, sf_dir, first=LONG_FIRST, last=LONG_LAST).returns
+    return r.groupBy("series_id").agg(F.min("date").alias("first"), F.max("pos").alias("last_pos"), F.count("r").alias("n"), F.round(F.sum("r"), 6).alias("total"))
+
+
+@query
+def s7_results_round_trip(spark, sf_dir):
+    rows = strategy_rows(spark, sf_dir)
+    return json_payload.parsed_results(json_payload.results(rows, dense(spark, sf_dir).calendar, strategies.ORDER))
+
+
+@query
+def s7_windows(spark, sf_dir):
+    import json
+
+    return json_payload.windows_of(spark.createDataFrame([(json.dumps(json_payload.parameters()["validation"]),)], "value string"))
 
 
 @query
@@ -139,6 +159,36 @@ def f3_slice_from(spark, sf_dir):
     return r.groupBy("series_id").agg(F.min("pos").alias("first_pos"), F.count("*").alias("days"), F.count("r").alias("n"))
 
 
+@query
+def f7_clean(spark, sf_dir):
+    r = dense(spark, sf_dir).stocks()
+    broken = F.when(F.col("pos") % 97 == 13, float("nan")).when(F.col("pos") % 89 == 5, float("-inf")).otherwise(F.col("r"))
+    kept = r.withColumn("r", clean(broken))
+    return rounded(kept.groupBy("series_id").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.max("r").alias("top")))
+
+
+@query
+def f13_default_selection(spark, sf_dir):
+    ids = dense(spark, sf_dir).stocks()
+    one = lambda preset, name: default_selection(ids, preset).withColumn("asked", F.lit(name))
+    return one(SOME_STOCKS, "known").unionByName(one(("Brand#11", "x", "y"), "one_known"))
+
+
+@query
+def f14_benchmark_options(spark, sf_dir):
+    return benchmark_options(dense(spark, sf_dir).returns, INDEX_LABELS).withColumn("keys", F.array_join("keys", ","))
+
+
+@query
+def f15_search_names(spark, sf_dir):
+    return matching(s5_names(spark, sf_dir), " second b ").unionByName(matching(s5_names(spark, sf_dir), "#13"))
+
+
+@query
+def k2_preset_active(spark, sf_dir):
+    return is_preset(f13_preset(spark, sf_dir), SOME_STOCKS[:4])
+
+
 @query
 def f9_repriced(spark, sf_dir):
     rows = strategy_rows(spark, sf_dir)
@@ -215,6 +265,12 @@ def j15_curves_wide(spark, sf_dir):
     return curve.groupBy("date").pivot("strategy_id", strategies.ORDER).agg(F.first("value"))
 
 
+@query
+def j16_rolling_chart(spark, sf_dir):
+    p = dense(spark, sf_dir)
+    return rounded(rolling.rolling_chart(rolling.rolling_metrics(p.stocks(), p.market(), "series_id"), "volatility", list(SOME_STOCKS[:3])), 5)
+
+
 # --- aggregates
 
 
@@ -288,6 +344,12 @@ def a24_holdings(spark, sf_dir):
     return strategies.holdings(strategies.low_vol_baskets(p.stocks(), p.calendar))
 
 
+@query
+def a28_best_columns(spark, sf_dir):
+    rows = metrics.best_of_columns(a15_derived_stats(spark, sf_dir), "strategy_id", ["up_rate", "avg_return", "total_return", "final_value"])
+    return rounded(rows)
+
+
 @query
 def a29_any_data(spark, sf_dir):
     rows = stress.before_windows(gapped(spark, sf_dir).stocks(), stress.windows_table(spark))
@@ -393,6 +455,11 @@ def w17_look_ahead(spark, sf_dir):
     return joined.agg(F.count("*").alias("rebalances"), F.sum((F.col("chosen_on") >= F.col("month")).cast("int")).alias("violations"))
 
 
+@query
+def v1_var_chart(spark, sf_dir):
+    return rounded(rolling.var_chart(rolling.var_lines(market_blend(spark, sf_dir)), "hist_95"), 8)
+
+
 # --- costs
 
 
@@ -424,6 +491,23 @@ def c7_verdict(spark, sf_dir):
     return rounded(costs.verdict(strategy_rows(spark, sf_dir), strategies.ORDER), 4)
 
 
+@query
+def c13_low_volatility(spark, sf_dir):
+    return costs.low_volatility_verdict(c3_comparison(spark, sf_dir))
+
+
+@query
+def w18_verdict_order(spark, sf_dir):
+    return costs.winners(c7_verdict(spark, sf_dir))
+
+
+@query
+def k12_formats(spark, sf_dir):
+    rows = c3_comparison(spark, sf_dir)
+    share = F.col("total_return")
+    return rows.select("strategy_id", stats.tone(share).alias("tone"), stats.percent(share).alias("pct"), stats.signed_percent(share).alias("signed"), stats.signed_points(share).alias("points"))
+
+
 # --- stress
 
 
@@ -440,9 +524,38 @@ def c9_stress_correlations(spark, sf_dir):
 
 @query
 def c8_optimized_out_of_sample(spark, sf_dir):
-    p, windows = gapped(spark, sf_dir), stress.windows_table(spark)
-    weights = stress.optimized_weights(p.stocks(), windows, replace(DEFAULT, min_coverage=0.0))
-    return rounded(stress.out_of_sample(p.stocks(), weights, windows))
+    p, windows = dense(spark, sf_dir), stress.windows_table(spark)
+    return rounded(stress.out_of_sample(p.stocks(), stress.optimized_weights(p.stocks(), windows), windows))
+
+
+@query
+def v1_uncovered(spark, sf_dir):
+    return rounded(stress.uncovered(gapped(spark, sf_dir).stocks(), stress.windows_table(spark)))
+
+
+@query
+def v1_underperformance(spark, sf_dir):
+    p, windows = dense(spark, sf_dir), stress.windows_table(spark)
+    return stress.underperformance(stress.report(p.stocks(), p.market(), windows), c8_optimized_out_of_sample(spark, sf_dir))
+
+
+@query
+def c11_findings(spark, sf_dir):
+    """From the first day with a whole VaR window before it, and the stress windows."""
+    p, windows = dense(spark, sf_dir), stress.windows_table(spark)
+    blend = market_blend(spark, sf_dir)
+    first = findings.earliest_day(p.calendar).select(F.col("pos").alias("first"))
+    lines = rolling.var_lines(blend).crossJoin(first).where("pos >= first").drop("first")  # one row
+    tests = rolling.coverage_tests(rolling.exceptions(lines))
+    kurtosis = metrics.shape(returns=blend.crossJoin(first).where("pos >= first"))
+    out = findings.clustering(tests).unionByName(findings.fat_tails(tests, kurtosis))
+    return rounded(out.unionByName(findings.correlation(stress.correlations(p.stocks(), windows), windows)), 5)
+
+
+@query
+def c11_optimizer(spark, sf_dir):
+    p, windows = dense(spark, sf_dir), stress.windows_table(spark)
+    return findings.optimizer(stress.report(p.stocks(), p.market(), windows), c8_optimized_out_of_sample(spark, sf_dir), windows)
 
 
 @query
@@ -456,6 +569,12 @@ def c12_worst_exceptions(spark, sf_dir):
     return rounded(exc.orderBy("r", "pos").limit(5).select("pos", "date", "r"))
 
 
+@query
+def c12_hero_curve(spark, sf_dir):
+    held = strategy_rows(spark, sf_dir).where(F.col("strategy_id") == costs.PASSIVE)
+    return metrics.scaled_curve(metrics.equity_curve(held, "strategy_id"), 150)
+
+
 # --- portfolios
 
 
@@ -496,9 +615,15 @@ def n9_monte_carlo_full(spark, sf_dir):
     return rounded(montecarlo.summary(_values(spark, sf_dir, None)), 3)
 
 
-def _values(spark: SparkSession, sf_dir: str, paths: int | None = 2000) -> DataFrame:
+@query
+def n9_monte_carlo_5y(spark, sf_dir):
+    """With the usual number of paths over five years of days."""
+    return rounded(montecarlo.summary(_values(spark, sf_dir, None, 5 * DEFAULT.trading_days)), 3)
+
+
+def _values(spark: SparkSession, sf_dir: str, paths: int | None = 2000, days: int = 63) -> DataFrame:
     moments = market_blend(spark, sf_dir).agg(F.avg("r").alias("mu"), F.stddev_samp("r").alias("sigma"))
-    return montecarlo.terminal_values(moments, 63, paths)
+    return montecarlo.terminal_values(moments, days, paths)
 
 
 @query
@@ -538,6 +663,12 @@ def c14_extremes(spark, sf_dir):
     return rounded(gate.extremes(*_vintages(spark, sf_dir)))
 
 
+@query
+def c14_missing_keys(spark, sf_dir):
+    p = gapped(spark, sf_dir)
+    return json_payload.missing_keys(json_payload.payload(p.returns, p.calendar), ["meta", "series", "benchmark", "indexes"])
+
+
 @query
 def business_days(spark, sf_dir):
     c = dense(spark, sf_dir).calendar

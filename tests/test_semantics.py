@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT
 from strandline.functions import stats
-from strandline.operators import costs, gate, metrics, montecarlo, optimize, rolling, strategies, stress
+from strandline.functions import portfolio
+from strandline.operators import costs, findings, gate, metrics, montecarlo, optimize, rolling, strategies, stress
 from strandline.plans import queries
 from strandline.sources import json_payload
+from strandline.sources import panel as panels
 from strandline.sources.panel import calendar_of, enough_history, simple_returns
 from strandline.streaming import bars
 
@@ -300,3 +302,130 @@ def test_whole_jobs(spark, sf_dir):
     prices = queries.QUERIES["s1_prices_full"](spark, sf_dir)
     calendar = queries.dense(spark, sf_dir).calendar
     assert one(prices, F.min("date"), F.max("date"), F.count_distinct("date")) == one(calendar, F.min("date"), F.max("date"), F.count("*"))
+
+
+def test_clean_returns(spark):
+    prices = frame(spark, {"a": [1.0, float("nan"), float("inf"), 1.0, 1.1]}).withColumnRenamed("r", "price")
+    assert [x.r for x in simple_returns(prices).orderBy("pos").collect()] == [None, None, None, -1.0, 0.1]
+
+
+def test_half_steps_of_a_weighted_blend(spark):
+    for rows in ([("a", -0.0036), ("b", -0.0039), ("c", -0.00375)], [("c", -0.00375), ("b", -0.0039), ("a", -0.0036)]):
+        r = spark.createDataFrame([(i, "stock", 0, DAY, v) for i, v in rows], "series_id string, kind string, pos int, date date, r double")
+        w = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", 0.7)], "series_id string, w double")
+        assert one(metrics.weighted_blend(r, w), "r") == pytest.approx(-0.00375, abs=1e-12)
+
+
+def plain_frontier(mu, cov, rf, days, points, steps, golden):
+    """The solver once more, with plain lists: sweep from the least variance, then a golden section over the whole range."""
+    n = len(mu)
+
+    def project(v):
+        u, total, theta = sorted(v, reverse=True), 0.0, 0.0
+        for i, x in enumerate(u):
+            total += x
+            if x + (1 - total) / (i + 1) > 0:
+                theta = (total - 1) / (i + 1)
+        return [max(x - theta, 0.0) for x in v]
+
+    dot = lambda w: [sum(cov[i][j] * w[j] for j in range(n)) for i in range(n)]
+    trace = sum(cov[i][i] for i in range(n)) or 1e-12
+
+    def utility(lam, w):
+        step = 0.5 / max(lam * trace, 1e-9)
+        for _ in range(steps):
+            g = dot(w)
+            w = project([w[i] + step * (mu[i] - lam * g[i]) for i in range(n)])
+        return w
+
+    def value(w):
+        vol = math.sqrt(max(0.0, sum(a * b for a, b in zip(w, dot(w), strict=True))) * days)
+        back = sum(a * b for a, b in zip(w, mu, strict=True)) * days
+        return vol, (back - rf) / vol if vol > 0 else 0.0
+
+    low = [1 / n] * n
+    for _ in range(steps):
+        g = dot(low)
+        low = project([low[i] - 0.5 / trace * g[i] for i in range(n)])
+    natural = ((max(mu) - min(mu)) or 1e-9) / (sum(cov[i][i] for i in range(n)) / n or 1e-9)
+    grid = [math.exp(math.log(1e-4) + math.log(1e8) * i / (points - 1)) * natural for i in range(points)]
+    swept, w = [], low
+    for lam in reversed(grid):
+        w = utility(lam, w)
+        swept.append(w)
+    swept.sort(key=lambda x: value(x)[0])
+    best = max([low, *swept], key=lambda x: value(x)[1])
+    lo, hi, gr = math.log(grid[0] / 10), math.log(grid[-1] * 10), (math.sqrt(5) - 1) / 2
+    at = lambda x: utility(math.exp(x), low)
+    c, d = hi - gr * (hi - lo), lo + gr * (hi - lo)
+    fc, fd = at(c), at(d)
+    for _ in range(golden):
+        if value(fc)[1] > value(fd)[1]:
+            hi, d, fd = d, c, fc
+            c = hi - gr * (hi - lo)
+            fc = at(c)
+        else:
+            lo, c, fc = c, d, fd
+            d = lo + gr * (hi - lo)
+            fd = at(d)
+    refined = fc if value(fc)[1] > value(fd)[1] else fd
+    return [*swept, low, refined if value(refined)[1] > value(best)[1] else best]
+
+
+def test_frontier_against_plain_lists():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0.0004, 0.01, (200, 4))
+    cfg = replace(DEFAULT, frontier_points=7, frontier_steps=60, golden_steps=12)
+    found = portfolio.frontier_of(x.mean(axis=0), np.cov(x.T), cfg)
+    want = plain_frontier(x.mean(axis=0).tolist(), np.cov(x.T).tolist(), cfg.risk_free, cfg.trading_days, 7, 60, 12)
+    assert [k for k, _ in found] == ["frontier"] * 7 + ["min_variance", "max_sharpe"]
+    for (_, w), v in zip(found, want, strict=True):
+        assert w.tolist() == pytest.approx(v, abs=1e-9)
+
+
+def coverage(spark, **more):
+    row = {"method": "hist", "confidence": 0.95, "rate": 0.06, "reject_uc": False, "reject_ind": False, "p_uc": 0.3, "p_ind": 0.4} | more
+    return spark.createDataFrame([tuple(row.values())], "method string, confidence double, rate double, reject_uc boolean, reject_ind boolean, p_uc double, p_ind double")
+
+
+def test_findings(spark):
+    for uc, ind, want in ((False, False, "passes"), (False, True, "timing_off"), (True, False, "count_off"), (True, True, "count_and_timing_off")):
+        got = findings.clustering(coverage(spark, reject_uc=uc, reject_ind=ind)).first()
+        assert (got.verdict, got.tone) == (want, "positive" if want == "passes" else "negative")
+    kurtosis = spark.createDataFrame([(1.5,)], "excess_kurtosis double")
+    for rate, reject, want in ((0.02, True, "too_often"), (0.005, True, "too_seldom"), (0.02, False, "not_rejected")):
+        got = findings.fat_tails(coverage(spark, method="param", confidence=0.99, rate=rate, reject_uc=reject), kurtosis).first()
+        assert (got.verdict, got.label) == (want, "fat_tails")
+    windows = stress.windows_table(spark)
+    rows = "window_key string, stress double, baseline double"
+    got = findings.correlation(spark.createDataFrame([("w1998", 0.5, 0.2), ("w2000", 0.5, 0.2), ("w1999", None, 0.2)], rows), windows).first()
+    assert (got.verdict, got.label, got.observed) == ("rose", "1998-99", 0.5)
+    assert findings.correlation(spark.createDataFrame([], rows), windows).first().verdict == "unavailable"
+    report = spark.createDataFrame([("w1998", "equal_weight", 0.1), ("w1999", "equal_weight", -0.1)], "window_key string, entity_kind string, total_return double")
+    best = spark.createDataFrame([("w1998", "max_sharpe", 0.0), ("w1999", "max_sharpe", 0.0), ("w2000", "max_sharpe", 0.0)], "window_key string, kind string, total_return double")
+    got = findings.optimizer(report, best, windows).first()
+    assert (got.verdict, got.observed, got.reference, got.label) == ("lost", 1.0, 2.0, "1998-99")
+    assert findings.optimizer(report, best.where("false"), windows).first().verdict == "unavailable"
+
+
+def test_pickers(spark):
+    ids = spark.createDataFrame([("b",), ("a",), ("c",)], "series_id string")
+    assert [x[0] for x in panels.default_selection(ids, ("c", "b", "z")).orderBy("series_id").collect()] == ["b", "c"]
+    assert [x[0] for x in panels.default_selection(ids, ("c", "z"), 2).orderBy("series_id").collect()] == ["a", "b"]
+    assert one(panels.is_preset(ids, ("c", "b", "a")), "active") and not one(panels.is_preset(ids, ("c", "b")), "active")
+    none = spark.createDataFrame([], "series_id string, kind string")
+    assert [x.value for x in panels.benchmark_options(none, {"i": "I"}).collect()] == ["none"]
+    one_ = spark.createDataFrame([("i", "index")], "series_id string, kind string")
+    assert [x.value for x in panels.benchmark_options(one_, {"i": "I", "j": "J"}).orderBy("place").collect()] == ["none", "i"]
+
+
+def test_a_fixed_range_has_its_own_calendar(spark, sf_dir):
+    p = panels.panel(spark, sf_dir, first=date(1996, 1, 1), last=date(1996, 3, 31))
+    assert one(p.calendar, F.min("pos"), F.min("date") >= date(1996, 1, 1), F.max("date") <= date(1996, 3, 31)) == (0, True, True)
+
+
+def test_formats(spark):
+    rows = spark.createDataFrame([(0.5248,), (-0.0027,), (0.0,)], "x double").select(stats.percent(F.col("x")), stats.signed_percent(F.col("x")), stats.signed_points(F.col("x")), stats.tone(F.col("x")))
+    assert [tuple(r) for r in rows.collect()] == [("52.5%", "+52.480%", "+52.5 pts", "positive"), ("-0.3%", "-0.270%", "-0.3 pts", "negative"), ("0.0%", "0.000%", "0.0 pts", "neutral")]
