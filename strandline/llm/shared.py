@@ -107,7 +107,7 @@ def salted(rows: DataFrame, spread_by: str) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
 
 
-def looked_up(rows: DataFrame, key: str, spread_by: str, table: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, spread_by: str, table: DataFrame, asking: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """rows joined with a table of one row per key, when one key may hold a great part of the rows.
 
     Each key asks once for every salt of its rows, at most SALTS times; rows
@@ -116,7 +116,15 @@ def looked_up(rows: DataFrame, key: str, spread_by: str, table: DataFrame, askin
     """
     asked = salted(rows if asking is None else asking, spread_by).select(key, "salt").distinct()
     rows = salted(rows, spread_by)
-    return rows.join(asked.join(table, key), [key, "salt"]).drop("salt")
+    return rows.join(asked.join(table, key), [key, "salt"], how).drop("salt")
+
+
+def split_join(rows: DataFrame, key: str, spread_by: Column, table: DataFrame, most: int, splits: int = 64) -> DataFrame:
+    """rows joined with table on key: broadcast up to `most` rows, else with every key of the table in `splits` places."""
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table), key)
+    placed = table.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    return rows.withColumn("split", F.pmod(spread_by, F.lit(splits)).cast("int")).join(placed, [key, "split"]).drop("split")
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,17 +1,22 @@
 """WARC archives with revisit records for payloads that are held already.
 
-Pages become records with fresh headers. Headers alone are shuffled by payload
-digest; of equal payloads of at least `least_bytes` bytes, that of the largest
-id stays a response and the others become revisits of it. Archives are
-written by Spark's text sink, whose separator is the blank line that ends each
-record, so they go to any file system that Spark can write, under its commit
-protocol. Reading takes whole archive files, which the writer keeps small,
-follows Content-Length, checks length and digest of each payload, and joins
-revisits to their originals.
+Pages become records with fresh headers. Headers alone (id, length, digest) are
+stored and shuffled by payload digest, salted where a digest is frequent; of
+equal payloads of at least `least_bytes` bytes, that of the largest id stays a
+response and the others become revisits of it. Archives are written by Spark's
+text sink, whose separator is the blank line that ends each record, so they go
+to any file system that Spark can write, under its commit protocol. That sink
+compresses a file as one gzip member. Reading takes whole archive files, which
+the writer keeps small, follows Content-Length, checks length and digest of
+each payload, keeps the records in a table, and joins revisits to their
+originals.
 
 Defined results: a null payload is an empty one; a null url is written as
 "about:blank"; of rows that repeat the largest id all are responses; a row
-without an id is a response. An empty table gives no records.
+without an id is a response. Record ids name the digest and the page; records
+that repeat both have a number in theirs. A payload may be of any length: it is
+one record of one file. A revisit whose response is in no archive is returned
+with null length and payload. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.shared import looked_up, written
+
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,23 +47,20 @@ def payload_headers(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     )
 
 
-def revisits(headers: DataFrame, least_bytes: int) -> DataFrame:
-    """id, refers_to of the rows that become revisits."""
-    large = headers.where(F.col("payload_bytes") >= least_bytes)
-    originals = (
-        large.groupBy("payload_digest")
-        .agg(F.max("id").alias("refers_to"), F.count("*").alias("n"))
-        .where("n > 1")
-    )
-    return (
-        large.join(originals, "payload_digest")
-        .where("id <> refers_to")
-        .select("id", F.col("payload_digest").alias("digest"), "refers_to")
-        .distinct()
-    )
+def marks(headers: DataFrame, least_bytes: int) -> DataFrame:
+    """id, digest, refers_to, repeated of the rows that become revisits or whose id and payload occur more than once."""
+    pairs = headers.groupBy("id", F.col("payload_digest").alias("digest")).agg(F.count("*").alias("n"), F.max("payload_bytes").alias("size"))
+    large = pairs.where(F.col("size") >= least_bytes)
+    originals = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.sum("n").alias("all")).where("all > 1")
+    again = looked_up(large.select("id", "digest", "n"), "digest", "id", originals).where("id <> refers_to")
+    again = again.select("id", "digest", "refers_to", (F.col("n") > 1).alias("repeated"))
+    known = again.select("id", "digest", F.lit(True).alias("known"))
+    same = lambda c: F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}"))
+    rest = pairs.where("n > 1").alias("p").join(known.alias("k"), same("id") & same("digest"), "left_anti")
+    return again.unionByName(rest.select("id", "digest", F.lit(None).cast(dict(headers.dtypes)["id"]).alias("refers_to"), F.lit(True).alias("repeated")))
 
 
-def record(url: Column, uid: Column, payload: Column, size: Column, digest: Column, refers_to: Column) -> Column:
+def record(url: Column, uid: Column, number: Column, payload: Column, size: Column, digest: Column, refers_to: Column) -> Column:
     """The record's text without its ending blank line."""
     again = refers_to.isNotNull()
     uri = F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\x00-\x20\x7F]+", "%20")
@@ -66,17 +70,17 @@ def record(url: Column, uid: Column, payload: Column, size: Column, digest: Colu
         F.lit(END),
         F.when(again, "").otherwise(payload),
     )
-    name = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("none")), F.lit(">"))
+    name = lambda x, n: F.concat(F.lit("<urn:page:"), digest, F.lit(":"), n.cast("string"), F.lit(":"), F.coalesce(x.cast("string"), F.lit("none")), F.lit(">"))
     return F.concat(
         F.lit(f"{VERSION}\r\nWARC-Type: "),
         F.when(again, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "),
-        name(uid),
+        name(uid, number),
         F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
         uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         digest,
-        F.when(again, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), name(refers_to))).otherwise(""),
+        F.when(again, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), name(refers_to, F.lit(0)))).otherwise(""),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
         F.octet_length(block).cast("string"),
         F.lit(END),
@@ -89,16 +93,18 @@ def write_archives(
     html_col: str = "html", file_bytes: int = FILE_BYTES,
 ) -> None:
     """Writes pages as deduplicated WARC files under path."""
-    headers = payload_headers(pages, id_col, html_col)
+    headers = written(payload_headers(pages, id_col, html_col), "headers")
     total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
     payload = F.coalesce(F.col(html_col), F.lit(""))
     # payloads move once: the join keeps the partitions that set the files' size
     own = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(F.encode(payload, "UTF-8")).alias("digest")
     ).repartition(max(1, -(-total // file_bytes)), "id", "digest")
-    rows = own.join(revisits(headers, least_bytes), ["id", "digest"], "left")
+    marked = written(marks(headers, least_bytes), "marks").alias("m")
+    rows = own.alias("o").join(marked, F.col("o.id").eqNullSafe(F.col("m.id")) & (F.col("o.digest") == F.col("m.digest")), "left")
+    number = F.when(F.col("repeated"), F.monotonically_increasing_id() + 1).otherwise(0)
     rows.select(
-        record(F.col("url"), F.col("id"), F.col("payload"), F.octet_length("payload"), F.col("digest"), F.col("refers_to"))
+        record(F.col("url"), F.col("o.id"), number, F.col("payload"), F.octet_length("payload"), F.col("o.digest"), F.col("refers_to"))
     ).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
@@ -125,13 +131,16 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long", with_pa
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to and, if asked for, payload.
 
     Payloads are checked against their length and digest. Revisits take the
-    figures, and the payload, of the response they refer to.
+    length, and the payload, of the response they refer to; both are null if it
+    is in no archive.
     """
     schema = f"id {id_type}, url string, record_type string, n long, digest string, refers {id_type}" + ", body binary" * with_payload
 
     def named(urn: str | None) -> str | None:
-        urn = urn and urn.removeprefix("<urn:page:").removesuffix(">")
-        return None if urn in (None, "none") else urn
+        if urn is None:
+            return None
+        page = urn.removeprefix("<urn:page:").removesuffix(">").split(":", 2)[2]
+        return None if page == "none" else page
 
     def records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import gzip
@@ -151,15 +160,18 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long", with_pa
                     out["id"], out["refers"] = (pd.array([None if x is None else int(x) for x in out[c]], dtype="Int64") for c in ("id", "refers"))
                 yield out
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, schema)
+    found = written(spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, schema), "records")
     first = found.where("record_type = 'response' and id is not null").select(
         F.col("id").alias("o_id"), F.col("digest").alias("o_digest"), F.col("n").alias("o_n"), *[F.col("body").alias("o_body")] * with_payload
     )
-    again = found.where("record_type = 'revisit'")
+    # a digest has one response that is referred to: its revisits meet it by digest, salted by page
+    first = first.dropDuplicates(["o_id", "o_digest"]).withColumnRenamed("o_digest", "digest")
+    referred = found.where("record_type = 'revisit'").select("digest", F.col("refers").alias("o_id")).distinct()
+    first = first.join(referred, ["digest", "o_id"], "left_semi").dropDuplicates(["digest"])
+    again = looked_up(found.where("record_type = 'revisit'"), "digest", "id", first, how="left")
     held = found.where("record_type = 'response'")
-    resolved = again.join(first.dropDuplicates(["o_id", "o_digest"]), (F.col("refers") == F.col("o_id")) & (F.col("digest") == F.col("o_digest")))
-    columns = lambda n, digest, body: [
-        F.col("id").alias("page_id"), "url", "record_type", F.col(n).alias("payload_bytes"), F.col(digest).alias("payload_digest"),
+    columns = lambda n, body: [
+        F.col("id").alias("page_id"), "url", "record_type", F.col(n).alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("refers").alias("refers_to"), *[F.col(body).alias("payload")] * with_payload,
     ]
-    return held.select(*columns("n", "digest", "body")).unionAll(resolved.select(*columns("o_n", "o_digest", "o_body")))
+    return held.select(*columns("n", "body")).unionAll(again.select(*columns("o_n", "o_body")))

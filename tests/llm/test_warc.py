@@ -1,6 +1,8 @@
 import hashlib
 import uuid
 
+from pyspark.sql import functions as F
+
 from strandline.llm import shared, warc
 
 
@@ -35,3 +37,25 @@ def test_empty_table(spark):
     path = shared.fresh_path(spark, "warc-test")
     warc.write_archives(pages, path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_record_ids_and_lost_responses(spark):
+    import gzip
+    import re
+
+    big = "x" * 2000
+    rows = [(1, "u", big), (2, "u", big), (2, "u", big), (None, "u", "a"), (None, "u", "a"), (3, "u", "b"), (3, "u", "b"), (4, "u", "c")]
+    path = shared.fresh_path(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, file_bytes=1)
+    names = []
+    for r in spark.read.format("binaryFile").load(path).select("content").collect():
+        names += re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress(bytes(r.content)))
+    assert len(names) == len(set(names)) == len(rows)
+    got = warc.read_archives(spark, path)
+    assert sorted((x.page_id, x.record_type) for x in got.collect() if x.page_id) == [(1, "revisit"), (2, "response"), (2, "response"), (3, "response"), (3, "response"), (4, "response")]
+    # an archive of revisits alone: reported, with nothing to resolve them by
+    lost = shared.fresh_path(spark, "warc-test")
+    text = spark.read.option("lineSep", "\x00").text(path).where("value like '%WARC-Type: revisit%'")
+    text.select(F.substring_index("value", "WARC/1.1", -1).alias("v")).select(F.concat(F.lit("WARC/1.1"), F.regexp_replace("v", "(\r\n)+$", ""), F.lit("\r\n\r\n")).alias("value")).write.option("lineSep", warc.END).option("compression", "gzip").text(lost)
+    found = warc.read_archives(spark, lost).collect()
+    assert [(x.page_id, x.record_type, x.payload_bytes, x.refers_to, x.payload) for x in found] == [(1, "revisit", None, 2, None)]
