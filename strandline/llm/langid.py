@@ -4,9 +4,9 @@ The text's likelihood under byte trigrams of each language, the language that
 the markup or the table declares, the address suffix and a prior of the host
 are combined by Bayes' rule. Host priors come from grouped sums of the texts'
 own posteriors and are smoothed along host, domain, suffix and all: a host
-with few documents leans on its domain, and so on up. A document's own share
-is taken out of its host's sums. How far a declaration or suffix is to be
-trusted is counted in the same way.
+with few documents leans on its domain, and so on up. How far a declaration or
+suffix is to be trusted is counted in the same way. A document's own share is
+taken out of the sums of its host, its declaration and its suffix.
 
 The trigram model is fitted on about `SAMPLE` labelled documents of each
 language, chosen by a hash of their ids and texts; a language with fewer gives
@@ -17,7 +17,8 @@ without letters, or one that even distribution explains better.
 
 Defined results: null and empty texts are "und" with confidence 1. Null
 declarations and addresses are no evidence. Repeated rows give equal results
-up to the share taken out. Rows without an id take part like others.
+up to the share taken out. Rows without an id take part like others. Texts and
+pages may be of any length and are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import bounded_batches, trimmed, without, written
+from strandline.llm.shared import bounded_batches, looked_up, trimmed, without, written
 
 #: Labelled documents of each language that its trigrams are counted on.
 SAMPLE = 4000
@@ -42,6 +43,8 @@ CELLS, UND_LOG, EVIDENCE = 1 << 17, -11.0, 60.0
 CELLS_PRIME = 131_071
 #: Prior share of "und", weight of the level above in host priors, smoothing of declaration counts.
 UND_PRIOR, KAPPA, ALPHA = 0.01, 5.0, 0.5
+#: Rows of what is known of declarations, suffixes or hosts (a few numbers for each language) that are broadcast at most.
+BROADCAST_ROWS = 50_000
 #: Values of the hash that chooses documents.
 HASHES = 1 << 40
 #: Characters that are handled at a time.
@@ -174,7 +177,9 @@ def identified(
 
     seen = own.withColumn("_x", posteriors("_text"))
     seen = seen.select("_id", "host", "suffix", F.coalesce("_x.marked", F.lower(F.regexp_extract("_declared", "^[A-Za-z]{2,8}", 0))).alias("declared"), F.col("_x.own").alias("own"), *[c for c in seen.columns if c.startswith("keep_")])
-    seen = written(seen.withColumns({"declared": F.when(F.col("declared") != "", F.col("declared")), "domain": F.regexp_extract("host", r"([^.]+\.)?[^.]+$", 0)}), "texts")
+    place = F.when(F.col("host").isNotNull(), F.concat_ws("\n", "host", F.coalesce("suffix", F.lit(""))))  # one row of what is known of a host
+    more = {"declared": F.when(F.col("declared") != "", F.col("declared")), "domain": F.regexp_extract("host", r"([^.]+\.)?[^.]+$", 0), "place": place, "row": F.monotonically_increasing_id()}
+    seen = written(seen.withColumns(more), "texts")
 
     def sums(df: DataFrame, *by: str) -> DataFrame:
         """n and s (the posteriors summed per language) of each group."""
@@ -194,17 +199,34 @@ def identified(
     by_suffix = by_suffix.join(F.broadcast(top)).select("suffix", smooth(F.col("s"), F.col("n"), F.col("p_all")).alias("p_suffix"))  # top is one row
     same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     by_domain = by_domain.alias("a").join(by_suffix.alias("b"), same("suffix")).select("a.domain", "a.suffix", smooth(F.col("s"), F.col("n"), F.col("p_suffix")).alias("p_domain"))
-    hosts = by_host.alias("a").join(by_domain.alias("b"), same("suffix") & (F.col("a.domain") == F.col("b.domain"))).select("a.host", "a.suffix", "n", "s", "p_domain")
+    hosts = by_host.alias("a").join(by_domain.alias("b"), same("suffix") & (F.col("a.domain") == F.col("b.domain"))).select(
+        F.concat_ws("\n", "a.host", F.coalesce("a.suffix", F.lit(""))).alias("place"), "n", "s", "p_domain"
+    )
 
     def trust(by: str) -> DataFrame:
-        """by, e: log P(this value | language), up to a constant."""
+        """by, s_by (posteriors summed for this value), t_by (for all values), v_by (how many values there are)."""
         one = sums(seen.where(F.col(by).isNotNull()), by)
-        all_ = added(one).select(F.col("s").alias("t"))
+        all_ = added(one.withColumn("n", F.lit(1))).select(F.col("s").alias("t"), F.col("n").alias("v"))
         per = one.join(F.broadcast(all_))  # one row
-        return per.select(by, F.zip_with("s", "t", lambda a, b: F.ln((a + ALPHA) / (b + 10 * ALPHA))).alias(f"e_{by}"))
-
-    rows_ = seen.join(trust("declared"), "declared", "left").join(trust("suffix"), "suffix", "left").alias("a")
-    rows_ = rows_.join(hosts.alias("b"), same("host") & same("suffix"), "left").select("a.*", "n", "s", "p_domain")
+        return per.select(by, F.col("s").alias(f"s_{by}"), F.col("t").alias(f"t_{by}"), F.col("v").alias(f"v_{by}"))
+
+    def attached(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+        """rows with what table says of their key, if anything; a frequent key's rows are spread."""
+        table = written(table, key)
+        if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(table), key, "left")
+        return looked_up(rows, key, "row", table, asking=seen, how="left")
+
+    def evidence_of(by: str) -> Column:
+        """log P(this value | language), up to a constant, without the row itself; 0 without a value."""
+        parts = F.arrays_zip(F.col(f"s_{by}").alias("s"), F.col(f"t_{by}").alias("t"), F.col("own").alias("own"))
+        left = lambda x: F.greatest(x, F.lit(0.0))
+        log = F.transform(parts, lambda x: F.ln((left(x["s"] - x["own"]) + ALPHA) / (left(x["t"] - x["own"]) + ALPHA * F.col(f"v_{by}"))))
+        return F.coalesce(log, nothing)
+
+    rows_ = seen
+    for key, table in (("declared", trust("declared")), ("suffix", trust("suffix")), ("place", hosts)):
+        rows_ = attached(rows_, key, table)
     nothing = F.array(*[F.lit(0.0)] * k)
     # the host's sums without the row itself
     prior = F.when(
@@ -213,7 +235,7 @@ def identified(
     ).otherwise(even)
     evidence = F.zip_with(
         F.zip_with("own", prior, lambda a, b: F.ln(F.greatest(a, F.lit(1e-30))) + F.ln(F.greatest(b, F.lit(1e-12)))),
-        F.zip_with(F.coalesce("e_declared", nothing), F.coalesce("e_suffix", nothing), lambda a, b: a + b),
+        F.zip_with(evidence_of("declared"), evidence_of("suffix"), lambda a, b: a + b),
         lambda a, b: a + b,
     )
     wordless = F.col("own")[k - 1] > 1 - 1e-12  # no letters, or hardly: nothing around a text makes it one

@@ -154,6 +154,64 @@ def test_host_prior_decides_a_short_text(spark):
     assert got[100] == "de" and got[101] == "fr"
 
 
+def plain_fusion(rows, own, languages):
+    """language and confidence of (declared, host, suffix) rows from their texts' posteriors, with plain loops."""
+    k = len(languages)
+    even = [(1 - langid.UND_PRIOR) / (k - 1)] * (k - 1) + [langid.UND_PRIOR]
+    out = []
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    hosts = {(h, s) for _, h, s in rows if h}
+    total = lambda test: (sum(1 for r in rows if test(r)), np.sum([np.zeros(k)] + [own[i] for i, r in enumerate(rows) if test(r)], axis=0))
+    smooth = lambda n, s, above: (s + langid.KAPPA * np.array(above)) / (n + langid.KAPPA)
+    p_all = smooth(*total(lambda r: r[1]), even)
+    for i, (declared, host, suffix) in enumerate(rows):
+        if own[i][k - 1] > 1 - 1e-12:
+            out.append((langid.UND, 1.0))
+            continue
+        prior = np.array(even)
+        if (host, suffix) in hosts:
+            p_suffix = smooth(*total(lambda r: r[1] and r[2] == suffix), p_all)
+            p_domain = smooth(*total(lambda r: r[1] and r[2] == suffix and domain(r[1]) == domain(host)), p_suffix)
+            n, s = total(lambda r: r[1:] == (host, suffix))
+            prior = (np.maximum(s - own[i], 0) + langid.KAPPA * p_domain) / (n - 1 + langid.KAPPA)
+        e = np.log(np.maximum(own[i], 1e-30)) + np.log(np.maximum(prior, 1e-12)) - np.log(even)
+        for at, value in ((0, declared), (2, suffix)):
+            if value:
+                _, s = total(lambda r: r[at] == value)
+                _, t = total(lambda r: r[at])
+                v = len({r[at] for r in rows if r[at]})
+                e += np.log((np.maximum(s - own[i], 0) + langid.ALPHA) / (np.maximum(t - own[i], 0) + langid.ALPHA * v))
+        p = np.exp(e - e.max())
+        out.append((languages[int(e.argmax())], p.max() / p.sum()))
+    return out
+
+
+@pytest.mark.parametrize("most", [langid.BROADCAST_ROWS, 0])
+def test_fusion_against_plain_loops(spark, sf_dir, most, monkeypatch):
+    monkeypatch.setattr(langid, "BROADCAST_ROWS", most)
+    model = langid.learned(shared.table(spark, sf_dir, "documents"))
+    texts = [r.text for r in shared.table(spark, sf_dir, "documents").orderBy("doc_id").limit(60).collect()] + ["q", "", None, "12"]
+    rng = np.random.default_rng(0)
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    rows = [(i, t[:40] if t and i % 3 else t, pick("de", "en", "zz", None), pick("a.x.de", "b.x.de", "y.org", None), pick("de", "org", None), "e", 1) for i, t in enumerate(texts)]
+    rows = [(*r[:4], r[3] and r[3].rsplit(".", 1)[1], *r[5:]) for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string, h string, s string, place string, row int")
+    got = {x.doc_id: x for x in langid.identified(df, model, "doc_id", "text", declared=F.col("d"), host=F.col("h"), suffix=F.col("s")).collect()}
+    own = langid.text_posteriors(model, [t or "" for _, t, *_ in rows])
+    for (i, *_), (language, confidence) in zip(rows, plain_fusion([r[2:5] for r in rows], own, model.languages), strict=True):
+        assert got[i].language == language and got[i].confidence == pytest.approx(confidence, rel=1e-6)
+
+
+def test_language_with_declarations_withheld(spark):
+    docs = shared.table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.learned(docs.where(F.col("doc_id") % 2 == 0))
+    rest = docs.where(F.col("doc_id") % 2 == 1)
+    lang = dict(rest.select("doc_id", "lang").collect())
+    got = langid.of_documents(rest.withColumns({"lang": F.lit(None).cast("string")}), model).collect()
+    assert np.mean([x.language == lang[x.doc_id] for x in got]) > 0.9
+    assert np.mean([x.text_language == lang[x.doc_id] for x in got]) > 0.9
+
+
 def test_declaration_after_a_long_start():
     for start in ("", f"<!-- {'licence ' * 600} -->", " \n" * 3000, f"<!-- {'x' * 5000} <html lang='xx'> --><!doctype html>"):
         assert langid.page_text(f"{start}<html class='a' lang=\"DE-at\"><body>q")[1] == "de"
