@@ -10,8 +10,9 @@ all decode to the same text. Characters outside the vocabulary, and a literal
 U+2581, become byte pieces.
 
 Defined results: a null text has null ids and decodes to null, an empty one
-has no ids. Repeated rows with one id get equal pieces; a null id counts as 0. Other
-columns pass through unread.
+has no ids. Repeated rows with one id get equal pieces; a null id counts as 0,
+an id that is no integer by a hash. Texts may be of any length: texts are encoded
+whole, a long unit by a heap. Other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -111,6 +112,15 @@ def mixed_all(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def document_number(doc_id: object) -> int:
+    """The id itself if it is an integer, 0 if there is none, a hash of its text otherwise."""
+    if doc_id is None or isinstance(doc_id, int):
+        return doc_id or 0
+    import xxhash
+
+    return xxhash.xxh64_intdigest(str(doc_id))
+
+
 def document_key(seed: int, doc_id: int) -> int:
     return mixed((mixed(seed & MASK64) + doc_id * GOLDEN) & MASK64)
 
@@ -368,7 +378,7 @@ def encoded(
     def batch(part: pa.RecordBatch, coder: Encoder) -> pa.RecordBatch:
         flat, sizes, same = array("i"), [], []
         texts = part.column(at_text).to_pylist()
-        doc_ids = [x or 0 for x in part.column(at_id).to_pylist()]
+        doc_ids = [document_number(x) for x in part.column(at_id).to_pylist()]
         missing, start = [t is None for t in texts], 0
         while start < len(texts):
             end, size = start, 0

@@ -80,3 +80,10 @@ def test_rows(spark, odd, odd_rows, none):
 
 def F_text(df):
     return df["text"].alias("was")
+
+
+def test_string_ids(spark):
+    rows = [("a", "the straightforward reorganisation of houses " * 9), (None, "x"), ("a", "the straightforward reorganisation of houses " * 9)]
+    got = pieces.encoded(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert all(x.lossless for x in got)
+    assert len({tuple(x.piece_ids) for x in got if x.doc_id == "a"}) == 1
