@@ -15,8 +15,8 @@ otherwise the same joins shuffle.
 Defined results: null texts have no words; a document without words is not
 contaminated; a repeated row gives a repeated result (documents are told apart
 by id and text); items without an id or words take no part, and items that
-repeat count once by id. Other columns are not read. Empty tables give no
-matches.
+repeat count once by id. Texts may be of any length: each word is a row until
+matches are read off. Other columns are not read. Empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import ascii_lower, written
+from strandline.llm.shared import ascii_lower, maybe_broadcast, split_join, written
 
 #: Words are runs of anything but these: ASCII other than letters and digits.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,10 +38,6 @@ def words(text: Column) -> Column:
     return F.split(F.concat(F.lit(" "), ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" ")), BETWEEN_WORDS)
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def test_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, item_hash, item_words (with an empty string at either end), size; no null ids, no repeats."""
     return (
@@ -53,10 +49,11 @@ def test_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     )
 
 
-def positional_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def positional_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Postings of the given terms, stored. The term '' marks a document's end at pos n_words + 1."""
     postings = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
-    return written(postings.join(terms, "term").where("term <> '' or pos > 0").select("doc_id", "text_hash", "pos", "term"), "postings")
+    found = split_join(postings, "term", F.xxhash64("text_hash", "pos"), terms, rows)  # a frequent term's postings are split
+    return written(found.where("term <> '' or pos > 0").select("doc_id", "text_hash", "pos", "term"), "postings")
 
 
 def rarest_terms(items: DataFrame, index: DataFrame, window: int, keep: int) -> DataFrame:
@@ -81,7 +78,7 @@ def shifted(index: DataFrame, rare: DataFrame, rows: int) -> DataFrame:
     """Postings of the rare terms, moved to where the item's first word would stand (diag)."""
     asked = rare.select("item_id", "item_hash", F.col("terms.at").alias("key"), F.size("terms").alias("n_terms"), F.posexplode("terms").alias("k", "x"))
     asked = asked.select("item_id", "item_hash", "key", "n_terms", "k", F.col("x.at").alias("at"), F.col("x.term").alias("term"))
-    return index.where("term <> ''").join(maybe_broadcast(asked, rows), "term").withColumn("diag", F.col("pos") - F.col("at"))
+    return split_join(index.where("term <> ''"), "term", F.xxhash64("text_hash", "pos"), asked, rows).withColumn("diag", F.col("pos") - F.col("at"))
 
 
 def candidate_diagonals(index: DataFrame, rare: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -146,8 +143,8 @@ def decontaminated(
     A document is contaminated if words inside windows make up at least 1 in `one_in`.
     """
     items = test_items(benchmark, item_id_col, item_text_col)
-    terms = items.select(F.explode("item_words").alias("term")).unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    index = positional_index(docs, maybe_broadcast(terms, broadcast_rows), id_col, text_col)
+    terms = items.select(F.explode("item_words").alias("term")).unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    index = positional_index(docs, terms, id_col, text_col, broadcast_rows)
     rare = rarest_terms(items, index, window, rarest)
     candidates = candidate_diagonals(index, rare, broadcast_rows)
     matches = exact_matches(docs, items, candidates, window, id_col, text_col, broadcast_rows)
