@@ -15,8 +15,10 @@ at most `SAMPLE` documents; scoring covers every line of every document.
 
 Defined results: a null or empty text is one empty line. Where an id has
 several labels the least counts. Rows without an id are scored too. Repeated
-rows get equal scores. Without training labels every score is 0.5. Of
-documents only the id and the text are read.
+rows get equal scores. Without training labels every score is 0.5, and
+`good_documents`, which then can't tell, keeps all rows. Texts may be of any
+length: a text's lines are one chain. Of documents only the id and the text are
+read.
 """
 
 from __future__ import annotations
@@ -251,7 +253,7 @@ def scored(
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, all their columns kept, whose score reaches the threshold."""
+    """The rows of docs, all their columns kept, whose score reaches the threshold; all of them without training labels."""
     chain = learned(docs, labels, held_out, id_col, text_col, label_col, sample)
 
     @F.pandas_udf("double")
