@@ -54,7 +54,7 @@ SEED = 20_240_229
 #: Rounds with one leader per bucket before the block comparison, documents of a block's side and their shingles.
 STAR_ROUNDS, BLOCK, BLOCK_SHINGLES = 3, 192, 400_000
 #: Shingles of the followers that are confirmed with one copy of their leader's.
-TOGETHER = 500_000
+TOGETHER = 100_000
 #: Edges that one task of the component search takes at least.
 EDGES_PER_TASK = 100_000
 #: Ids of candidate documents (8 bytes each) are broadcast up to so many.
