@@ -1,11 +1,11 @@
-"""The queries op1_ to op10_ over the shared test tables, with SQL where it can say the same."""
+"""The queries op1_ to op13_ over the shared test tables, with SQL where it can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann, decontam, html_text, langid, lm, neardup, pieces, quality, shared, token_counts, warc
+from strandline.llm import ann, centroids, decontam, divergence, html_text, langid, lm, neardup, pieces, quality, secrets, shared, token_counts, warc
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,25 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_warc, op3_pieces, op4_token_counts, op5_decontam, op6_langid, op7_quality, op8_html_text, op9_lm, op10_neardup)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scanned(shared.table(spark, sf_dir, "documents")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(shared.table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(centroids.clustered(shared.table(spark, sf_dir, "embeddings"), vec_col="embedding"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ann, op2_warc, op3_pieces, op4_token_counts, op5_decontam, op6_langid, op7_quality, op8_html_text, op9_lm, op10_neardup,
+        op11_secrets, op12_divergence, op13_centroids,
+    )
+}
 
 SQL = {
     "op2_warc": """
@@ -112,4 +130,54 @@ SQL = {
         m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
         SELECT t.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, component_id, t.doc_id = component_id AS kept
         FROM t JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        df AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 10),
+        c AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) JOIN df USING (lang, t) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+        gn AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS nn FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS MATERIALIZED (
+            SELECT lang, source, t, coalesce(n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (nn + 2 * v))::HUGEINT AS p
+            FROM gn JOIN v USING (lang) JOIN df USING (lang) LEFT JOIN c USING (lang, source, t)),
+        q AS (SELECT lang, t, (1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(nn) + 2 * any_value(v)))::HUGEINT AS q
+              FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(nn)::HUGEINT AS nn FROM gn GROUP BY lang) USING (lang) GROUP BY lang, t),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+                       FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL) x
+                   ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        terms AS (SELECT lang, source, t AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+        UNION ALL
+        SELECT * FROM (SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms) WHERE rank <= 10""",
 }
+
+
+def k_means_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as tables of its own: a (cluster of each row), c (components of the centroids)."""
+    steps = []
+    for i in range(rounds + 1):
+        near = f"SELECT x, j, sum((v - w) * (v - w)) AS s FROM e JOIN c{i} USING (i) GROUP BY x, j"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT x, min(j) AS j, min(s) AS s FROM (SELECT x, j, s, min(s) OVER (PARTITION BY x) AS m FROM ({near})) WHERE s = m GROUP BY x)")
+        if i < rounds:
+            mean = f"SELECT j, i, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS w FROM e JOIN a{i} USING (x) GROUP BY j, i"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.j, c{i}.i, coalesce(u.w, c{i}.w)::BIGINT AS w FROM c{i} LEFT JOIN ({mean}) u USING (j, i))")
+    return f"""
+        WITH k AS MATERIALIZED (
+            SELECT row_number() OVER () AS x, vec_id, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS vec FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+        e AS MATERIALIZED (SELECT x, unnest(range(64)) AS i, unnest(vec)::BIGINT AS v FROM k),
+        f AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), vec) - 1 AS j, vec FROM k QUALIFY j < {k}),
+        c0 AS MATERIALIZED (SELECT j, unnest(range(64)) AS i, unnest(vec)::BIGINT AS w FROM f),
+        {', '.join(steps)},
+        h AS (SELECT j, sha256(string_agg(w::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+        SELECT vec_id, j::INT AS cluster, s::BIGINT AS distance, (sum(s) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(s) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN k USING (x) JOIN h USING (j)"""
+
+
+SQL["op13_centroids"] = k_means_sql()
