@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
-from strandline.functions.stats import cents
-from strandline.operators import metrics
+from strandline.functions.stats import cents, years_between
+from strandline.operators import metrics, segments
 
 PASSIVE = "buy_and_hold"
 
@@ -80,12 +80,13 @@ def linearity(base: DataFrame, again: DataFrame, base_bps: float, new_bps: float
 
 
 def comparison(strategies: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """strategy_id, cagr, volatility, sharpe, max_drawdown, total_return, annual_turnover."""
-    stats = metrics.derived_stats(strategies, "strategy_id", capital=cfg.capital)
-    risk = strategies.groupBy("strategy_id").agg(metrics.volatility().alias("volatility"), metrics.sharpe().alias("sharpe"), F.sum("turnover").alias("traded"))
-    falls = metrics.max_drawdown(strategies, "strategy_id")
-    turnover = F.when((F.col("years") > 0) & (F.col("strategy_id") != PASSIVE), F.col("traded") / F.col("years"))
-    return stats.join(risk, "strategy_id").join(falls, "strategy_id").select("strategy_id", "cagr", "volatility", "sharpe", "max_drawdown", "total_return", turnover.alias("annual_turnover"))
+    """strategy_id, cagr, volatility, sharpe, max_drawdown, total_return, annual_turnover, from one summary of each strategy's blocks."""
+    parts = segments.summaries(strategies, "strategy_id", also=("turnover",))
+    whole = segments.merged(parts, "strategy_id", also=("turnover",)).where("rows > 1").withColumn("growth", cents(cfg.capital * F.col("curve")) / cfg.capital)
+    years = years_between(F.col("first"), F.col("last"))
+    traded = F.when((years > 0) & (F.col("strategy_id") != PASSIVE), F.col("turnover") / years)
+    risk = segments.metrics_of(whole.withColumn("annual_turnover", traded), "strategy_id", "annual_turnover", growth="growth")
+    return risk.select("strategy_id", "cagr", "volatility", "sharpe", "max_drawdown", "total_return", "annual_turnover")
 
 
 def verdict(strategies: DataFrame, order: list[str], cfg: Config = DEFAULT) -> DataFrame:

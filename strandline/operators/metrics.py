@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT
 from strandline.functions.stats import cagr, cents, order_index, years_between
+from strandline.operators import gram
 
 
 def blend(returns: DataFrame, *by: str) -> DataFrame:
@@ -73,37 +74,21 @@ def beta_alpha(returns: DataFrame, market: DataFrame, *by: str, days: int = DEFA
 
 
 def risk_table(returns: DataFrame, market: DataFrame, *by: str, confidence: float = DEFAULT.var_confidence) -> DataFrame:
-    """n, volatility, sharpe, max_drawdown, var, es, beta, alpha of each key."""
+    """n, volatility, sharpe, max_drawdown, var, es, beta, alpha of each key, whose returns fit an array; segments and selection do without."""
     basic = returns.groupBy(*by).agg(F.count("r").alias("n"), volatility().alias("volatility"), sharpe().alias("sharpe"), sorted_returns().alias("x"))
     basic = basic.withColumns({"var": value_at_risk(F.col("x"), confidence), "es": expected_shortfall(F.col("x"), confidence)}).drop("x")
     return basic.join(max_drawdown(returns, *by), list(by)).join(beta_alpha(returns, market, *by), list(by), "left")
 
 
-def pairs(returns: DataFrame, *by: str) -> DataFrame:
-    """Both returns of every unordered pair of series on each day: keys, a, b, x, y."""
-    left = returns.select(*by, "pos", F.col("series_id").alias("a"), F.col("r").alias("x"))
-    right = returns.select(*by, "pos", F.col("series_id").alias("b"), F.col("r").alias("y"))
-    return left.join(right, [*by, "pos"]).where("a < b")
-
-
-def correlation() -> Column:
-    """Of x and y over rows that have both; null if fewer than two or if either is constant."""
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
-    return F.try_divide(F.covar_samp(x, y), F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0)))
-
-
 def pair_correlations(returns: DataFrame, *by: str) -> DataFrame:
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    return pairs(returns, *by).groupBy(*by, "a", "b").agg(correlation().alias("corr"), F.sum(both.cast("int")).alias("n"))
+    """keys, a, b, corr, n of every unordered pair over the days that both have."""
+    return gram.correlations(returns, *by).where("a < b")
 
 
 def correlation_matrix(returns: DataFrame) -> DataFrame:
     """a, b, corr for all ordered pairs, 1 on the diagonal."""
-    half = pair_correlations(returns).select("a", "b", "corr")
-    other = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
     one = returns.select(F.col("series_id").alias("a"), F.col("series_id").alias("b")).distinct().withColumn("corr", F.lit(1.0))
-    return half.unionByName(other).unionByName(one)
+    return gram.correlations(returns).select("a", "b", "corr").unionByName(one)
 
 
 def average_correlation(returns: DataFrame, *by: str) -> DataFrame:
@@ -119,10 +104,7 @@ def complete_days(returns: DataFrame, *by: str) -> DataFrame:
 
 def covariance(returns: DataFrame, *by: str) -> DataFrame:
     """keys, a, b, cov, n over complete days, for all ordered pairs; no rows with fewer than two days."""
-    held = complete_days(returns, *by)
-    left = held.select(*by, "pos", F.col("series_id").alias("a"), F.col("r").alias("x"))
-    right = held.select(*by, "pos", F.col("series_id").alias("b"), F.col("r").alias("y"))
-    return left.join(right, [*by, "pos"]).groupBy(*by, "a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n")).where("n > 1")
+    return gram.covariances(returns, *by)
 
 
 def means(returns: DataFrame, *by: str) -> DataFrame:

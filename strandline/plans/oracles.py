@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from strandline.config import DEFAULT
 from strandline.functions.stats import ERF_A, ERF_P
-from strandline.plans.queries import LONG_FIRST, LONG_LAST, OLD_END, START
+from strandline.plans.queries import ASKED, LONG_FIRST, LONG_LAST, OLD_END, START
 
 D = DEFAULT
 
@@ -302,6 +302,21 @@ def break_even() -> str:
     SELECT strategy_id, kind, CASE WHEN kind = 'solved' THEN {r('(lo + hi) / 2', 4)} END AS bps FROM kd"""
 
 
+def suffixes() -> str:
+    """sx: every stock from every date on; moments in whole millionths, so both engines have the same sums."""
+    own, cross = "(n * q - t * t)::DOUBLE / (n * (n - 1))", "(b * rm - o * mm)::DOUBLE / nullif(b * mq - mm * mm, 0)::DOUBLE"
+    return f""", mi AS (SELECT series_id, pos, date, r, round(r * 1000000)::HUGEINT AS x, CASE WHEN r IS NOT NULL THEN round(m * 1000000)::HUGEINT END AS y FROM st JOIN (SELECT pos, m FROM mk) USING (pos)),
+    we AS (SELECT *, CASE WHEN y IS NOT NULL THEN x END AS xb, coalesce(product(1 + r) OVER (PARTITION BY series_id ORDER BY pos), 1) AS w FROM mi),
+    lo AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY series_id ORDER BY pos), 1) AS base, min(w) OVER f AS low FROM we WINDOW f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    su AS (SELECT series_id, pos, date, count(x) OVER f AS n, sum(x) OVER f AS t, sum(x * x) OVER f AS q, count(y) OVER f AS b, sum(xb) OVER f AS o, sum(y) OVER f AS mm, sum(y * y) OVER f AS mq, sum(xb * y) OVER f AS rm,
+                  sum((x > 0)::INT) OVER f AS ups, least(0, min(low / w - 1) OVER f, low / base - 1) AS fall, last_value(w) OVER f / w AS after, max(date) OVER f AS last
+           FROM lo WINDOW f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    sv AS (SELECT *, CASE WHEN n > 1 THEN sqrt({own}) / 1000000 * sqrt({D.trading_days}.0::DOUBLE) END AS vol, CASE WHEN b > 1 THEN {cross} END AS beta, date_diff('day', date, last) / 365.25::DOUBLE AS years FROM su),
+    sx AS (SELECT series_id, pos, date, n, {r('vol')} AS volatility, {r(f"CASE WHEN vol > 0 THEN (t::DOUBLE / 1000000 / n * {D.trading_days} - {double(D.risk_free)}) / vol END")} AS sharpe, {r('CASE WHEN n > 0 THEN fall END')} AS max_drawdown,
+                  {r('after - 1')} AS total_return, {r('CASE WHEN after > 0 AND years > 0 THEN pow(after, 1 / years) - 1 END')} AS cagr, {r('ups / nullif(n, 0)')} AS up_rate, {r('beta')} AS beta,
+                  {r(f"CASE WHEN b > 0 THEN o::DOUBLE / 1000000 / b * {D.trading_days} - ({double(D.risk_free)} + beta * (mm::DOUBLE / 1000000 / b * {D.trading_days} - {double(D.risk_free)})) END")} AS alpha FROM sv)"""
+
+
 LONG = P.replace("FROM lineitem", f"FROM (SELECT * FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '{LONG_FIRST}' AND DATE '{LONG_LAST}') AS lineitem")
 
 SQL = {
@@ -319,6 +334,8 @@ SQL = {
     "f1_returns_gapped": G + " SELECT series_id, kind, pos, date, r FROM ret",
     "f2_trailing_return": P + f" SELECT series_id, pos, {r('t')} AS trailing FROM (SELECT series_id, pos, price / lag(price, {D.momentum_days}) OVER (PARTITION BY series_id ORDER BY pos) - 1 AS t FROM px WHERE kind = 'stock') WHERE t IS NOT NULL",
     "f3_slice_from": P + f" SELECT series_id, min(pos) AS first_pos, count(*) AS days, count(r) AS n FROM st WHERE date >= DATE '{START}' GROUP BY series_id",
+    "f3_any_start": P + suffixes() + " SELECT * EXCLUDE (date) FROM sx",
+    "f3_from_dates": P + suffixes() + ", ask AS (SELECT start, (SELECT min(pos) FROM cal WHERE date >= start) AS pos FROM (VALUES " + ", ".join(f"(DATE '{x}')" for x in ASKED) + ") v(start)) SELECT start, sx.* EXCLUDE (date, pos) FROM sx JOIN ask USING (pos)",
     "f7_clean": P + f", cl AS (SELECT series_id, CASE WHEN pos % 97 = 13 OR pos % 89 = 5 THEN NULL ELSE r END AS r FROM st) SELECT series_id, count(r) AS n, {r('avg(r)')} AS mean, {r('max(r)')} AS top FROM cl GROUP BY 1",
     "f13_default_selection": P + ", ids AS (SELECT DISTINCT series_id FROM st) SELECT series_id, 'known' AS asked FROM ids WHERE series_id IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#99') UNION ALL SELECT * FROM (SELECT series_id, 'one_known' FROM ids ORDER BY 1 LIMIT 5)",
     "f14_benchmark_options": P + ", ix AS (SELECT DISTINCT series_id FROM ret WHERE kind = 'index') SELECT 0 AS place, 'none' AS value, 'None' AS label, '' AS keys UNION ALL SELECT 1, 'index:F', 'Fulfilled', 'index:F' FROM ix WHERE series_id = 'index:F' UNION ALL SELECT 2, 'index:O', 'Open', 'index:O' FROM ix WHERE series_id = 'index:O' UNION ALL SELECT 3, 'all', 'Both', 'index:F,index:O' FROM ix HAVING count(*) = 2",
@@ -341,6 +358,10 @@ SQL = {
     "a2_weighted": G + f" SELECT pos, date, {r('CASE WHEN sum(w) FILTER (r IS NOT NULL) > 0 THEN sum(r * w) / sum(w) FILTER (r IS NOT NULL) END', 8)} AS r FROM (SELECT *, length(series_id) / 10 AS w FROM st) GROUP BY pos, date",
     "a3_risk_table": P + risk(f"SELECT series_id, pos, r FROM st WHERE date >= DATE '{START}'", f"SELECT pos, m FROM mk WHERE date >= DATE '{START}'"),
     "a5_portfolio_summary": P + risk("SELECT 'portfolio' AS series_id, pos, r FROM bl", "SELECT pos, m FROM mk"),
+    "a6_tail_selected": P + risk("SELECT series_id, pos, r FROM st", "SELECT pos, m FROM mk").rsplit("SELECT series_id, n,", 1)[0] + f" SELECT series_id, n, {r('var')} AS var, {r('es')} AS es FROM tail",
+    "a6_tail_lines": f"""WITH s AS (SELECT l_linestatus AS status, list(l_discount::DOUBLE - l_tax::DOUBLE ORDER BY l_discount::DOUBLE - l_tax::DOUBLE) AS x, list(l_extendedprice::DOUBLE ORDER BY l_extendedprice) AS p, count(*) AS n FROM lineitem GROUP BY 1),
+        i AS (SELECT *, least(n - 1, floor({double(1 - D.var_confidence)} * n))::BIGINT + 1 AS k FROM s)
+        SELECT status, n, {r('p[n // 2 + 1]', 4)} AS upper_median, {r('-x[k]', 4)} AS var, {r('-list_sum(x[1:k]) / k', 4)} AS es FROM i""",
     "a9_correlations": G + f", pc AS {pair_corr('st')} SELECT a, b, {r('corr')} AS corr FROM (SELECT a, b, corr FROM pc UNION ALL SELECT b, a, corr FROM pc UNION ALL SELECT DISTINCT series_id, series_id, 1.0 FROM st)",
     "a10_average_correlation": G + f" SELECT {r('avg(corr)')} AS avg_corr, count(corr) AS n_pairs FROM {pair_corr('st')}",
     "a11_covariance": G + COV + f" SELECT a, b, {r('cov', 9)} AS cov, n FROM cov",
@@ -358,6 +379,8 @@ SQL = {
     "a30_coverage": G + " SELECT series_id, count(price) AS days FROM px GROUP BY 1",
     "a31_hero": P + f" SELECT min(date) AS first, max(date) AS last, count(*) AS days, (SELECT count(DISTINCT series_id) FROM st) AS stocks, {r('''date_diff('day', min(date), max(date)) / 365.2425::DOUBLE''')} AS years FROM cal",
     "w1_equity": P + curve("st", "series_id") + " SELECT series_id, pos, value FROM cv",
+    "w1_equity_blocks": P + curve("st", "series_id") + " SELECT series_id, pos, value FROM cv",
+    "a5_drawdown_blocks": P + risk("SELECT series_id, pos, r FROM st UNION ALL SELECT 'portfolio', pos, r FROM bl", "SELECT pos, m FROM mk").rsplit("SELECT series_id, n,", 1)[0] + f" SELECT series_id, {r('max_drawdown')} AS max_drawdown FROM dd",
     "w2_anchored_equity": P + ", fs AS (SELECT series_id, greatest(0, min(pos) - 1) AS b FROM st WHERE r IS NOT NULL GROUP BY 1), an AS (SELECT series_id, pos, date, r FROM st JOIN fs USING (series_id) WHERE pos >= b)" + curve("an", "series_id") + " SELECT series_id, pos, value FROM cv",
     "w4_rolling": P + f""", rw AS (SELECT series_id, pos, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i, stddev_samp(r) OVER w * sqrt({D.trading_days}.0::DOUBLE) AS v,
             avg(r) OVER w * {D.trading_days} - {double(D.risk_free)} AS l, regr_slope(r, m) OVER w AS b, count(*) FILTER (r IS NOT NULL AND m IS NOT NULL) OVER w AS c FROM st JOIN (SELECT pos, m FROM mk) USING (pos)

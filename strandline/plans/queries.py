@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT
 from strandline.functions import stats
-from strandline.operators import costs, findings, gate, metrics, montecarlo, optimize, rolling, strategies, stress
+from strandline.operators import costs, findings, gate, metrics, montecarlo, optimize, rolling, segments, selection, strategies, stress
 from strandline.sources import json_payload
 from strandline.sources.panel import Panel, benchmark_options, clean, default_selection, enough_history, is_preset, matching, named, panel
+from strandline.sources.stored import once, stored
 from strandline.streaming import bars
 
 START = date(1997, 1, 1)
@@ -26,6 +27,7 @@ GAPPED = replace(DEFAULT, top_n=2)
 SOME_STOCKS = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#99")
 NAMES = [("Brand#11", "First Brand"), ("Brand#12", "Second Brand")]
 INDEX_LABELS = {"index:F": "Fulfilled", "index:O": "Open"}
+ASKED = (date(1980, 1, 1), date(1995, 2, 28), START, date(1999, 12, 25), date(2001, 6, 17), date(2030, 1, 1))
 LONG_FIRST, LONG_LAST = date(1995, 6, 1), date(2000, 3, 31)
 
 QUERIES: dict = {}
@@ -48,16 +50,14 @@ def gapped(spark: SparkSession, sf_dir: str) -> Panel:
     return panel(spark, sf_dir, gapped=True)
 
 
-_strategies: dict = {}
-
-
 def strategy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _strategies:
+    """The rows of all strategies, made once like the panel."""
+
+    def make() -> DataFrame:
         p = dense(spark, sf_dir)
-        prices = p.prices.where("kind = 'stock'")
-        _strategies[key] = strategies.all_strategies(p.stocks(), prices, p.calendar).persist()
-    return _strategies[key]
+        return stored(strategies.all_strategies(p.stocks(), p.prices.where("kind = 'stock'"), p.calendar), "strategies")
+
+    return once(spark, ("strategies",), (f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet"), make)
 
 
 def market_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +159,30 @@ def f3_slice_from(spark, sf_dir):
     return r.groupBy("series_id").agg(F.min("pos").alias("first_pos"), F.count("*").alias("days"), F.count("r").alias("n"))
 
 
+def suffix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffix summaries of all stocks, made once like the panel: any start date is a lookup."""
+
+    def make() -> DataFrame:
+        p = dense(spark, sf_dir)
+        both = p.stocks().join(p.market().select("pos", "m"), "pos", "left")
+        return stored(segments.suffixes(both, "series_id", market=True), "suffixes")
+
+    return once(spark, ("suffixes",), (f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet"), make)
+
+
+@query
+def f3_any_start(spark, sf_dir):
+    """Every metric of every stock from every date on."""
+    return rounded(segments.metrics_of(suffix_table(spark, sf_dir), "series_id", "pos"))
+
+
+@query
+def f3_from_dates(spark, sf_dir):
+    """The same for dates that a user may ask: before the first, between two, the last and after it."""
+    starts = spark.createDataFrame([(x,) for x in ASKED], "start date")
+    return rounded(segments.from_dates(suffix_table(spark, sf_dir), dense(spark, sf_dir).calendar, starts, "series_id"))
+
+
 @query
 def f7_clean(spark, sf_dir):
     r = dense(spark, sf_dir).stocks()
@@ -299,6 +323,20 @@ def a5_portfolio_summary(spark, sf_dir):
     return rounded(metrics.risk_table(blend, dense(spark, sf_dir).market(), "series_id"))
 
 
+@query
+def a6_tail_selected(spark, sf_dir):
+    """Value at risk and expected shortfall without an array of returns."""
+    return rounded(selection.tail(dense(spark, sf_dir).stocks(), "series_id"))
+
+
+@query
+def a6_tail_lines(spark, sf_dir):
+    """The same selection over all order lines by status: millions of prices in two keys."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linestatus").alias("status"), (F.col("l_discount") - F.col("l_tax")).alias("r"), F.col("l_extendedprice").cast("double").alias("price"))
+    by_price = selection.selected(lines, "status", rank=F.floor(F.col("n") / 2), value="price").select("status", "n", F.col("value").alias("upper_median"))
+    return rounded(by_price.join(selection.tail(lines, "status").drop("n"), "status"), 4)
+
+
 @query
 def a9_correlations(spark, sf_dir):
     return rounded(metrics.correlation_matrix(gapped(spark, sf_dir).stocks()))
@@ -377,6 +415,20 @@ def w1_equity(spark, sf_dir):
     return metrics.equity_curve(dense(spark, sf_dir).stocks(), "series_id").select("series_id", "pos", "value")
 
 
+@query
+def w1_equity_blocks(spark, sf_dir):
+    """The same curves from a scan of two levels."""
+    return segments.equity_curve(dense(spark, sf_dir).stocks(), "series_id").select("series_id", "pos", "value")
+
+
+@query
+def a5_drawdown_blocks(spark, sf_dir):
+    """The falls of the equal-weight portfolio and of each stock, block by block."""
+    p = dense(spark, sf_dir)
+    every = p.stocks().unionByName(market_blend(spark, sf_dir).withColumn("series_id", F.lit("portfolio")))
+    return rounded(segments.max_drawdown(every, "series_id"))
+
+
 @query
 def w2_anchored_equity(spark, sf_dir):
     return metrics.anchored_curve(dense(spark, sf_dir).stocks(), "series_id").select("series_id", "pos", "value")

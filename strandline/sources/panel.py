@@ -5,11 +5,13 @@ return means that there is none that day. Returns are rounded to 6 decimals as
 soon as they are made, so every engine ranks the same values.
 
 `from_tables` derives panels from order lines: the mean discount of a day's
-lines, centred, is the day's move of an asset. Lines are read and shuffled once:
-exact sums and counts by asset, status and date add up to those of assets,
-market and indexes. Only this aggregation grows with the input; the calendar
-has a row per date and the panel one per date and series, whatever the number of
-lines.
+lines, centred, is the day's move of an asset. Lines are read once. Where parts
+are too many to broadcast, lines are shuffled once to meet their part; what is
+shuffled after that are each task's sums, one per asset, status and date at most.
+These exact sums add up to those of assets, market and indexes. Only this grows
+with the input; the calendar has a row per date and the panel one per date and
+series, whatever the number of lines. Sums and panel are stored, so plans over a
+panel begin with a scan of it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.stored import once, stored
+
 MARKET = "market"
 INDEX = "index:"
 
@@ -55,9 +59,12 @@ def clean(value: Column) -> Column:
 
 def simple_returns(prices: DataFrame) -> DataFrame:
     """r = price / price of the row before - 1; null if either is."""
+    return with_returns(prices).drop("price")
+
+
+def with_returns(prices: DataFrame) -> DataFrame:
     before = F.lag("price").over(Window.partitionBy("series_id").orderBy("pos"))
-    r = F.round(clean(F.try_divide("price", before) - 1), 6) + F.lit(0.0)
-    return prices.select("series_id", "kind", "pos", "date", r.alias("r"))
+    return prices.withColumn("r", F.round(clean(F.try_divide("price", before) - 1), 6) + F.lit(0.0))
 
 
 def enough_history(prices: DataFrame, share: float) -> DataFrame:
@@ -91,29 +98,24 @@ def from_tables(spark: SparkSession, sf_dir: str, gapped: bool = False, first: d
         lines = lines.where(inside(bound)) if bound else lines
     asset = "p_type" if gapped else "p_brand"
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col(asset).alias("series_id"))
-    sums = daily_sums(lines, parts).persist()
+    sums = stored(daily_sums(lines, parts), "daily-sums")
     moves = daily_moves(sums.where("asset is not null"), F.col("asset"), "stock")
     moves = moves.unionByName(daily_moves(sums, F.lit(MARKET), "benchmark")).unionByName(daily_moves(sums, F.concat(F.lit(INDEX), F.col("status")), "index"))
-    observed = moves.persist()
-    calendar = calendar_of(observed)
+    observed = stored(moves, "moves")
+    calendar = stored(calendar_of(observed).coalesce(1), "calendar")
     every = dense(calendar, observed.select("series_id", "kind").distinct(), observed.select("series_id", "date", "m"))
     so_far = Window.partitionBy("series_id").orderBy("pos")
     level = F.when(F.count("m").over(so_far) > 0, 100 * F.product(1 + F.col("m")).over(so_far))
     carried = F.lit(not gapped) & (F.col("kind") == "stock")
     prices = every.withColumn("price", level).select("series_id", "kind", "pos", "date", F.when(carried | F.col("m").isNotNull(), F.col("price")).alias("price"))
-    prices = prices.persist()
-    return Panel(calendar.persist(), prices, simple_returns(prices).persist())
-
-
-_held: dict[tuple, Panel] = {}
+    held = stored(with_returns(prices), "panel")
+    return Panel(calendar, held.drop("r"), held.drop("price"))
 
 
 def panel(spark: SparkSession, sf_dir: str, gapped: bool = False, first: date | None = None, last: date | None = None) -> Panel:
-    """The panel of a folder, kept for the session."""
-    key = (spark.sparkContext.applicationId, sf_dir, gapped, first, last)
-    if key not in _held:
-        _held[key] = from_tables(spark, sf_dir, gapped, first, last)
-    return _held[key]
+    """The panel of a folder, made once for a session and anew when its files change."""
+    sources = (f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet")
+    return once(spark, ("panel", gapped, first, last), sources, lambda: from_tables(spark, sf_dir, gapped, first, last))
 
 
 def named(ids: DataFrame, names: DataFrame) -> DataFrame:
