@@ -28,13 +28,14 @@ Defined results: null text, language and source are ''. A (language, source) gro
 counts even without terms, and a language may keep none: its pairs have the value
 0. Repeated documents count as often as they occur. Ties go by the item's bytes. An
 empty table gives an empty result. Texts may be of any length: a task holds one
-text's words and at most HELD pairs. Other columns are not read.
+batch's words and about HELD terms. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -52,8 +53,8 @@ SCALE, PRIOR = 1_000_000_000, 2
 DEPTH, NARROW, WIDE, PAGE, CELLS = 2, 16, 26, 1 << 12, 64
 #: Tasks whose pages are added first.
 TASKS = 256
-#: Pairs that a task holds before it adds them to the sketch or hands them on.
-HELD = 200_000
+#: Terms of groups that a task holds before it adds them to the sketch or hands them on; looked at after each Arrow batch.
+HELD = 400_000
 #: Rows of group figures that are broadcast at most.
 FEW_GROUPS = 20_000
 
@@ -66,14 +67,16 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(LETTERS).split() if text else []
 
 
-def cells(pairs: list[bytes], width: int) -> list[np.ndarray]:
-    """The cell of each pair in each row: parts of one 64-bit hash, the same on every machine."""
-    hashed = pd.util.hash_array(np.array(pairs, dtype=object), categorize=False)
-    return [((hashed >> np.uint64(32 * i)) & np.uint64((1 << width) - 1)).astype(np.int64) for i in range(DEPTH)]
+def hashed(items: list[bytes]) -> np.ndarray:
+    """64 bits of each, the same on every machine."""
+    return pd.util.hash_array(np.array(items, dtype=object), categorize=False)
 
 
-def pair(lang: bytes, term: bytes) -> bytes:
-    return lang + b"\0" + term  # a term has no \0, so the last one parts them
+def cells(lang: bytes, terms: list[bytes], width: int) -> list[np.ndarray]:
+    """The cell of each term of a language in each row: parts of one hash of both."""
+    mixed = (hashed(terms) ^ hashed([lang])) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    return [((mixed >> np.uint64(32 * i)) & np.uint64((1 << width) - 1)).astype(np.int64) for i in range(DEPTH)]
 
 
 def columns(part: pa.RecordBatch) -> zip:
@@ -88,23 +91,23 @@ def sketch(docs: DataFrame, least_docs: int, width: int) -> DataFrame:
     """row, page, cells: counters from 0 to least_docs (as bytes) of the non-empty pages, added over all documents (lang, text)."""
     page_cells = min(PAGE, 1 << width)
 
-    def add(counters: np.ndarray, seen: Counter) -> None:
-        n = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-        for row, at in enumerate(cells(list(seen), width)):
-            where, place = np.unique(at, return_inverse=True)
-            counters[row, where] = np.minimum(counters[row, where] + np.bincount(place, weights=n), least_docs)
+    def add(counters: np.ndarray, seen: dict[bytes, Counter]) -> None:
+        for lang, terms in seen.items():
+            n = np.fromiter(terms.values(), dtype=np.int64, count=len(terms))
+            for row, at in enumerate(cells(lang, list(terms), width)):
+                where, place = np.unique(at, return_inverse=True)
+                counters[row, where] = np.minimum(counters[row, where] + np.bincount(place, weights=n), least_docs)
+        seen.clear()
 
     @trimmed
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = np.zeros((DEPTH, 1 << width), dtype=np.uint8), Counter()
+        counters, seen = np.zeros((DEPTH, 1 << width), dtype=np.uint8), defaultdict(Counter)
         for part in parts:
             for lang, text in columns(part):
-                seen.update([pair(lang, w) for w in set(words(text))])
-                if len(seen) > HELD:
-                    add(counters, seen)
-                    seen = Counter()
-        if seen:
-            add(counters, seen)
+                seen[lang].update(set(words(text)))
+            if sum(map(len, seen.values())) > HELD:
+                add(counters, seen)
+        add(counters, seen)
         pages = counters.reshape(DEPTH, -1, page_cells)
         row, page = np.nonzero(pages.any(axis=2))
         for a in range(0, len(row), 256):
@@ -140,35 +143,38 @@ def term_counts(docs: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
     """lang, source, term, n (occurrences), docs of the terms that the sketch lets pass, summed over all documents (lang, source, text)."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def let_pass(pairs: list[bytes]) -> np.ndarray:
-        ok = np.ones(len(pairs), dtype=bool)
-        for row, at in enumerate(cells(pairs, width)):
+    def let_pass(lang: bytes, terms: list[bytes]) -> np.ndarray:
+        ok = np.ones(len(terms), dtype=bool)
+        for row, at in enumerate(cells(lang, terms, width)):
             ok &= (held.value[row, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return ok
 
-    def batch(seen: dict) -> pa.RecordBatch:
-        ok = let_pass([pair(lang, term) for lang, _, term in seen])
-        left = [(k, x) for (k, x), y in zip(seen.items(), ok, strict=True) if y]
-        arrays = [pa.array([k[i] for k, _ in left], pa.binary()).cast(pa.string()) for i in range(3)] + [pa.array([x[i] for _, x in left], pa.int64()) for i in range(2)]
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "docs"])
+    def batches(seen: dict[tuple[bytes, bytes], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, in_docs) in seen.items():
+            terms = list(n)
+            ok = let_pass(lang, terms)
+            left = list(compress(terms, ok))
+            name = lambda x: pa.array([x] * len(left), pa.binary()).cast(pa.string())
+            counts = [pa.array(list(compress(c.values(), ok)), pa.int64()) for c in (n, {t: in_docs[t] for t in terms})]
+            yield pa.RecordBatch.from_arrays([name(lang), name(source), pa.array(left, pa.binary()).cast(pa.string()), *counts], ["lang", "source", "term", "n", "docs"])
+        seen.clear()
 
     @trimmed
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
+        seen: dict = defaultdict(lambda: (Counter(), Counter()))
         for part in parts:
             for lang, source, text in columns(part):
-                for term, n in Counter(words(text)).items():
-                    x = seen.setdefault((lang, source, term), [0, 0])
-                    x[0] += n
-                    x[1] += 1
-                if len(seen) > HELD:
-                    yield batch(seen)
-                    seen = {}
-        if seen:
-            yield batch(seen)
+                n, in_docs = seen[lang, source]
+                found = words(text)
+                n.update(found)
+                in_docs.update(set(found))
+            if sum(len(n) for n, _ in seen.values()) > HELD:
+                yield from batches(seen)
+        yield from batches(seen)
 
     made = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return made.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have summed their own rows; by language and term, the sources of a term meet without another shuffle
+    return made.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_counts(counts: DataFrame, least_docs: int) -> DataFrame:
