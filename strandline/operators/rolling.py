@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
 from strandline.functions import stats
+from strandline.operators import sliding
 
 
 def inclusive(days: int, *by: str):
     return Window.partitionBy(*by).orderBy("pos").rowsBetween(-(days - 1), 0)
 
 
-def exclusive(days: int, *by: str):
-    return Window.partitionBy(*by).orderBy("pos").rowsBetween(-days, -1)
-
-
 def place(*by: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
 
@@ -43,15 +40,14 @@ def var_lines(returns: DataFrame, *by: str, cfg: Config = DEFAULT) -> DataFrame:
 
     The windows run over the whole history; filter by date afterwards.
     """
-    w = exclusive(cfg.var_window, *by)
-    rows = returns.withColumns({"_i": place(*by), "_x": F.collect_list(F.col("r")).over(w), "_n": F.count(F.col("r")).over(w), "_m": F.avg(F.col("r")).over(w), "_s": F.stddev_samp(F.col("r")).over(w)})
-    rows = rows.withColumn("_x", F.sort_array("_x"))
-    ready = F.col("_i") > cfg.var_window
+    shares = [1 - confidence for confidence, _ in cfg.z_scores]
+    rows = sliding.before_each(returns.select(*by, "pos", "date", "r"), *by, days=cfg.var_window, shares=shares)
+    ready = F.col("place") >= cfg.var_window
     out = {}
-    for confidence, z in cfg.z_scores:
+    for i, (confidence, z) in enumerate(cfg.z_scores):
         name = round(confidence * 100)
-        out[f"hist_{name}"] = F.when(ready & (F.col("_n") > 0), -F.get("_x", stats.order_index(F.col("_n"), confidence)))
-        out[f"param_{name}"] = F.when(ready & (F.col("_n") > 1), -(F.col("_m") + z * F.col("_s")))
+        out[f"hist_{name}"] = F.when(ready, -F.col(f"q{i}"))
+        out[f"param_{name}"] = F.when(ready, -(F.col("mean") + z * F.col("deviation")))
     return rows.withColumns(out).select(*by, "pos", "date", "r", *sorted(out))
 
 

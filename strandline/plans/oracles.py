@@ -184,16 +184,17 @@ def q(a: str, b: str) -> str:
     return f"coalesce(({a}) / nullif(({b})::DOUBLE, 0), 0)"
 
 
-def tests() -> str:
+def tests(by: str = "") -> str:
     uc = f"greatest(0, -2 * ({lt('(n - x)', '1 - p')} + {lt('x', 'p')} - {lt('(n - x)', '1 - rate')} - {lt('x', 'rate')}))"
     ind = f"greatest(0, -2 * ({lt('(n00 + n10)', '1 - pp')} + {lt('(n01 + n11)', 'pp')} - {lt('n00', '1 - p0')} - {lt('n01', 'p0')} - {lt('n10', '1 - p1')} - {lt('n11', 'p1')}))"
     one, two = D.chi2_critical
+    k = f"{by}, " if by else ""
     n = lambda a, b: f"coalesce(sum((was = {a} AND exc = {b})::INT), 0) AS n{a}{b}"
-    return f""", lg AS (SELECT *, lag(exc) OVER (PARTITION BY method, confidence ORDER BY pos) AS was FROM ex),
-    ct AS (SELECT method, confidence, 1 - confidence AS p, count(*) AS n, sum(exc) AS x, {n(0, 0)}, {n(0, 1)}, {n(1, 0)}, {n(1, 1)} FROM lg GROUP BY ALL),
+    return f""", lg AS (SELECT *, lag(exc) OVER (PARTITION BY {k}method, confidence ORDER BY pos) AS was FROM ex),
+    ct AS (SELECT {k}method, confidence, 1 - confidence AS p, count(*) AS n, sum(exc) AS x, {n(0, 0)}, {n(0, 1)}, {n(1, 0)}, {n(1, 1)} FROM lg GROUP BY ALL),
     rt AS (SELECT *, x / n AS rate, {q('n01', 'n00 + n01')} AS p0, {q('n11', 'n10 + n11')} AS p1, {q('n01 + n11', 'n00 + n01 + n10 + n11')} AS pp FROM ct),
     lr AS (SELECT *, {uc} AS lr_uc, {ind} AS lr_ind FROM rt)
-    SELECT method, {r('confidence', 5)} AS confidence, n, x, n00, n01, n10, n11, {r('n * p', 5)} AS expected, {r('rate', 5)} AS rate, {r('lr_uc', 5)} AS lr_uc, {r('lr_ind', 5)} AS lr_ind,
+    SELECT {k}method, {r('confidence', 5)} AS confidence, n, x, n00, n01, n10, n11, {r('n * p', 5)} AS expected, {r('rate', 5)} AS rate, {r('lr_uc', 5)} AS lr_uc, {r('lr_ind', 5)} AS lr_ind,
            {r('lr_uc + lr_ind', 5)} AS lr_cc, {r(tail1('lr_uc'), 5)} AS p_uc, {r(tail1('lr_ind'), 5)} AS p_ind, {r('exp(-(lr_uc + lr_ind) / 2)', 5)} AS p_cc,
            lr_uc > {one} AS reject_uc, lr_ind > {one} AS reject_ind, lr_uc + lr_ind > {two} AS reject_cc FROM lr"""
 
@@ -208,10 +209,24 @@ def u(*parts: str) -> str:
     return f"((('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
-PATHS = f""", mo AS (SELECT avg(r) AS mu, stddev_samp(r) AS sigma FROM bl),
-    dr AS (SELECT path, mu, sigma, sqrt(-2 * ln({u("'7'", 'path', 'day', "'1'")})) * cos(2 * 3.141592653589793::DOUBLE * {u("'7'", 'path', 'day', "'2'")}) AS z
-           FROM range(2000) p(path), range(1, 64) d(day), mo),
-    vals AS MATERIALIZED (SELECT path, {D.capital} * product(greatest(1 + mu + sigma * z, 0.000001::DOUBLE)) AS value FROM dr GROUP BY path)"""
+def mix(x: str, out: str) -> str:
+    """Columns that end in `out`, the mixed word of x."""
+    step = lambda v, o: f"(xor({v} >> 16, {v}) * 73244475) & 4294967295 AS {o}"
+    return f"{step(x, out + '_a')}, {step(out + '_a', out + '_b')}, xor({out}_b >> 16, {out}_b) AS {out}"
+
+
+def paths(n: int, days: int) -> str:
+    """vals: path, value; a row per path and pair of days."""
+    word = lambda k, o: f"(one + {k}) & 4294967295 AS {o}0, {mix(o + '0', o + '1')}, xor({o}1, two) AS {o}2, {mix(o + '2', o + '3')}, ({o}3 + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS {o}"
+    step = lambda f: f"greatest(1 + mu + sigma * sqrt(-2 * ln(u)) * {f}(2 * pi() * v), 0.000001::DOUBLE)"
+    return f""", mo AS (SELECT avg(r) AS mu, stddev_samp(r) AS sigma FROM bl),
+    ky AS (SELECT path, 7::BIGINT AS seed, {mix('seed', 'sd')}, xor(path & 4294967295, sd) AS k1, {mix('k1', 'one')}, xor(xor(one, path >> 32), 1540483477) AS k2, {mix('k2', 'two')} FROM range({n}) p(path)),
+    dr AS (SELECT path, j, {word('2 * j', 'u')}, {word('2 * j + 1', 'v')} FROM (SELECT path, one::BIGINT AS one, two::BIGINT AS two FROM ky), range(1, {(days + 1) // 2 + 1}) d(j)),
+    vals AS MATERIALIZED (SELECT path, {D.capital} * product({step('cos')} * CASE WHEN 2 * j <= {days} THEN {step('sin')} ELSE 1 END) AS value FROM dr, mo GROUP BY path)"""
+
+
+PATHS = paths(2000, 63)
+FULL_PATHS = paths(D.paths, 63)
 
 VINTAGES = f""", old AS (SELECT * FROM ret WHERE date <= DATE '{OLD_END}' AND series_id <> 'Brand#55'),
     new AS (SELECT series_id, kind, pos, date, round(r + (CASE WHEN pos % 97 = 13 THEN 0.01::DOUBLE ELSE 0 END + CASE WHEN pos % 53 = 7 AND date > DATE '{OLD_END}' THEN 0.5::DOUBLE ELSE 0 END), 6) AS r
@@ -388,7 +403,7 @@ SQL = {
         SELECT series_id, pos, {r(f'CASE WHEN i >= {D.rolling_days} THEN v END', 5)} AS volatility, {r(f'CASE WHEN i >= {D.rolling_days} AND v > 0 THEN l / v END', 5)} AS sharpe, {r(f'CASE WHEN i >= {D.rolling_days} AND c > 1 THEN b END', 5)} AS beta FROM rw""",
     "w6_var_lines": P + lines("SELECT * FROM bl") + f" SELECT pos, date, {r('r', 8)} AS r, " + ", ".join(f"{r(x, 8)} AS {x}" for x in ("hist_95", "hist_99", "param_95", "param_99")) + " FROM vl",
     "w8_var_backtest": P + lines("SELECT * FROM bl") + exc(where=f"date >= DATE '{START}'") + tests(),
-    "w8_var_backtest_by_stock": P + lines("SELECT * FROM st", "series_id") + exc("series_id", f"date >= DATE '{START}'") + " SELECT series_id, method, confidence, count(*) AS n, sum(exc) AS x FROM ex GROUP BY ALL",
+    "w8_var_backtest_by_stock": P + lines("SELECT * FROM st", "series_id") + exc("series_id", f"date >= DATE '{START}'") + tests("series_id"),
     "w10_basel_windows": P + BASEL + " SELECT * FROM bz",
     "w11_basel_summary": P + BASEL + """, la AS (SELECT * FROM bz ORDER BY "end" DESC LIMIT 1), wo AS (SELECT * FROM bz ORDER BY exceptions DESC, "end" LIMIT 1)
         SELECT la.method, la.start AS last_start, la."end" AS last_end, la.exceptions AS last_exceptions, la.zone AS last_zone, wo.start AS worst_start, wo."end" AS worst_end, wo.exceptions AS worst_exceptions, wo.zone AS worst_zone,
@@ -440,6 +455,7 @@ SQL = {
         SELECT point, {r(f'any_value(er) * {D.trading_days}')} AS expected_return, {r(f'sqrt(greatest(0, sum(a.w * b.w * cov)) * {D.trading_days})')} AS volatility
         FROM ww a JOIN ww b USING (point) JOIN cov ON cov.a = a.series_id AND cov.b = b.series_id JOIN (SELECT point, sum(w * mu) AS er FROM ww GROUP BY 1) USING (point) GROUP BY point""",
     "n9_monte_carlo": P + PATHS + f" SELECT {', '.join(r(f'quantile_cont(value, {p / 100})', 3) + f' AS p{p}' for p in (5, 50, 95))}, {r(f'avg((value < {D.capital})::INT)', 3)} AS prob_loss, {r('avg(value)', 3)} AS mean FROM vals",
+    "n9_monte_carlo_full": P + FULL_PATHS + f" SELECT {', '.join(r(f'quantile_cont(value, {p / 100})', 3) + f' AS p{p}' for p in (5, 50, 95))}, {r(f'avg((value < {D.capital})::INT)', 3)} AS prob_loss, {r('avg(value)', 3)} AS mean FROM vals",
     "a25_histogram": P + PATHS + f""", e AS (SELECT min(value) AS lo, (max(value) - min(value)) / {D.bins} AS w FROM vals), h AS (SELECT least({D.bins - 1}, floor((value - lo) / w))::INT AS bin, count(*) AS n FROM vals, e GROUP BY 1)
         SELECT b AS bin, {r('lo + b * w', 3)} AS lo, {r('lo + b * w + w', 3)} AS hi, coalesce(n, 0) AS n FROM range({D.bins}) g(b) CROSS JOIN e LEFT JOIN h ON h.bin = b""",
     "c14_gate": gate(),

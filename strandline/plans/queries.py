@@ -455,7 +455,7 @@ def w8_var_backtest(spark, sf_dir):
 @query
 def w8_var_backtest_by_stock(spark, sf_dir):
     lines = rolling.var_lines(dense(spark, sf_dir).stocks(), "series_id").where(F.col("date") >= F.lit(START))
-    return rolling.coverage_tests(rolling.exceptions(lines, "series_id"), "series_id").select("series_id", "method", "confidence", "n", "x")
+    return rounded(rolling.coverage_tests(rolling.exceptions(lines, "series_id"), "series_id"), 5)
 
 
 @query
