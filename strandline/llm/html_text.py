@@ -1,17 +1,20 @@
 """HTML extraction: parser events, text-to-tag ratios, smoothing, thresholds.
 
 Each page runs through the standard library's streaming parser. Its events
-give lines (blocks of text) in page order; what stands inside menus, headers,
-footers, sidebars, forms, scripts, adverts, notices or comment sections is set
-aside, by element or by a class, id or role whose whole name says so. Each line
-has a text-to-tag ratio; the ratios' logarithms are smoothed with a Gaussian over
-the page's lines and split in two clusters. Lines that share a container (an
-article, or else the innermost section, list or table) are a region, and a region
-is content if its level, weighted by text, reaches the threshold between the
-clusters. A lower region between two of content stays unless most of its text
-stands in links. Where what a page marks as its article or main part holds at
-least half of the text so chosen, regions outside of it are dropped, and lower
-ones beside the chosen in the same marked part stay under the same condition.
+give lines (blocks of text) in page order, menus, adverts and footers included. Each
+line has a text-to-tag ratio. Lines that share a container (an article, or else
+the innermost section, list or table, or a part that names itself as something else)
+are a region: within it, ratios are smoothed with a Gaussian, and its level is
+their mean, weighted by text. The levels of all regions, weighted by text, are
+split in two clusters, if these are APART, and regions of the upper one are content.
+
+Tags and names confirm that choice. What stands inside menus, headers, footers,
+sidebars, forms, adverts, notices or comment sections, by element or by a class,
+id or role whose whole name says so, is not content even where it reads like it. A
+lower region between two of content stays unless most of its text stands in
+links. Where what a page marks as its article or main part holds at least half of
+the text so chosen, regions outside of it are dropped, and lower ones beside the
+chosen in the same marked part stay under the same condition.
 
 A null or empty page has no lines and an empty text. Pages may be of any length
 and depth. Repeated rows give repeated results. Ids may be null; they are
@@ -60,8 +63,8 @@ BLOCKS = frozenset(
 MAIN = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div ul ol dl table blockquote details".split())
 WORDS = re.compile(r"[a-z]+")
-#: Least distance of two clusters (of logarithms): a fourfold ratio.
-APART = 1.386
+#: How many times the lower cluster's mean level the upper one's is at least.
+APART = 2.0
 BLANK = re.compile(r"\s+")
 
 
@@ -71,9 +74,9 @@ def names_aside(name: str) -> bool:
     return not ASIDE_WORDS.isdisjoint(words) and all(w in ASIDE_WORDS or w in LAYOUT_WORDS for w in words)
 
 
-def marked_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool = False) -> bool:
+def marked_aside(tag: str, attrs: list[tuple[str, str | None]], in_main: bool = False) -> bool:
     if tag in ASIDE:
-        return not (in_article and tag == "header")  # an article's own header holds its title
+        return not (in_main and tag == "header")  # the header of an article or main part holds its title
     if tag in ("html", "body") or tag in MAIN:
         return False
     for name, value in attrs:
@@ -88,30 +91,49 @@ def marked_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool
 @dataclass
 class Line:
     text: str
-    tags: int  # since the line before, but for set-aside parts
+    tags: int  # since the line before of its kind
     region: int
     mark: int  # number of the outermost article or main element around it, or 0
     linked: int  # characters inside links
+    aside: bool = False  # whether elements or names say that it is something else
 
 
-class Events(HTMLParser):
-    """Collects the lines outside of set-aside parts."""
+class Buffer:
+    """Text and tags of the line that is being read."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, sets aside, marks the article, region
-        self.counts: dict[str, int] = {}  # of open elements by tag
-        self.aside = self.main = self.marks = self.tags = self.linked = self.regions = 0
         self.parts: list[str] = []
-        self.lines: list[Line] = []
+        self.tags = self.linked = self.region = 0
 
-    def end_block(self) -> None:
+    def line(self, mark: int, aside: bool) -> Line | None:
         text = BLANK.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.lines.append(Line(text, self.tags, self.open[-1][3] if self.open else 0, self.marks if self.main else 0, self.linked))
+        found = Line(text, self.tags, self.region, mark, self.linked, aside) if text else None
+        if found:
             self.tags = 0
         self.linked = 0
         self.parts.clear()
+        return found
+
+
+class Events(HTMLParser):
+    """Collects the lines of a page. Set-aside parts have a buffer of their own, as they may stand inside a line."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool, bool, bool, int]] = []  # tag, is silent, sets aside, marks the article, region
+        self.counts: dict[str, int] = {}  # of open elements by tag
+        self.silent = self.aside = self.main = self.marks = self.regions = 0
+        self.own, self.other = Buffer(), Buffer()
+        self.lines: list[Line] = []
+
+    def end_block(self) -> None:
+        for buffer, aside in ((self.own, False), (self.other, True)):
+            if line := buffer.line(self.marks if self.main else 0, aside):
+                self.lines.append(line)
+
+    def count_tag(self) -> None:
+        if not self.silent:
+            (self.other if self.aside else self.own).tags += 1
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -120,16 +142,19 @@ class Events(HTMLParser):
                 self.end_paragraph()
             if tag == "body" and self.counts.get("head"):
                 self.close_element("head")
-        self.tags += not self.aside
+        self.count_tag()
         if tag in VOID:
             return
-        aside, main = tag in SILENT or marked_aside(tag, attrs, self.counts.get("article", 0) > 0), tag in MAIN
-        region = self.open[-1][3] if self.open else 0
-        if tag == "article" or tag in CONTAINERS and not self.counts.get("article"):
+        article = self.counts.get("article", 0)
+        silent, main = tag in SILENT, tag in MAIN
+        aside = not silent and marked_aside(tag, attrs, article + self.counts.get("main", 0) > 0)
+        region = self.open[-1][4] if self.open else 0
+        if tag == "article" or tag in CONTAINERS and not article or aside and not self.aside:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, aside, main, region))
+        self.open.append((tag, silent, aside, main, region))
         self.counts[tag] = self.counts.get(tag, 0) + 1
+        self.silent += silent
         self.aside += aside
         self.marks += main and not self.main
         self.main += main
@@ -140,15 +165,16 @@ class Events(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.end_block()
-        self.tags += not self.aside
+        self.count_tag()
         if self.counts.get(tag):  # a stray end tag closes nothing
             self.close_element(tag)
 
     def close_element(self, tag):
         """Closes the innermost open element of this tag and all inside it."""
         while self.open:
-            last, aside, main, _ = self.open.pop()
+            last, silent, aside, main, _ = self.open.pop()
             self.counts[last] -= 1
+            self.silent -= silent
             self.aside -= aside
             self.main -= main
             if last == tag:
@@ -163,10 +189,14 @@ class Events(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.aside:
-            self.parts.append(data)
-            if self.counts.get("a"):
-                self.linked += len(data.strip())
+        if self.silent:
+            return
+        buffer = self.other if self.aside else self.own
+        if not buffer.parts or data.strip():
+            buffer.region = self.open[-1][4] if self.open else 0
+        buffer.parts.append(data)
+        if self.counts.get("a"):
+            buffer.linked += len(data.strip())
 
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -177,57 +207,65 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return cut(ratio) / cut(np.ones(len(ratio)))
 
 
-def two_means(x: np.ndarray) -> float:
-    """The threshold between two clusters of x, started at its ends."""
+def two_means(x: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """The means of two clusters of weighted x, started at its ends."""
     low, high = float(x.min()), float(x.max())
     for _ in range(50):
-        cut = (low + high) / 2
-        above = x > cut
+        above = x > (low + high) / 2
         if not above.any() or above.all():
             break
-        was, (low, high) = (low, high), (float(x[~above].mean()), float(x[above].mean()))
+        was, (low, high) = (low, high), (float(np.average(x[~above], weights=weight[~above])), float(np.average(x[above], weights=weight[above])))
         if was == (low, high):
             break
-    return (low + high) / 2
+    return low, high
+
+
+def regions_of(lines: list[Line]) -> np.ndarray:
+    return np.unique([x.region for x in lines], return_inverse=True)[1]
 
 
 def line_levels(lines: list[Line], sigma: float) -> np.ndarray:
-    """Smoothed logarithm of each line's text-to-tag ratio."""
-    return smoothed(np.log1p([len(x.text) / max(1, x.tags) for x in lines]), sigma)
+    """Each line's text-to-tag ratio, smoothed over the lines of its region."""
+    level, region = np.array([len(x.text) / max(1, x.tags) for x in lines]), regions_of(lines)
+    order = np.argsort(region, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+        level[places] = smoothed(level[places], sigma)
+    return level
 
 
-def threshold(level: np.ndarray) -> float:
-    """Between the two clusters of levels; under all of them if the clusters are not apart."""
-    cut = two_means(level)
-    above = level > cut
-    if above.all() or not above.any() or level[above].mean() - level[~above].mean() < APART:
-        return -np.inf
-    return cut
+def upper_regions(region: np.ndarray, size: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Which regions are in the upper cluster; all if the clusters are not apart."""
+    total = np.bincount(region, size)
+    mean = np.bincount(region, size * level) / total
+    low, high = two_means(mean, total)
+    return mean > (low + high) / 2 if high >= APART * low else np.ones(len(mean), dtype=bool)
 
 
 def chosen_lines(lines: list[Line], level: np.ndarray) -> np.ndarray:
-    """Places of the lines in content regions."""
-    _, region = np.unique([x.region for x in lines], return_inverse=True)
-    size = np.array([len(x.text) for x in lines])
+    """Places of the lines in content regions, by the clusters of all lines and what tags and names say of them."""
+    own = np.array([not x.aside for x in lines])
+    if not own.any():
+        return np.flatnonzero(own)
+    region, size = regions_of(lines), np.array([len(x.text) for x in lines])
     total = np.bincount(region, size)
-    mean, cut = np.bincount(region, size * level) / total, threshold(level)
-    high = mean >= cut
-    if not high.any():
+    high = upper_regions(region, size, level)
+    if not (high[region] & own).any():  # all that reads like content is something else
+        mean = np.bincount(region, size * level * own) / total
         high[mean.argmax()] = True
     linked = np.bincount(region, [x.linked for x in lines])
-    ends = np.flatnonzero(high[region])[[0, -1]]
+    ends = np.flatnonzero(high[region] & own)[[0, -1]]
     between = np.zeros(len(high), bool)
     between[region[ends[0] : ends[1] + 1]] = True
     loose = 2 * linked <= total
-    chosen = (high | between & loose)[region]
+    chosen = (high | between & loose)[region] & own
     mark = np.array([x.mark for x in lines])
     if 2 * size[chosen & (mark > 0)].sum() >= size[chosen].sum():  # what is marked holds the content
-        chosen = (mark > 0) & (chosen | np.isin(mark, mark[chosen]) & loose[region])
+        chosen = own & (mark > 0) & (chosen | np.isin(mark, mark[chosen]) & loose[region])
     return np.flatnonzero(chosen)
 
 
 def content_blocks(html: str | None, sigma: float = 1.0) -> list[tuple[str, float]]:
-    """(text, smoothed logarithm of the text-to-tag ratio) of each content line in page order."""
+    """(text, smoothed text-to-tag ratio) of each content line in page order."""
     if not html:
         return []
     events = Events()
@@ -241,7 +279,7 @@ def content_blocks(html: str | None, sigma: float = 1.0) -> list[tuple[str, floa
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:
-    """id, url, text, n_chars, n_blocks, ratio (mean smoothed logarithm of the text-to-tag ratio of the content)."""
+    """id, url, text, n_chars, n_blocks, ratio (mean smoothed text-to-tag ratio of the content)."""
     bounded_batches(pages.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = f"`{id_col}` {fields[id_col]}, `{url_col}` {fields[url_col]}, text string, n_chars long, n_blocks int, ratio double"
