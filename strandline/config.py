@@ -53,6 +53,7 @@ class Config:
     paths: int = 10_000
     bins: int = 32
     stale_days: int = 4
+    max_lookback: int = 45
     max_move: float = 0.40
     restate_tolerance: float = 1e-4
     restate_share: float = 0.01

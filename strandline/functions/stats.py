@@ -64,6 +64,11 @@ def business_days(start: Column, end: Column) -> Column:
     return F.when(end > start, F.size(days)).otherwise(0)
 
 
+def is_stale(newest: Column, today: Column, budget: int = 4, lookback: int = 45) -> Column:
+    """More than budget weekdays old; weekdays are counted up to lookback days back, what is older is stale."""
+    return F.when(F.datediff(today, newest) > lookback, F.lit(True)).otherwise(business_days(newest, today) > budget)
+
+
 def cents(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
@@ -87,6 +92,11 @@ def signed_percent(share: Column, digits: int = 3) -> Column:
     return F.concat(F.when(share > 0, "+").otherwise(""), percent(share, digits))
 
 
+def ticker_label(ticker: Column, name: Column) -> Column:
+    """TICKER - Name; the ticker alone without a name of its own."""
+    return F.when(name.isNull() | (F.trim(name) == "") | (name == ticker), ticker).otherwise(F.concat(ticker, F.lit(" - "), name))
+
+
 def signed_points(share: Column, digits: int = 1) -> Column:
     """0.711, a difference of shares, as +71.1 pts."""
     return F.concat(F.when(share > 0, "+").otherwise(""), F.format_string(f"%.{digits}f pts", share * 100))

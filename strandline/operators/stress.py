@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
-from strandline.operators import metrics, optimize
+from strandline.operators import intervals, metrics, optimize
 
 
 def windows_table(spark: SparkSession, cfg: Config = DEFAULT) -> DataFrame:
@@ -15,18 +15,18 @@ def windows_table(spark: SparkSession, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def in_windows(returns: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows inside each window, with its key; the windows are the few of the configuration."""
-    return returns.join(F.broadcast(windows.select("window_key", "start", "end")), F.col("date").between(F.col("start"), F.col("end"))).drop("start", "end")
+    """Rows inside each window, with its key."""
+    return intervals.inside(returns, windows.select("window_key", "start", "end")).drop("start", "end")
 
 
 def before_windows(returns: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows from lookback_start up to, but without, the window's start."""
-    inside = (F.col("date") >= F.col("lookback_start")) & (F.col("date") < F.col("start"))
-    return returns.join(F.broadcast(windows.select("window_key", "start", "lookback_start")), inside).drop("start", "lookback_start")
+    past = windows.select("window_key", F.col("lookback_start").alias("start"), F.date_sub("start", 1).alias("end"))
+    return intervals.inside(returns, past).drop("start", "end")
 
 
 def outside_windows(returns: DataFrame, windows: DataFrame) -> DataFrame:
-    return returns.join(F.broadcast(windows), F.col("date").between(F.col("start"), F.col("end")), "left_anti")
+    return intervals.inside(returns, windows, how="left_anti")
 
 
 def coverage(rows: DataFrame, least: float) -> DataFrame:

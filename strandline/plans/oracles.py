@@ -367,6 +367,13 @@ SQL = {
     "j2_index_on_calendar": P + " SELECT series_id, pos, date, r FROM ret WHERE kind = 'index'",
     "j8_window_rows": P + window_rows() + f" SELECT window_key, series_id, count(*) AS days, {r('sum(r)')} AS total FROM st JOIN win ON date BETWEEN s AND e GROUP BY ALL",
     "j9_calm_days": P + window_rows() + f" SELECT series_id, count(*) AS days, {r('sum(r)')} AS total FROM st WHERE NOT EXISTS (SELECT 1 FROM win WHERE date BETWEEN s AND e) GROUP BY ALL",
+    "j8_order_windows": P + f" SELECT o_orderkey AS window_key, count(*) AS days, {r('sum(m)')} AS total FROM orders JOIN mk ON date BETWEEN o_orderdate::DATE AND o_orderdate::DATE + (o_orderkey % 90 - 3)::INT GROUP BY 1",
+    "j9_order_gaps": P + " SELECT pos, date FROM mk WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 101 = 0 AND date BETWEEN o_orderdate::DATE AND o_orderdate::DATE + 1)",
+    "j14_as_of": G + f""", mo AS (SELECT date_trunc('month', date)::DATE AS date, count(*) AS days FROM cal GROUP BY 1), se AS (SELECT DISTINCT series_id FROM px), pr AS (SELECT series_id, date, price FROM px WHERE price IS NOT NULL AND pos % 7 <> 3)
+        SELECT series_id, m.date, days, {r('price', 4)} AS price, p.date AS priced_on FROM (SELECT * FROM mo, se) m ASOF LEFT JOIN pr p USING (series_id, date)""".replace("USING (series_id, date)", "ON m.series_id = p.series_id AND m.date > p.date").replace("SELECT series_id, m.date", "SELECT m.series_id, m.date"),
+    "c14_gate_stored": gate(),
+    "s9_previous_vintage": P + VINTAGES + f""" SELECT vintage, kind, date_trunc('month', date)::DATE AS month, count(*) AS days, count(r) AS n, {r('sum(r)')} AS total
+        FROM (SELECT '2001-09-30' AS vintage, kind, date, r FROM old UNION ALL SELECT '2001-11-20', kind, date, r FROM new) GROUP BY ALL""",
     "j12_uncovered_dates": G + " SELECT series_id, date FROM st WHERE r IS NULL",
     "j15_curves_wide": S5 + curve("sr", "strategy_id") + " SELECT date, " + ", ".join(f"max(value) FILTER (strategy_id = '{x}') AS {x}" for x in ("momentum_1d", "mean_reversion", "momentum_12m", "low_volatility", "buy_and_hold")) + " FROM cv GROUP BY date",
     "a1_equal_weight": G + f" SELECT pos, date, {r('r', 8)} AS r FROM bl",

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT
 from strandline.functions import stats
-from strandline.operators import costs, findings, gate, metrics, montecarlo, optimize, rolling, segments, selection, strategies, stress
-from strandline.sources import json_payload
+from strandline.operators import asof, costs, findings, gate, intervals, metrics, montecarlo, optimize, rolling, segments, selection, strategies, stress
+from strandline.sources import json_payload, vintages
 from strandline.sources.panel import Panel, benchmark_options, clean, default_selection, enough_history, is_preset, matching, named, panel
-from strandline.sources.stored import once, stored
+from strandline.sources.stored import once, shared_folder, stored
 from strandline.streaming import bars
 
 START = date(1997, 1, 1)
@@ -275,6 +275,34 @@ def j9_calm_days(spark, sf_dir):
     return rounded(rows.groupBy("series_id").agg(F.count("*").alias("days"), F.sum("r").alias("total")))
 
 
+@query
+def j8_order_windows(spark, sf_dir):
+    """Market days and their returns within a window of each order: as many windows as orders."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    spans = orders.select(F.col("o_orderkey").alias("window_key"), F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 90 - 3).cast("int")).alias("end"))
+    rows = intervals.inside(dense(spark, sf_dir).market(), spans)
+    return rounded(rows.groupBy("window_key").agg(F.count("*").alias("days"), F.sum("m").alias("total")))
+
+
+@query
+def j9_order_gaps(spark, sf_dir):
+    """Market days in no order's two days."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 101 = 0")
+    spans = orders.select(F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), 1).alias("end"))
+    return intervals.inside(dense(spark, sf_dir).market(), spans, how="left_anti").select("pos", "date")
+
+
+@query
+def j14_as_of(spark, sf_dir):
+    """The last price before each month of series that have none on many days, and its date."""
+    p = gapped(spark, sf_dir)
+    months = p.calendar.groupBy(F.trunc("date", "MM").alias("date")).agg(F.count("*").alias("days"))
+    ids = p.prices.select("series_id").distinct()
+    prices = p.prices.where("price is not null and pos % 7 <> 3").select("series_id", "date", "price")
+    found = asof.as_of(months.crossJoin(ids), prices, "series_id", at="date", values=["price"], since="priced_on", strict=True)  # months x series
+    return rounded(found, 4)
+
+
 @query
 def j12_uncovered_dates(spark, sf_dir):
     p = gapped(spark, sf_dir)
@@ -705,6 +733,39 @@ def c14_gate(spark, sf_dir):
     return gate.checks(old, new, date(2001, 11, 20), ["F", "O"])
 
 
+def stored_vintages(spark: SparkSession, sf_dir: str) -> str:
+    """A store of two vintages of the panel, made once like the panel; its folder."""
+
+    def make() -> str:
+        import uuid
+
+        root = f"{shared_folder(spark)}/vintages-{uuid.uuid4().hex}"
+        old, new = _vintages(spark, sf_dir)
+        vintages.write(old, root, "2001-09-30")
+        vintages.write(new, root, "2001-11-20")
+        return root
+
+    return once(spark, ("vintages",), (f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet"), make)
+
+
+@query
+def c14_gate_stored(spark, sf_dir):
+    """The gate between the last vintage of a store and the one before."""
+    root = stored_vintages(spark, sf_dir)
+    return gate.checks(vintages.read(spark, root, back=1), vintages.read(spark, root), date(2001, 11, 20), ["F", "O"])
+
+
+@query
+def s9_previous_vintage(spark, sf_dir):
+    """Each vintage of a store by month, as its rows are read back."""
+    root = stored_vintages(spark, sf_dir)
+    each = [vintages.read(spark, root, name).withColumn("vintage", F.lit(name)) for name in vintages.names(spark, root)]
+    rows = each[0]
+    for more in each[1:]:
+        rows = rows.unionByName(more)
+    return rounded(rows.groupBy("vintage", "kind", F.trunc("date", "MM").alias("month")).agg(F.count("*").alias("days"), F.count("r").alias("n"), F.sum("r").alias("total")))
+
+
 @query
 def c14_restated(spark, sf_dir):
     return rounded(gate.restated(*_vintages(spark, sf_dir)))
