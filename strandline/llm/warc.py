@@ -3,13 +3,16 @@
 Pages become records with fresh headers. Headers alone (id, length, digest) are
 stored and shuffled by payload digest, salted where a digest is frequent; of
 equal payloads of at least `least_bytes` bytes, that of the largest id stays a
-response and the others become revisits of it. Archives are written by Spark's
-text sink, whose separator is the blank line that ends each record, so they go
-to any file system that Spark can write, under its commit protocol. That sink
-compresses a file as one gzip member. Reading takes whole archive files, which
-the writer keeps small, follows Content-Length, checks length and digest of
-each payload, keeps the records in a table, and joins revisits to their
-originals.
+response and the others become revisits of it. Payloads then move once, to the
+task that writes them: rows are dealt by id and digest, and rows that repeat both
+so often that they would fill a file by themselves are dealt over several tasks.
+Archives are written by Spark's text sink, whose separator is the blank line that
+ends each record, so they go to any file system that Spark can write, under its
+commit protocol. There are at most PARTITIONS tasks; a task begins a new file after
+as many records as have `file_bytes` on average. The sink compresses a file as one
+gzip member. Reading takes whole archive files, follows Content-Length, checks
+length and digest of each payload, keeps the records in a table, and joins
+revisits to their originals.
 
 Defined results: a null payload is an empty one; a null url is written as
 "about:blank"; of rows that repeat the largest id all are responses; a row
@@ -22,48 +25,55 @@ with null length and payload. An empty table gives no records.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import looked_up, written
+from strandline.llm.shared import looked_up, maybe_broadcast, written
 
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "1970-01-01T00:00:00Z"
-#: Payload bytes of one archive file before compression.
-FILE_BYTES = 16 << 20
+#: Payload bytes of one archive file before compression, tasks that write.
+FILE_BYTES, PARTITIONS = 16 << 20, 20_000
 
 
-def payload_headers(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, payload_bytes, payload_digest (hex SHA-1) of each page."""
+def target(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\x00-\x20\x7F]+", "%20")
+
+
+def payload_headers(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """id, url, payload_bytes, payload_digest (hex SHA-1) of each page."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     return pages.select(
         F.col(id_col).alias("id"),
+        target(F.col(url_col)).alias("url"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha1(payload).alias("payload_digest"),
     )
 
 
 def marks(headers: DataFrame, least_bytes: int) -> DataFrame:
-    """id, digest, refers_to, repeated of the rows that become revisits or whose id and payload occur more than once."""
-    pairs = headers.groupBy("id", F.col("payload_digest").alias("digest")).agg(F.count("*").alias("n"), F.max("payload_bytes").alias("size"))
+    """id, digest, refers_to, refers_url, repeated of the rows that become revisits or whose id and payload occur more than once."""
+    pairs = headers.groupBy("id", F.col("payload_digest").alias("digest")).agg(F.count("*").alias("n"), F.max("payload_bytes").alias("size"), F.max("url").alias("url"))
     large = pairs.where(F.col("size") >= least_bytes)
-    originals = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.sum("n").alias("all")).where("all > 1")
+    first = F.max(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
+    originals = large.groupBy("digest").agg(first.alias("first"), F.sum("n").alias("all")).where("all > 1").select("digest", F.col("first.id").alias("refers_to"), F.col("first.url").alias("refers_url"))
     again = looked_up(large.select("id", "digest", "n"), "digest", "id", originals).where("id <> refers_to")
-    again = again.select("id", "digest", "refers_to", (F.col("n") > 1).alias("repeated"))
+    again = again.select("id", "digest", "refers_to", "refers_url", (F.col("n") > 1).alias("repeated"))
     known = again.select("id", "digest", F.lit(True).alias("known"))
     same = lambda c: F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}"))
     rest = pairs.where("n > 1").alias("p").join(known.alias("k"), same("id") & same("digest"), "left_anti")
-    return again.unionByName(rest.select("id", "digest", F.lit(None).cast(dict(headers.dtypes)["id"]).alias("refers_to"), F.lit(True).alias("repeated")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return again.unionByName(rest.select("id", "digest", none(dict(headers.dtypes)["id"], "refers_to"), none("string", "refers_url"), F.lit(True).alias("repeated")))
 
 
-def record(url: Column, uid: Column, number: Column, payload: Column, size: Column, digest: Column, refers_to: Column) -> Column:
+def record(url: Column, uid: Column, number: Column, payload: Column, size: Column, digest: Column, refers_to: Column, refers_url: Column, date: str) -> Column:
     """The record's text without its ending blank line."""
     again = refers_to.isNotNull()
-    uri = F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\x00-\x20\x7F]+", "%20")
+    revisit = F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To-Target-URI: "), refers_url, F.lit(f"\r\nWARC-Refers-To-Date: {date}\r\nWARC-Refers-To: "))
     block = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         size.cast("string"),
@@ -76,11 +86,11 @@ def record(url: Column, uid: Column, number: Column, payload: Column, size: Colu
         F.when(again, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "),
         name(uid, number),
-        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
-        uri,
+        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
+        target(url),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         digest,
-        F.when(again, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), name(refers_to, F.lit(0)))).otherwise(""),
+        F.when(again, F.concat(revisit, name(refers_to, F.lit(0)))).otherwise(""),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
         F.octet_length(block).cast("string"),
         F.lit(END),
@@ -88,24 +98,38 @@ def record(url: Column, uid: Column, number: Column, payload: Column, size: Colu
     )
 
 
+def place(uid: Column, digest: Column, salt: Column) -> Column:
+    """One key of a row's id (or its absence), digest and share; rows and marks meet by it, in the partitions that become files."""
+    return F.concat(digest, F.lit(":"), salt.cast("string"), F.lit(":"), F.coalesce(uid.cast("string"), F.lit("none")))
+
+
 def write_archives(
     pages: DataFrame, path: str, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url",
-    html_col: str = "html", file_bytes: int = FILE_BYTES,
+    html_col: str = "html", file_bytes: int = FILE_BYTES, date: str | None = None, partitions: int = PARTITIONS,
 ) -> None:
-    """Writes pages as deduplicated WARC files under path."""
-    headers = written(payload_headers(pages, id_col, html_col), "headers")
-    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
+    """Writes pages as deduplicated WARC files under path; date: of all records, as WARC has it, now by default."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    headers = written(payload_headers(pages, id_col, url_col, html_col), "headers")
+    total, records = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
+    # ids and digests that fill half a file by themselves, at most two for each file, and the shares that their rows are dealt in
+    own_bytes, half = F.sum("payload_bytes"), max(1, file_bytes // 2)
+    full = headers.groupBy(F.col("id").alias("f_id"), F.col("payload_digest").alias("f_digest")).agg(own_bytes.alias("own"), F.count("*").alias("n")).where((F.col("own") >= half) & (F.col("n") > 1))
+    shares = F.least(F.col("n"), F.ceil(F.col("own") / half)).cast("int")
+    full = maybe_broadcast(written(full.select("f_id", "f_digest", shares.alias("shares")), "full"))
+    dealt = lambda rows: rows.join(full, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest")), "left").drop("f_id", "f_digest")
+
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    # payloads move once: the join keeps the partitions that set the files' size
-    own = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(F.encode(payload, "UTF-8")).alias("digest")
-    ).repartition(max(1, -(-total // file_bytes)), "id", "digest")
-    marked = written(marks(headers, least_bytes), "marks").alias("m")
-    rows = own.alias("o").join(marked, F.col("o.id").eqNullSafe(F.col("m.id")) & (F.col("o.digest") == F.col("m.digest")), "left")
+    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"))
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("shares")), F.lit(0))
+    own = dealt(own).withColumn("place", place(F.col("id"), F.col("digest"), salt)).repartition(max(1, min(partitions, -(-total // file_bytes))), "place")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares"), F.lit(1)) - 1))
+    marked = dealt(written(marks(headers, least_bytes), "marks")).withColumn("salt", every)
+    marked = marked.select(place(F.col("id"), F.col("digest"), F.col("salt")).alias("place"), "refers_to", "refers_url", "repeated")
+    rows = own.join(marked, "place", "left")
     number = F.when(F.col("repeated"), F.monotonically_increasing_id() + 1).otherwise(0)
-    rows.select(
-        record(F.col("url"), F.col("o.id"), number, F.col("payload"), F.octet_length("payload"), F.col("o.digest"), F.col("refers_to"))
-    ).write.option("lineSep", END).option("compression", "gzip").text(path)
+    text = record(F.col("url"), F.col("id"), number, F.col("payload"), F.octet_length("payload"), F.col("digest"), F.col("refers_to"), F.col("refers_url"), date)
+    each = max(1, -(-file_bytes * records // max(1, total)))  # of payloads without bytes a file takes them all
+    rows.select(text).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each if total else 0).text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
