@@ -77,7 +77,8 @@ def write(rows: DataFrame, root: str, name: str, replacing: str | None = None) -
         raise ValueError(f"there is a vintage {name}")
     folder = f"data/{name}-{uuid.uuid4().hex}"
     rows.select(*ROWS, month_of().alias("month")).repartition("month").write.partitionBy("month").parquet(f"{root}/{folder}")
-    fresh = spark.read.parquet(f"{root}/{folder}").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("rows"))
+    there = spark.read.schema(empty(spark).schema.add("month", "string")).parquet(f"{root}/{folder}")
+    fresh = there.groupBy("month").agg(F.count("*").alias("rows"))
     listed = fresh.select(F.lit(name).alias("name"), "month", F.concat(F.lit(f"{folder}/month="), "month").alias("folder"), "rows")
     if replacing is not None:
         kept = before.where(F.col("name") == replacing).where("folder is not null").join(fresh.select("month"), "month", "left_anti")

@@ -8,7 +8,7 @@ Both keep a small state per key and need a state store that can: set
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date, datetime, timedelta
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -103,7 +103,7 @@ class Silence(StatefulProcessor):
             alarm = max(self.moment(newest), timerValues.getCurrentProcessingTimeInMs() + 1)
             self.handle.registerTimer(alarm)
             self.state.update((newest, alarm))
-        yield pd.DataFrame({"key": [], "newest": [], "stale_since": []})
+        yield pd.DataFrame({"key": [], "newest": [], "stale_since": []}, dtype=object)
 
     def moment(self, newest: date) -> int:
         """Milliseconds of the clock; a day of it may be set shorter."""
@@ -131,7 +131,3 @@ def staleness(rows: DataFrame, key: str = "series_id", cfg: Config = DEFAULT, da
     )
     return made.withColumnRenamed("key", key)
 
-
-def at_clock(moment: datetime, day_ms: int = DAY_MS) -> date:
-    """The date that a clock shows whose days have this length."""
-    return date(1970, 1, 1) + timedelta(int(moment.timestamp() * 1000) // day_ms)

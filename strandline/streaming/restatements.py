@@ -39,7 +39,7 @@ def gated_upsert(root: str, today: Callable[[], date], indexes: list[str], order
                 vintages.write(vintages.upserted(touched, changes), root, name, replacing=last)
             else:
                 reasons = failed.agg(F.array_sort(F.collect_list("check_name")).alias("failed"))
-                changes.crossJoin(reasons).write.parquet(f"{root}/refused/{name}")  # one row of reasons
+                changes.crossJoin(reasons).write.mode("overwrite").parquet(f"{root}/refused/{name}")  # one row of reasons
         finally:
             changes.unpersist()
 
