@@ -6,11 +6,14 @@ each document's end mark, which gives its length. A test window (13
 consecutive item words; a shorter item is one window) is looked up from its
 rarest terms: their posting lists are shifted by the terms' offsets and
 intersected, which leaves (document, item, diagonal) candidates. Exact matches
-are then read off along each diagonal in the document's own words.
+are then read off along each diagonal in the document's own words. Proximity
+matches are windows whose rarest terms all stand within `slop` of their places
+around the rarest of them.
 
 Everything runs as DataFrame operations. Test terms, windows and items are
 broadcast only where a count shows that they are within `broadcast_rows`;
-otherwise the same joins shuffle.
+otherwise the same joins shuffle, with every key of the smaller side in several
+places, so that rows which repeat a document don't meet in one task.
 
 Defined results: null texts have no words; a document without words is not
 contaminated; a repeated row gives a repeated result (documents are told apart
@@ -95,7 +98,7 @@ def candidate_diagonals(index: DataFrame, rare: DataFrame, rows: int = BROADCAST
 
 def proximity_matches(index: DataFrame, rare: DataFrame, slop: int, rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, item_id, diag: windows whose rare terms all stand within `slop` of their places around the rarest one."""
-    moved = shifted(index, rare, rows).select("doc_id", "text_hash", "item_id", "item_hash", "key", "n_terms", "k", "diag")
+    moved = shifted(index, rare, rows).select("doc_id", "text_hash", "item_id", "item_hash", "key", "n_terms", "k", "diag").distinct()
     doc = ["doc_id", "text_hash", "item_id", "item_hash", "key"]
     cell = F.expr(f"floor(diag / {slop + 1})")
     anchor = moved.where("k = 0").select(*doc, "n_terms", "diag", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
@@ -111,12 +114,20 @@ def proximity_matches(index: DataFrame, rare: DataFrame, slop: int, rows: int =
     )
 
 
+def doc_key(id_col: str = "doc_id", hash_col: str = "text_hash") -> Column:
+    """A document told by id, null or not, and text."""
+    return F.struct(F.col(id_col).alias("id"), F.col(hash_col).alias("hash"))
+
+
 def exact_matches(docs: DataFrame, items: DataFrame, candidates: DataFrame, window: int, id_col: str, text_col: str, rows: int) -> DataFrame:
     """doc_id, text_hash, item_id, hits: the document's word positions inside occurrences of the item's windows."""
-    wanted = candidates.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "item_hash", "diag")).alias("found"))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    own = own.alias("d").join(wanted.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash")))
-    each = own.select("d.doc_id", "d.text_hash", words(F.col("text")).alias("doc_words"), "found").select("doc_id", "text_hash", "doc_words", F.inline("found"))
+    found = candidates.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "item_hash", "diag")).alias("found"))
+    wanted = written(found.select(doc_key().alias("doc"), "found"), "candidates")
+    own = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("doc"), F.col(text_col).alias("text"))
+    # of rows that repeat a document each task hands on one
+    own = split_join(own, "doc", F.monotonically_increasing_id(), wanted.select("doc"), rows).groupBy("doc").agg(F.max("text").alias("text"))
+    own = own.join(wanted, "doc").select(F.col("doc.id").alias("doc_id"), F.col("doc.hash").alias("text_hash"), "text", "found")
+    each = own.select("doc_id", "text_hash", words(F.col("text")).alias("doc_words"), "found").select("doc_id", "text_hash", "doc_words", F.inline("found"))
     each = each.join(maybe_broadcast(items, rows // 10), ["item_id", "item_hash"])
     low = F.greatest(F.lit(1), 1 - F.col("diag"))
     high = F.least(F.col("size"), F.size("doc_words") - 2 - F.col("diag"))
@@ -136,26 +147,31 @@ def exact_matches(docs: DataFrame, items: DataFrame, candidates: DataFrame, wind
 
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, rarest: int = 2, one_in: int = 20, broadcast_rows: int = BROADCAST_ROWS,
+    item_text_col: str = "text", window: int = WINDOW, rarest: int = 2, one_in: int = 20, broadcast_rows: int = BROADCAST_ROWS, slop: int | None = None,
 ) -> DataFrame:
-    """Per document: doc_id, text_hash, n_words, n_hit, n_items, item_ids (sorted strings) and contaminated.
+    """Per document: doc_id, text_hash, n_words, n_hit, n_items, item_ids (sorted strings), contaminated and, with slop, n_near.
 
-    A document is contaminated if words inside windows make up at least 1 in `one_in`.
+    A document is contaminated if words inside windows make up at least 1 in
+    `one_in`. n_near counts the items with a proximity match.
     """
     items = test_items(benchmark, item_id_col, item_text_col)
     terms = items.select(F.explode("item_words").alias("term")).unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     index = positional_index(docs, terms, id_col, text_col, broadcast_rows)
     rare = rarest_terms(items, index, window, rarest)
-    candidates = candidate_diagonals(index, rare, broadcast_rows)
-    matches = exact_matches(docs, items, candidates, window, id_col, text_col, broadcast_rows)
-    by_doc = matches.groupBy("doc_id", "text_hash").agg(
+    if slop is not None:
+        rare = written(rare, "rare")
+    matches = exact_matches(docs, items, candidate_diagonals(index, rare, broadcast_rows), window, id_col, text_col, broadcast_rows)
+    by_doc = matches.groupBy(doc_key().alias("doc")).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("item_ids")
     )
-    ends = index.where("term = ''").select("doc_id", "text_hash", (F.col("pos") - 1).cast("long").alias("n_words"))
-    same = F.col("e.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("e.text_hash") == F.col("m.text_hash"))
+    if slop is not None:
+        near = proximity_matches(index, rare, slop, broadcast_rows).groupBy(doc_key().alias("doc")).agg(F.countDistinct("item_id").alias("n_near"))
+        by_doc = by_doc.join(near, "doc", "full")
+    ends = index.where("term = ''").select(doc_key().alias("doc"), (F.col("pos") - 1).cast("long").alias("n_words"))
+    all_ = split_join(ends, "doc", F.monotonically_increasing_id(), written(by_doc, "matches"), broadcast_rows, how="left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return ends.alias("e").join(by_doc.alias("m"), same, "left").select(
-        "e.doc_id", "e.text_hash", "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"),
-        ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
+    return all_.select(
+        F.col("doc.id").alias("doc_id"), F.col("doc.hash").alias("text_hash"), "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"),
+        ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"), *([F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")] if slop is not None else []),
     )

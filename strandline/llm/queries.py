@@ -34,8 +34,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (shared.table(spark, sf_dir, x) for x in ("documents", "benchmark"))
-    return decontam.decontaminated(docs, benchmark).select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    return decontam.decontaminated(docs, benchmark, slop=2).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated", "n_near"
     )
 
 
@@ -110,10 +110,20 @@ SQL = {
         f AS (SELECT doc_id, item_id, m, i FROM dw JOIN bw USING (m, g)),
         h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM f) GROUP BY doc_id),
         t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
-              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM f) GROUP BY doc_id)
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM f) GROUP BY doc_id),
+        ps AS MATERIALIZED (SELECT doc_id, i, term FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS term FROM d) SEMI JOIN (SELECT DISTINCT unnest(w) AS term FROM b) USING (term)),
+        bt AS (SELECT item_id, w, s, m, unnest(range(s, s + m)) AS p FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM (SELECT *, least(13, len(w)) AS m FROM b WHERE len(w) > 0))),
+        rt AS (SELECT DISTINCT item_id, l[1:2] AS l FROM (
+                   SELECT item_id, list(struct_pack(n := n, p := p, term := x.term) ORDER BY n, p, x.term) AS l
+                   FROM (SELECT *, w[p] AS term FROM bt) x LEFT JOIN (SELECT term, count(*) AS n FROM ps GROUP BY term) c ON c.term = x.term
+                   GROUP BY item_id, w, s, m HAVING count(n) = m)),
+        nr AS (SELECT a.doc_id, r.item_id FROM rt r JOIN ps a ON a.term = r.l[1].term WHERE len(r.l) = 1
+               UNION SELECT a.doc_id, r.item_id FROM rt r JOIN ps a ON a.term = r.l[1].term JOIN ps b ON b.term = r.l[2].term AND b.doc_id = a.doc_id
+               WHERE len(r.l) = 2 AND abs((b.i - r.l[2].p) - (a.i - r.l[1].p)) <= 2),
+        ne AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nr GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN ne USING (doc_id)""",
     "op10_neardup": r"""
         WITH RECURSIVE t AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

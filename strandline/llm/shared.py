@@ -119,12 +119,12 @@ def looked_up(rows: DataFrame, key: str, spread_by: str, table: DataFrame, askin
     return rows.join(asked.join(table, key), [key, "salt"], how).drop("salt")
 
 
-def split_join(rows: DataFrame, key: str, spread_by: Column, table: DataFrame, most: int, splits: int = 64) -> DataFrame:
+def split_join(rows: DataFrame, key: str, spread_by: Column, table: DataFrame, most: int, splits: int = 64, how: str = "inner") -> DataFrame:
     """rows joined with table on key: broadcast up to `most` rows, else with every key of the table in `splits` places."""
     if table.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(table), key)
+        return rows.join(F.broadcast(table), key, how)
     placed = table.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    return rows.withColumn("split", F.pmod(spread_by, F.lit(splits)).cast("int")).join(placed, [key, "split"]).drop("split")
+    return rows.withColumn("split", F.pmod(spread_by, F.lit(splits)).cast("int")).join(placed, [key, "split"], how).drop("split")
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
