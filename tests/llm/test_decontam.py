@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam
+from strandline.llm import decontam, shared
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,3 +75,70 @@ def test_no_python_on_the_main_path(spark, odd):
     plan = decontam.decontaminated(odd, b)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def brute_near(docs, items, slop, rarest=2):
+    """n_near of each document, from words and loops."""
+    held = {(str(i), t) for i, t in items if i is not None and words(t)}
+    wanted = {x for _, t in held for x in words(t)}
+    count = {}
+    for _, text in docs:
+        for x in words(text):
+            if x in wanted:
+                count[x] = count.get(x, 0) + 1
+    out = []
+    for doc_id, text in docs:
+        w, near = words(text), set()
+        at = {}
+        for i, x in enumerate(w):
+            at.setdefault(x, []).append(i)
+        for item_id, t in held:
+            q = words(t)
+            m = min(13, len(q))
+            for s in range(len(q) - m + 1):
+                if any(q[i] not in count for i in range(s, s + m)):
+                    continue
+                rare = sorted((count[q[i]], i, q[i]) for i in range(s, s + m))[:rarest]
+                places = [[i - p for i in at.get(x, [])] for _, p, x in rare]
+                if any(all(any(abs(d - a) <= slop for d in more) for more in places[1:]) for a in places[0]):
+                    near.add(item_id)
+        out.append((doc_id, len(near)))
+    return sorted(out, key=str)
+
+
+def test_proximity_in_the_result_by_brute_force(spark):
+    """200 documents, some with an item's words moved apart by up to 25 places."""
+    rng = random.Random(6)
+    items = [(i, prose(rng.randrange(1, 40), 500 + i)) for i in range(12)] + [(3, "other text"), (None, prose(20, 1))]
+    docs = []
+    for i in range(200):
+        own = prose(rng.randrange(0, 120), 900 + i).split()
+        if i % 3 == 0:
+            at = 0
+            for x in items[i % 12][1].split():
+                at += 1 + rng.choice([0, 0, 0, 1, 2, i % 25])
+                own[at:at] = [x]
+        docs.append((i, " ".join(own)))
+    docs += [docs[0]] * 5
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 2, 20):
+        for rows in (decontam.BROADCAST_ROWS, 0):
+            got = decontam.decontaminated(d, b, slop=slop, broadcast_rows=rows).select("doc_id", "n_near").collect()
+            assert sorted(map(tuple, got), key=str) == brute_near(docs, items, slop)
+    exact = {x.doc_id: x.n_items for x in decontam.decontaminated(d, b, slop=0).collect()}
+    assert any(exact.values())
+
+
+def test_a_row_in_a_third_of_the_table(spark):
+    """Its copies are looked up in many tasks and matched once for each of them."""
+    item = prose(40, 70)
+    docs = [(1, "x " + item)] * 300 + [(i, prose(30, i)) for i in range(2, 500)] + [(None, item)] * 50
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame([(9, item)], "item_id long, text string")
+    for rows in (decontam.BROADCAST_ROWS, 0):
+        got = decontam.decontaminated(d, b, broadcast_rows=rows, slop=2).collect()
+        assert sorted(((x.doc_id, x.n_words, x.n_hit, x.n_items, ",".join(x.item_ids), x.contaminated) for x in got), key=str) == brute(docs, [(9, item)])
+        assert all(x.n_near == 1 for x in got if x.contaminated)
+    # a join that shuffles has every wanted document in several places
+    found = shared.split_join(d.select(F.struct("doc_id").alias("doc")), "doc", F.monotonically_increasing_id(), d.select(F.struct("doc_id").alias("doc")).distinct(), 0)
+    counts = [r["count"] for r in found.where("doc.doc_id = 1").groupBy(F.spark_partition_id()).count().collect()]
+    assert found.count() == len(docs) and (len(counts) > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true")
