@@ -8,7 +8,9 @@ The tokens before are known by the very frequent words and the same classes.
 Training is noise-contrastive estimation in numpy on every training text. Texts
 are dealt by a hash of their ids and texts to slots of about `SLOT_TOKENS` tokens,
 so that the number of slots grows with the corpus and does not depend on its
-partitions. The slots make up `ROUNDS` rounds. In a round each slot goes on from
+partitions. A row that repeats so often that its copies would fill half a slot
+has them dealt over as many slots as they need, one after the other; only there
+does the place of a row matter. The slots make up `ROUNDS` rounds. In a round each slot goes on from
 the same parameters, in an order given by the hash; Spark then averages the
 slots' parameters, weighted by tokens, and the next round starts there.
 
@@ -38,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import bounded_batches, trimmed, written
+from strandline.llm.shared import bounded_batches, split_join, trimmed, written
 
 #: Words broadcast with their counts (about 100 bytes each in a task), words that are predicted one by one, words that contexts are known by, classes by ending.
 BROADCAST_WORDS, OUTPUT_WORDS, CONTEXT_WORDS, ENDINGS = 200_000, 20_000, 767, 256
@@ -53,6 +55,8 @@ ROUNDS, SLOT_TOKENS = 4, 1_000_000
 TASKS = 10_000
 #: Numbers in a row of parameters, and rows that are summed first by the task that they come from.
 SLICE, FIRST_SUMS = 8192, 64
+#: Rows of frequent copies that are broadcast at most.
+FREQUENT_ROWS = 400_000
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 300_000
 #: Words that are handled at a time.
@@ -152,6 +156,14 @@ class Codes(dict):
         return ending_class(word) - ENDINGS
 
 
+def frequent_rows(hashed: DataFrame, slots: int) -> DataFrame:
+    """_hash, _shares of training rows whose copies hold half a slot's tokens or more: the slots that they are dealt over, stored."""
+    tokens = F.count("*") * (F.coalesce(F.max(F.octet_length("_text")), F.lit(0)) / 2 + 1)  # words of one letter, at the most
+    counted = hashed.where("not _out").groupBy("_hash").agg(F.count("*").alias("n"), tokens.alias("tokens"))
+    shares = F.least(F.lit(slots), F.col("n"), F.ceil(2 * F.col("tokens") / SLOT_TOKENS)).cast("int")
+    return written(counted.where("n > 1").select("_hash", shares.alias("_shares")).where("_shares > 1"), "frequent")
+
+
 def coded(rows: DataFrame, vocab: Vocabulary, slots: int) -> DataFrame:
     """doc_id, out, slot, hash, codes (int32 of every token), n_tokens, rare (words that are not broadcast, with their times), stored by round.
 
@@ -178,7 +190,9 @@ def coded(rows: DataFrame, vocab: Vocabulary, slots: int) -> DataFrame:
             )
 
     hashed = rows.withColumn("_hash", F.xxhash64("_id", "_text"))
-    hashed = hashed.withColumn("_slot", F.when(F.col("_out"), F.lit(-1)).otherwise(F.pmod("_hash", F.lit(slots))))
+    copy = F.pmod(F.monotonically_increasing_id(), F.coalesce("_shares", F.lit(1)))
+    hashed = split_join(hashed, "_hash", F.monotonically_increasing_id(), frequent_rows(hashed, slots), FREQUENT_ROWS, how="left")
+    hashed = hashed.withColumn("_slot", F.when(F.col("_out"), F.lit(-1)).otherwise(F.pmod(F.pmod("_hash", F.lit(slots)) + copy, F.lit(slots))))
     schema = f"doc_id {kind}, out boolean, slot long, hash long, codes binary, n_tokens long, rare array<struct<word string, times int>>"
     out = hashed.mapInPandas(code, schema).withColumns({"row": F.monotonically_increasing_id(), "round": F.when(F.col("out"), F.lit(-1)).otherwise(F.col("slot") % ROUNDS).cast("int")})
     return written(out, "coded", "round")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import ann, langid, lm, quality, shared, token_counts
+from tests.llm.conftest import prose
 
 
 # --- token counts
@@ -323,6 +324,20 @@ def test_lm_against_a_plain_softmax_whatever_the_partitions(spark, sf_dir, monke
     assert [got[i] for i, _ in rows] == pytest.approx(plain_scores([t for _, t in rows], made[-1], kept["p"]), rel=1e-4, abs=1e-2)
 
 
+def test_copies_are_dealt_over_slots(spark, monkeypatch):
+    """400 copies of one row among 1,000, and null ones: no slot has more than twice SLOT_TOKENS, and every row is coded once."""
+    monkeypatch.setattr(lm, "SLOT_TOKENS", 2000)
+    docs = [(1, prose(120, 1))] * 400 + [(i, prose(100, i)) for i in range(2, 550)] + [(None, None)] * 52
+    rows = spark.createDataFrame(docs, "_id long, _text string").repartition(5).withColumn("_out", F.lit(False))
+    for most in (lm.FREQUENT_ROWS, 0):
+        monkeypatch.setattr(lm, "FREQUENT_ROWS", most)
+        vocab = lm.vocabulary(shared.written(lm.word_counts(rows.select("_text")), "counts"))
+        slots = lm.ROUNDS * round(vocab.n / (lm.ROUNDS * lm.SLOT_TOKENS))
+        loads = {r.slot: r.n for r in lm.coded(rows, vocab, slots).groupBy("slot").agg(F.sum("n_tokens").alias("n")).collect()}
+        assert sum(loads.values()) == vocab.n == sum(len((t or "").split()) + 1 for _, t in docs)
+        assert max(loads.values()) <= 2 * lm.SLOT_TOKENS, sorted(loads.values())[-3:]
+
+
 def check_lm(got, docs, held):
     want = {}
     train = [w for i, t in docs if not held(i) for w in [*(t or "").encode().lower().split(), b""]]
