@@ -70,6 +70,25 @@ def break_even(strategies: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return solved.select("strategy_id", "kind", ((F.col("s.lo") + F.col("s.hi")) / 2).alias("bps"))
 
 
+def break_even_label(kind: Column, bps: Column, cfg: Config = DEFAULT) -> Column:
+    """What a break-even says, and its tone after a colon."""
+    beyond = f"Still ahead at {cfg.max_cost_bps:g} bps:positive"
+    return (
+        F.when(kind == "solved", F.concat(F.format_string("%.1f", bps), F.lit(" bps:neutral")))
+        .when(kind == "loses_at_zero", "Underperforms Buy & Hold even with zero costs:negative")
+        .when(kind == "beyond_range", beyond)
+        .otherwise("n/a:unknown")
+    )
+
+
+def best_active(verdicts: DataFrame, order: list[str]) -> DataFrame:
+    """strategy_id, total_return, edge (over the passive strategy; null without it) of the best active strategy, the first of equals."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("strategy_id"))
+    best = verdicts.where((F.col("strategy_id") != PASSIVE) & F.col("total_return").isNotNull()).agg(F.max_by(F.struct("strategy_id", "total_return"), F.struct("total_return", -place)).alias("x"))
+    base = verdicts.where(F.col("strategy_id") == PASSIVE).agg(F.max("total_return").alias("base"))
+    return best.crossJoin(base).where("x is not null").select("x.strategy_id", "x.total_return", (F.col("x.total_return") - F.col("base")).alias("edge"))  # one row each
+
+
 def linearity(base: DataFrame, again: DataFrame, base_bps: float, new_bps: float) -> DataFrame:
     """strategy_id, max_error of re-pricing against a real re-run at another cost, n_turnover_changes."""
     b = again.select("strategy_id", "pos", F.col("r").alias("r2"), F.col("turnover").alias("t2"))

@@ -187,5 +187,19 @@ def sampled(curve: DataFrame, *by: str, target: int) -> DataFrame:
     return numbered.where(keep).drop("_i", "_n")
 
 
+def every_step(curve: DataFrame, *by: str, step: int) -> DataFrame:
+    """Every step-th row from the first, and the last."""
+    numbered = curve.withColumns({"_i": F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
+    return numbered.where((F.col("_i") % step == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
+
+
+def hero_stats(calendars: DataFrame, ids: DataFrame, tests: DataFrame, windows: DataFrame) -> DataFrame:
+    """stocks, years (from the earliest to the latest day of all calendars), var_days (evaluable days of the backtest; null without one), crises. Each side is one row."""
+    span = calendars.agg(years_between(F.min("date"), F.max("date"), 365.2425).alias("years"))
+    held = ids.agg(F.countDistinct("series_id").alias("stocks"))
+    days = tests.where("method = 'hist' and confidence = 0.95").agg(F.max("n").alias("var_days"))
+    return held.crossJoin(span).crossJoin(days).crossJoin(windows.agg(F.count("*").alias("crises")))
+
+
 def monthly(returns: DataFrame, *by: str) -> DataFrame:
     return returns.where("r is not null").groupBy(*by, F.trunc("date", "MM").alias("month")).agg((F.product(1 + F.col("r")) - 1).alias("r"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
@@ -89,3 +89,10 @@ def histogram(values: DataFrame, bins: int = DEFAULT.bins) -> DataFrame:
     counted = values.crossJoin(shape).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # one row of shape
     lo = F.col("min") + F.col("bin") * F.col("width")
     return grid.join(counted, "bin", "left").select("bin", lo.alias("lo"), (lo + F.col("width")).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def marked(bins: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The bins with their mid and marker: whether it is the one whose mid is nearest to the capital, the first of equals."""
+    mid = (F.col("lo") + F.col("hi")) / 2
+    near = Window.orderBy(F.abs(F.col("mid") - cfg.capital), "bin")  # a few dozen bins
+    return bins.withColumn("mid", mid).withColumn("marker", F.row_number().over(near) == 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
+from strandline.functions.stats import percent
 from strandline.operators import intervals, metrics, optimize
 
 
@@ -58,6 +59,12 @@ def optimized_weights(stocks: DataFrame, windows: DataFrame, cfg: Config = DEFAU
     return found.select("window_key", "kind", "series_id", "w")
 
 
+def shown_weights(weights: DataFrame, *by: str, least: float = 0.005) -> DataFrame:
+    """keys, place, series_id, share (a whole percentage as text) of the weights of at least half a percent, the largest first."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("w"), "series_id"))
+    return weights.where(F.col("w") >= least).select(*by, place.alias("place"), "series_id", percent(F.col("w"), 0).alias("share"))
+
+
 def out_of_sample(stocks: DataFrame, weights: DataFrame, windows: DataFrame) -> DataFrame:
     """window_key, kind and the window statistics of fixed weights over each window."""
     rows = in_windows(stocks, windows).join(weights, ["window_key", "series_id"])

@@ -116,14 +116,14 @@ def baskets(name: str) -> str:
     {name}_b AS MATERIALIZED (SELECT month, first_pos, series_id FROM {name}_r WHERE c >= {D.top_n} AND k <= {D.top_n})"""
 
 
-def monthly(name: str, out: str) -> str:
-    return f"""{baskets(name)},
+def monthly(name: str, out: str, bps: float = D.cost_bps, chosen: str | None = None) -> str:
+    return f"""{baskets(name) if chosen is None else chosen},
     {out}_g AS (SELECT month, list(series_id) AS basket FROM {name}_b GROUP BY month),
     {out}_p AS (SELECT month, basket, lag(basket) OVER (ORDER BY month) AS was FROM {out}_g),
     {out}_d AS (SELECT b.month, s.pos, avg(r) AS gross FROM st s JOIN {name}_b b ON date_trunc('month', s.date)::DATE = b.month AND b.series_id = s.series_id GROUP BY ALL HAVING avg(r) IS NOT NULL),
     {out}_t AS (SELECT d.pos, gross, CASE WHEN d.pos <> min(d.pos) OVER (PARTITION BY month) THEN 0.0 WHEN was IS NULL THEN 1.0
                        ELSE 2 * len(list_filter(basket, lambda x: NOT list_contains(was, x))) / {D.top_n}::DOUBLE END::DOUBLE AS turnover FROM {out}_d d JOIN {out}_p USING (month)),
-    {out} AS (SELECT c.pos, c.date, gross - turnover * {double(D.cost_bps)} / 10000 AS r, turnover FROM cal c LEFT JOIN {out}_t USING (pos))"""
+    {out} AS (SELECT c.pos, c.date, gross - turnover * {double(bps)} / 10000 AS r, turnover FROM cal c LEFT JOIN {out}_t USING (pos))"""
 
 
 def five() -> str:
@@ -334,6 +334,11 @@ def suffixes() -> str:
 
 LONG = P.replace("FROM lineitem", f"FROM (SELECT * FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '{LONG_FIRST}' AND DATE '{LONG_LAST}') AS lineitem")
 
+FIXED = """, fi AS (SELECT series_id, row_number() OVER (ORDER BY series_id) AS i, count(*) OVER () AS k FROM (SELECT DISTINCT series_id FROM st)),
+    fw AS (SELECT window_key, 'min_variance' AS kind, series_id, pow(2, i - 1)::DOUBLE / (pow(2, k) - 1)::DOUBLE AS w FROM fi, win UNION ALL SELECT window_key, 'max_sharpe', series_id, pow(2, k - i)::DOUBLE / (pow(2, k) - 1)::DOUBLE FROM fi, win)"""
+FIXED_BLEND = G + window_rows() + FIXED + """, fb AS MATERIALIZED (SELECT w.window_key, w.kind, pos, date, CASE WHEN sum(w.w) FILTER (r IS NOT NULL) > 0 THEN sum(r * w.w) / sum(w.w) FILTER (r IS NOT NULL) END AS r
+    FROM (SELECT window_key, series_id, pos, date, r FROM st JOIN win ON date BETWEEN s AND e) x JOIN fw w ON w.window_key = x.window_key AND w.series_id = x.series_id GROUP BY ALL) """
+
 SQL = {
     "s1_prices": P + f" SELECT series_id, pos, date, {r('price', 4)} AS price FROM px WHERE kind = 'stock' AND date BETWEEN DATE '{START}' AND DATE '1998-12-31'",
     "s2_enough_history": G + " SELECT series_id, count(price) AS n FROM px WHERE kind = 'stock' GROUP BY series_id HAVING count(price) >= floor((SELECT count(*) FROM cal) * 0.98::DOUBLE)",
@@ -360,6 +365,7 @@ SQL = {
     "f12_earliest_backtest": P + f" SELECT pos, date FROM cal WHERE pos = least({D.var_window}, (SELECT count(*) FROM cal) - 1)",
     "f13_preset": P + " SELECT DISTINCT series_id FROM st WHERE series_id IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#99')",
     "f15_search": P + " SELECT DISTINCT series_id FROM st WHERE contains(lower(series_id), 'brand#2')",
+    "f16_every_step": S5 + curve("sr", "strategy_id") + " SELECT strategy_id, pos, date, value FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY strategy_id) AS n FROM cv) WHERE i % 5 = 0 OR i = n - 1",
     "f16_sampled_curve": S5 + curve("sr", "strategy_id") + f""" SELECT strategy_id, pos, date, value FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY strategy_id) AS n FROM cv)
         WHERE n <= {D.chart_points} OR i % ceil(n / {D.chart_points}) = 0 OR i = n - 1""",
     "j1_calendars": P + """, f AS (SELECT DISTINCT date FROM ret WHERE series_id = 'index:F' AND r IS NOT NULL), o AS (SELECT DISTINCT date FROM ret WHERE series_id = 'index:O' AND r IS NOT NULL)
@@ -400,6 +406,8 @@ SQL = {
     "a29_any_data": G + window_rows() + " SELECT window_key, count(DISTINCT series_id) FILTER (r IS NOT NULL) AS n FROM st JOIN win ON date >= lb AND date < s GROUP BY 1",
     "a30_coverage": G + " SELECT series_id, count(price) AS days FROM px GROUP BY 1",
     "a31_hero": P + f" SELECT min(date) AS first, max(date) AS last, count(*) AS days, (SELECT count(DISTINCT series_id) FROM st) AS stocks, {r('''date_diff('day', min(date), max(date)) / 365.2425::DOUBLE''')} AS years FROM cal",
+    "a31_hero_union": P + lines("SELECT * FROM bl") + exc(where=f"date >= DATE '{START}'") + f""", al AS (SELECT date FROM cal UNION ALL SELECT l_shipdate::DATE FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '{LONG_FIRST}' AND DATE '{LONG_LAST}')
+        SELECT (SELECT count(DISTINCT series_id) FROM st) AS stocks, {r("date_diff('day', min(date), max(date)) / 365.2425::DOUBLE")} AS years, (SELECT count(*) FROM ex WHERE method = 'hist' AND confidence = 0.95::DOUBLE) AS var_days, {len(D.windows)} AS crises FROM al""",
     "w1_equity": P + curve("st", "series_id") + " SELECT series_id, pos, value FROM cv",
     "w1_equity_blocks": P + curve("st", "series_id") + " SELECT series_id, pos, value FROM cv",
     "a5_drawdown_blocks": P + risk("SELECT series_id, pos, r FROM st UNION ALL SELECT 'portfolio', pos, r FROM bl", "SELECT pos, m FROM mk").rsplit("SELECT series_id, n,", 1)[0] + f" SELECT series_id, {r('max_drawdown')} AS max_drawdown FROM dd",
@@ -424,16 +432,26 @@ SQL = {
             FROM st WINDOW w AS (PARTITION BY series_id ORDER BY pos)), wd AS (SELECT pos, date, """ + ", ".join(f"{r(f'any_value(v) FILTER (series_id = {chr(39)}{x}{chr(39)} AND i >= {D.rolling_days})', 5)} AS \"{x.replace('#', '_')}\"" for x in ("Brand#11", "Brand#12", "Brand#13")) + f""" FROM rw GROUP BY pos, date)
         SELECT * EXCLUDE (i, n) FROM (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n FROM wd) WHERE n <= {D.rolling_points} OR i % ceil(n / {D.rolling_points}) = 0 OR i = n - 1""",
     "v1_var_chart": P + lines("SELECT * FROM bl") + f" SELECT pos, date, {r('r', 8)} AS r, {r('-hist_95', 8)} AS lower, CASE WHEN r < -hist_95 THEN {r('r', 8)} END AS exception_r FROM vl",
-    "v1_uncovered": G + window_rows() + f" SELECT window_key, series_id, {r('count(r) / count(*)')} AS coverage FROM st JOIN win ON date BETWEEN s AND e GROUP BY ALL HAVING count(r) / count(*) < {D.min_coverage}",
+    "v1_uncovered": G + window_rows() + f" SELECT window_key, series_id, {r('count(r) / count(*)')} AS coverage FROM (SELECT series_id, date, CASE WHEN NOT (series_id LIKE 'S%' AND pos % 7 < 2) THEN r END AS r FROM st) JOIN win ON date BETWEEN s AND e GROUP BY ALL HAVING count(r) / count(*) < {D.min_coverage}",
     "c11_findings": P + window_rows() + window_names() + lines("SELECT * FROM bl") + exc(where=f"pos >= least({D.var_window}, (SELECT count(*) FROM cal) - 1)") + TESTS + findings(),
     "c14_missing_keys": "SELECT unnest(['benchmark', 'indexes']) AS key",
     "n10_break_even": S5 + break_even(),
     "c12_hero_curve": S5 + ", bb AS (SELECT * FROM sr WHERE strategy_id = 'buy_and_hold')" + curve("bb", "strategy_id") + """ SELECT pos, x, y FROM (SELECT pos, floor(i / (n - 1) * 600 * 10 + 0.5) / 10 AS x, floor((180 - (value - lo) / coalesce(nullif(hi - lo, 0), 1) * 160) * 10 + 0.5) / 10 AS y, i, n
         FROM (SELECT pos, value, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n, min(value) OVER () AS lo, max(value) OVER () AS hi FROM cv)) WHERE n <= 150 OR i % ceil(n / 150) = 0 OR i = n - 1""",
-    "w17_look_ahead": P + baskets("low") + " SELECT count(*) AS rebalances, sum((c.date >= month)::INT) AS violations FROM (SELECT DISTINCT month, first_pos FROM low_b) b JOIN cal c ON c.pos = b.first_pos - 1",
+    "w17_look_ahead": P + baskets("mom") + baskets("low") + " " + " UNION ALL ".join(
+        f"SELECT '{name}' AS selector, count(*) AS rebalances, sum((c.date >= month)::INT) AS violations FROM (SELECT DISTINCT month, first_pos FROM {table}) b JOIN cal c ON c.pos = b.first_pos - 1" for name, table in (("momentum", "mom_b"), ("low_volatility", "low_b"))
+    ),
     "n11_cost_sensitivity": S5 + f", lv AS (SELECT strategy_id, bps, pos, date, r + coalesce(turnover, 0) * ({double(D.cost_bps)} - bps) / 10000 AS r FROM sr, (VALUES (0.0::DOUBLE), (10.0), (25.0), (50.0), (100.0)) v(bps))" + curve("lv", "strategy_id, bps") + totals("strategy_id, bps") + f"""
         SELECT a.strategy_id, a.bps, {r('a.total_return')} AS total_return, {r('a.total_return - b.total_return')} AS edge FROM tt a LEFT JOIN tt b ON a.bps = b.bps AND b.strategy_id = 'buy_and_hold'""",
-    "n12_linearity": G + daily("st", 2, True, "x") + daily("st", 2, True, "y", 100.0) + " SELECT 'momentum_1d' AS strategy_id, max(abs(x.r + coalesce(x.turnover, 0) * (10.0::DOUBLE - 100) / 10000 - y.r)) <= 1e-12 AS linear, sum((x.turnover IS DISTINCT FROM y.turnover)::INT) AS n_turnover_changes FROM x JOIN y USING (pos)",
+    "n12_linearity": P + "".join(
+        daily("st", D.top_n, True, f"d1{i}", c) + daily("st", D.top_n, False, f"d2{i}", c) + monthly("mom", f"m1{i}", c, None if i == "a" else "") + monthly("low", f"m2{i}", c, None if i == "a" else "")
+        + f", bt{i} AS (SELECT pos, avg(r) AS gross FROM st GROUP BY pos), h1{i} AS (SELECT pos, gross - turnover * {double(c)} / 10000 AS r, turnover FROM (SELECT *, CASE WHEN pos = (SELECT min(pos) FROM bt{i} WHERE gross IS NOT NULL) THEN 1.0 ELSE 0.0 END::DOUBLE AS turnover FROM bt{i}))"
+        for i, c in (("a", D.cost_bps), ("b", 100.0))
+    ) + " " + " UNION ALL ".join(
+        f"SELECT '{name}' AS strategy_id, max(abs(x.r + coalesce(x.turnover, 0) * ({double(D.cost_bps)} - 100) / 10000 - y.r)) <= 1e-12 AS linear, sum((x.turnover IS DISTINCT FROM y.turnover)::INT) AS n_turnover_changes FROM {k}a x JOIN {k}b y USING (pos)"
+        for name, k in (("momentum_1d", "d1"), ("mean_reversion", "d2"), ("momentum_12m", "m1"), ("low_volatility", "m2"), ("buy_and_hold", "h1"))
+    ),
+    "n10_break_even_label": f"""WITH d AS ({S5 + break_even()}) SELECT strategy_id, CASE kind WHEN 'solved' THEN printf('%.1f bps:neutral', bps) WHEN 'loses_at_zero' THEN 'Underperforms Buy & Hold even with zero costs:negative' WHEN 'beyond_range' THEN 'Still ahead at {D.max_cost_bps:g} bps:positive' ELSE 'n/a:unknown' END AS label FROM d""",
     "c3_comparison": S5 + curve("sr", "strategy_id") + totals("strategy_id") + f""", rk AS (SELECT strategy_id, stddev_samp(r) * sqrt({D.trading_days}.0::DOUBLE) AS v, avg(r) * {D.trading_days} - {double(D.risk_free)} AS l, sum(turnover) AS t FROM sr GROUP BY 1),
         wl AS (SELECT strategy_id, pos, coalesce(product(1 + r) OVER (PARTITION BY strategy_id ORDER BY pos), 1) AS w FROM sr),
         dd AS (SELECT strategy_id, least(0, min(w / p - 1)) AS d FROM (SELECT *, greatest(1, max(w) OVER (PARTITION BY strategy_id ORDER BY pos)) AS p FROM wl) GROUP BY 1)
@@ -448,6 +466,8 @@ SQL = {
         en AS MATERIALIZED (SELECT window_key, 'stock' AS entity_kind, series_id AS entity, pos, r FROM cv2
             UNION ALL SELECT window_key, 'equal_weight', 'equal_weight', pos, round(avg(r), 10) FROM cv2 GROUP BY window_key, pos
             UNION ALL SELECT window_key, 'benchmark', 'benchmark', pos, m FROM mk JOIN win ON date BETWEEN s AND e) """ + stress_stats("en", "window_key, entity_kind, entity"),
+    "k1_shown_weights": G + window_rows() + FIXED + " SELECT window_key, kind, (row_number() OVER (PARTITION BY window_key, kind ORDER BY w * w DESC, series_id))::INT AS place, series_id, printf('%.0f%%', w * w * 100) AS share FROM fw WHERE w * w >= 0.005::DOUBLE",
+    "c8_fixed_weights": FIXED_BLEND + stress_stats("fb", "window_key, kind"),
     "c9_stress_correlations": G + window_rows() + f""", iw AS (SELECT window_key, series_id, pos, r FROM st JOIN win ON date BETWEEN s AND e), ca AS (SELECT series_id, pos, r FROM st WHERE NOT EXISTS (SELECT 1 FROM win WHERE date BETWEEN s AND e)),
         b AS (SELECT avg(corr) AS v, count(corr) AS n FROM {pair_corr('ca')}), x AS (SELECT window_key, avg(corr) AS v, count(corr) AS n FROM {pair_corr('iw', 'window_key')} GROUP BY 1)
         SELECT window_key, {r('x.v')} AS stress, x.n AS n_pairs_stress, {r('b.v')} AS baseline, b.n AS n_pairs_baseline, {r('x.v - b.v')} AS delta FROM x, b""",
@@ -465,6 +485,13 @@ SQL = {
     "n9_monte_carlo_full": P + FULL_PATHS + f" SELECT {', '.join(r(f'quantile_cont(value, {p / 100})', 3) + f' AS p{p}' for p in (5, 50, 95))}, {r(f'avg((value < {D.capital})::INT)', 3)} AS prob_loss, {r('avg(value)', 3)} AS mean FROM vals",
     "a25_histogram": P + PATHS + f""", e AS (SELECT min(value) AS lo, (max(value) - min(value)) / {D.bins} AS w FROM vals), h AS (SELECT least({D.bins - 1}, floor((value - lo) / w))::INT AS bin, count(*) AS n FROM vals, e GROUP BY 1)
         SELECT b AS bin, {r('lo + b * w', 3)} AS lo, {r('lo + b * w + w', 3)} AS hi, coalesce(n, 0) AS n FROM range({D.bins}) g(b) CROSS JOIN e LEFT JOIN h ON h.bin = b""",
+    "v1_histogram_marker": P + PATHS + f""", e AS (SELECT min(value) AS lo, (max(value) - min(value)) / {D.bins} AS w FROM vals), h AS (SELECT least({D.bins - 1}, floor((value - lo) / w))::INT AS bin, count(*) AS n FROM vals, e GROUP BY 1),
+        m AS (SELECT b AS bin, lo + b * w AS lo, lo + b * w + w AS hi, coalesce(n, 0) AS n FROM range({D.bins}) g(b) CROSS JOIN e LEFT JOIN h ON h.bin = b)
+        SELECT bin, {r('lo', 3)} AS lo, {r('hi', 3)} AS hi, n, {r('(lo + hi) / 2', 3)} AS mid, row_number() OVER (ORDER BY abs((lo + hi) / 2 - {D.capital}), bin) = 1 AS marker FROM m""",
+    "a25_histogram_full": P + FULL_PATHS + f""", e AS (SELECT min(value) AS lo, (max(value) - min(value)) / {D.bins} AS w FROM vals), h AS (SELECT least({D.bins - 1}, floor((value - lo) / w))::INT AS bin, count(*) AS n FROM vals, e GROUP BY 1)
+        SELECT b AS bin, {r('lo + b * w', 3)} AS lo, {r('lo + b * w + w', 3)} AS hi, coalesce(n, 0) AS n FROM range({D.bins}) g(b) CROSS JOIN e LEFT JOIN h ON h.bin = b""",
+    "k11_is_stale": P + f" SELECT pos, today, CASE WHEN date_diff('day', date, today) > {D.max_lookback} THEN true ELSE {weekdays('date', 'today')} > {D.stale_days} END AS stale FROM cal, (VALUES (DATE '2001-11-20'), (DATE '1998-07-06'), (DATE '1996-01-02')) v(today)",
+    "k12_ticker_labels": P + " SELECT DISTINCT series_id, CASE series_id WHEN 'Brand#11' THEN 'Brand#11 - First Brand' WHEN 'Brand#12' THEN 'Brand#12 - Second Brand' ELSE series_id END AS label FROM st",
     "c14_gate": gate(),
     "c14_restated": P + VINTAGES + f" SELECT series_id, date, {r('r_new')} AS r_new, {r('r_old')} AS r_old, {r('abs(r_new - r_old)')} AS change FROM cmp WHERE abs(cmp.r_new - cmp.r_old) > {double(D.restate_tolerance)} ORDER BY round(abs(cmp.r_new - cmp.r_old), 10) DESC, series_id, date LIMIT 10",
     "c14_extremes": P + VINTAGES + f" SELECT series_id, date, {r('r')} AS r FROM ext",
@@ -483,3 +510,8 @@ SQL["w18_verdict_order"] = f"""WITH d AS ({SQL['c7_verdict']})
 SQL["k12_formats"] = f"""WITH d AS ({SQL['c3_comparison']})
     SELECT strategy_id, CASE WHEN total_return > 0 THEN 'positive' WHEN total_return < 0 THEN 'negative' ELSE 'neutral' END AS tone, printf('%.1f%%', total_return * 100) AS pct,
            CASE WHEN total_return > 0 THEN '+' ELSE '' END || printf('%.3f%%', total_return * 100) AS signed, CASE WHEN total_return > 0 THEN '+' ELSE '' END || printf('%.1f pts', total_return * 100) AS points FROM d"""
+SQL["v1_best_active"] = f"""WITH d AS ({SQL['c7_verdict']})
+    SELECT strategy_id, total_return, {r("total_return - (SELECT total_return FROM d WHERE strategy_id = 'buy_and_hold')", 4)} AS edge FROM d WHERE strategy_id <> 'buy_and_hold'
+    ORDER BY total_return DESC, list_position(['momentum_1d', 'mean_reversion', 'momentum_12m', 'low_volatility'], strategy_id) LIMIT 1"""
+SQL["v1_underperformance_fixed"] = f"""WITH o AS ({SQL['c8_fixed_weights']}), q AS ({SQL['c9_stress_report']})
+    SELECT kind, count(*) AS n_windows, sum((o.total_return < q.total_return)::INT) AS n_worse FROM o JOIN q ON q.window_key = o.window_key AND q.entity_kind = 'equal_weight' GROUP BY kind"""

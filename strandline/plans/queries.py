@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT
@@ -146,8 +146,6 @@ def f1_returns_gapped(spark, sf_dir):
 
 @query
 def f2_trailing_return(spark, sf_dir):
-    from pyspark.sql import Window
-
     p = dense(spark, sf_dir).prices.where("kind = 'stock'")
     past = F.lag("price", DEFAULT.momentum_days).over(Window.partitionBy("series_id").orderBy("pos"))
     return rounded(p.select("series_id", "pos", (F.col("price") / past - 1).alias("trailing")).where("trailing is not null"))
@@ -239,6 +237,12 @@ def f15_search(spark, sf_dir):
     return ids.where(F.lower("series_id").contains(F.lower(F.trim(F.lit(" BRAND#2 ")))))
 
 
+@query
+def f16_every_step(spark, sf_dir):
+    curve = metrics.equity_curve(strategy_rows(spark, sf_dir), "strategy_id")
+    return metrics.every_step(curve, "strategy_id", step=5)
+
+
 @query
 def f16_sampled_curve(spark, sf_dir):
     curve = metrics.equity_curve(strategy_rows(spark, sf_dir), "strategy_id")
@@ -435,6 +439,14 @@ def a31_hero(spark, sf_dir):
     return rounded(span.crossJoin(ids).withColumn("years", stats.years_between(F.col("first"), F.col("last"), 365.2425)))
 
 
+@query
+def a31_hero_union(spark, sf_dir):
+    """Over both calendars, with the days of the VaR backtest and the number of crises."""
+    p, long = dense(spark, sf_dir), panel(spark, sf_dir, first=LONG_FIRST, last=LONG_LAST)
+    tests = w8_var_backtest(spark, sf_dir)
+    return rounded(metrics.hero_stats(p.calendar.unionByName(long.calendar), p.stocks(), tests, stress.windows_table(spark)))
+
+
 # --- windows
 
 
@@ -512,13 +524,13 @@ def w12_mean_reversion_gapped(spark, sf_dir):
 @query
 def w14_momentum_baskets(spark, sf_dir):
     p = dense(spark, sf_dir)
-    return strategies.momentum_baskets(p.prices.where("kind = 'stock'"), p.calendar)
+    return strategies.momentum_baskets(p.prices.where("kind = 'stock'"), p.calendar).drop("seen")
 
 
 @query
 def w15_low_vol_baskets(spark, sf_dir):
     p = dense(spark, sf_dir)
-    return strategies.low_vol_baskets(p.stocks(), p.calendar)
+    return strategies.low_vol_baskets(p.stocks(), p.calendar).drop("seen")
 
 
 @query
@@ -528,11 +540,11 @@ def w16_strategies(spark, sf_dir):
 
 @query
 def w17_look_ahead(spark, sf_dir):
+    """Both selectors, by the last day that each choice is made from."""
     p = dense(spark, sf_dir)
-    b = strategies.low_vol_baskets(p.stocks(), p.calendar).select("month", "first_pos").distinct()
-    c = p.calendar.select(F.col("pos").alias("chosen"), F.col("date").alias("chosen_on"))
-    joined = b.join(c, F.col("chosen") == F.col("first_pos") - 1)
-    return joined.agg(F.count("*").alias("rebalances"), F.sum((F.col("chosen_on") >= F.col("month")).cast("int")).alias("violations"))
+    made = {"momentum": strategies.momentum_baskets(p.prices.where("kind = 'stock'"), p.calendar), "low_volatility": strategies.low_vol_baskets(p.stocks(), p.calendar)}
+    one = lambda name: strategies.look_ahead(made[name], p.calendar).withColumn("selector", F.lit(name))
+    return one("momentum").unionByName(one("low_volatility"))
 
 
 @query
@@ -555,12 +567,24 @@ def n11_cost_sensitivity(spark, sf_dir):
 
 @query
 def n12_linearity(spark, sf_dir):
-    p = gapped(spark, sf_dir)
-    run = lambda cfg: strategies.daily_rank(p.stocks(), p.calendar, True, cfg).withColumn("strategy_id", F.lit("momentum_1d"))
-    out = costs.linearity(run(GAPPED), run(replace(GAPPED, cost_bps=100.0)), GAPPED.cost_bps, 100.0)
+    """All five strategies, run anew at another cost."""
+    p = dense(spark, sf_dir)
+    run = lambda cfg: strategies.raw_strategies(p.stocks(), p.prices.where("kind = 'stock'"), p.calendar, cfg)
+    out = costs.linearity(run(DEFAULT), run(replace(DEFAULT, cost_bps=100.0)), DEFAULT.cost_bps, 100.0)
     return out.select("strategy_id", (F.col("max_error") <= 1e-12).alias("linear"), "n_turnover_changes")
 
 
+@query
+def n10_break_even_label(spark, sf_dir):
+    rows = costs.break_even(strategy_rows(spark, sf_dir))
+    return rows.select("strategy_id", costs.break_even_label(F.col("kind"), F.col("bps")).alias("label"))
+
+
+@query
+def v1_best_active(spark, sf_dir):
+    return rounded(costs.best_active(c7_verdict(spark, sf_dir), strategies.ORDER), 4)
+
+
 @query
 def c3_comparison(spark, sf_dir):
     return rounded(costs.comparison(strategy_rows(spark, sf_dir)))
@@ -608,9 +632,43 @@ def c8_optimized_out_of_sample(spark, sf_dir):
     return rounded(stress.out_of_sample(p.stocks(), stress.optimized_weights(p.stocks(), windows), windows))
 
 
+def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stocks of the gapped panel, of which those in S miss two days of seven."""
+    missing = F.col("series_id").startswith("S") & (F.col("pos") % 7 < 2)
+    return gapped(spark, sf_dir).stocks().withColumn("r", F.when(~missing, F.col("r")))
+
+
 @query
 def v1_uncovered(spark, sf_dir):
-    return rounded(stress.uncovered(gapped(spark, sf_dir).stocks(), stress.windows_table(spark)))
+    return rounded(stress.uncovered(holed(spark, sf_dir), stress.windows_table(spark)))
+
+
+def fixed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that SQL can repeat in place of solved ones: 1 : 2 : 4 ... by name, and the other way round."""
+    place = Window.partitionBy(F.lit(1)).orderBy("series_id")  # a few series
+    ids = gapped(spark, sf_dir).stocks().select("series_id").distinct().withColumns({"i": F.row_number().over(place), "k": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    way = F.explode(F.array(F.struct(F.lit("min_variance").alias("kind"), F.pow(2.0, F.col("i") - 1).alias("v")), F.struct(F.lit("max_sharpe").alias("kind"), F.pow(2.0, F.col("k") - F.col("i")).alias("v")))).alias("x")
+    rows = ids.select("series_id", "k", way).select("x.kind", "series_id", (F.col("x.v") / (F.pow(2.0, F.col("k")) - 1)).alias("w"))
+    return rows.crossJoin(stress.windows_table(spark).select("window_key"))  # a few windows
+
+
+@query
+def k1_shown_weights(spark, sf_dir):
+    rows = fixed_weights(spark, sf_dir).withColumn("w", F.col("w") * F.col("w"))
+    return stress.shown_weights(rows, "window_key", "kind", least=0.005)
+
+
+@query
+def c8_fixed_weights(spark, sf_dir):
+    """The out-of-sample figures of fixed weights."""
+    windows = stress.windows_table(spark)
+    return rounded(stress.out_of_sample(gapped(spark, sf_dir).stocks(), fixed_weights(spark, sf_dir), windows))
+
+
+@query
+def v1_underperformance_fixed(spark, sf_dir):
+    p, windows = gapped(spark, sf_dir), stress.windows_table(spark)
+    return stress.underperformance(stress.report(p.stocks(), p.market(), windows), c8_fixed_weights(spark, sf_dir))
 
 
 @query
@@ -711,6 +769,11 @@ def a25_histogram(spark, sf_dir):
     return rounded(montecarlo.histogram(_values(spark, sf_dir)), 3)
 
 
+@query
+def v1_histogram_marker(spark, sf_dir):
+    return rounded(montecarlo.marked(montecarlo.histogram(_values(spark, sf_dir))), 3)
+
+
 @query
 def a25_histogram_full(spark, sf_dir):
     return rounded(montecarlo.histogram(_values(spark, sf_dir, None)), 3)
@@ -782,6 +845,19 @@ def c14_missing_keys(spark, sf_dir):
     return json_payload.missing_keys(json_payload.payload(p.returns, p.calendar), ["meta", "series", "benchmark", "indexes"])
 
 
+@query
+def k11_is_stale(spark, sf_dir):
+    """Whether each day was stale on one of three later days."""
+    asked = spark.createDataFrame([(date(2001, 11, 20),), (date(1998, 7, 6),), (date(1996, 1, 2),)], "today date")
+    rows = dense(spark, sf_dir).calendar.crossJoin(asked)  # three days
+    return rows.select("pos", "today", stats.is_stale(F.col("date"), F.col("today"), DEFAULT.stale_days, DEFAULT.max_lookback).alias("stale"))
+
+
+@query
+def k12_ticker_labels(spark, sf_dir):
+    return s5_names(spark, sf_dir).select("series_id", stats.ticker_label(F.col("series_id"), F.col("name")).alias("label"))
+
+
 @query
 def business_days(spark, sf_dir):
     c = dense(spark, sf_dir).calendar
