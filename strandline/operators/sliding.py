@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block; a block also reads as many rows as a window has.
 BLOCK = 2048
+#: Values of windows that are summed at once.
+CHUNK = 1 << 18
 
 
 def numbered(rows: DataFrame, *by: str, name: str, size: int = BLOCK) -> DataFrame:
@@ -34,15 +36,21 @@ def numbered(rows: DataFrame, *by: str, name: str, size: int = BLOCK) -> DataFra
 def windows(values: np.ndarray, days: int, shares: list[float], first: int) -> tuple[np.ndarray, ...]:
     """For each place from `first` on: n, mean and deviation of the values (but NaN) of the `days` rows before it, and for each share p the value at place floor(p n) of them in order."""
     has = ~np.isnan(values)
-    centre = values[has].mean() if has.any() else 0.0
-    x = np.where(has, values - centre, 0.0)
     ends = np.arange(first, len(values))
     starts = np.maximum(0, ends - days)
-    total = lambda v: (c := np.concatenate([[0.0], np.cumsum(v)]))[ends] - c[starts]
-    n, s, q = total(has), total(x), total(x * x)
+    n, mean, deviation = (np.full(len(ends), np.nan) for _ in range(3))
+    # each row's sums are of its own window's values and of no other, so nothing from outside is in their last bits
+    views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(days, np.nan), values]), days)[first : len(values)]
+    step = max(1, CHUNK // days)
     with np.errstate(divide="ignore", invalid="ignore"):
-        mean = np.where(n > 0, centre + s / n, np.nan)
-        deviation = np.where(n > 1, np.sqrt(np.maximum(0, q - s * s / n) / (n - 1)), np.nan)
+        for i in range(0, len(ends), step):
+            at, view = slice(i, i + step), views[i : i + step]
+            there = ~np.isnan(view)
+            n[at] = there.sum(axis=1)
+            mean[at] = np.where(there, view, 0).sum(axis=1) / n[at]
+            apart = np.where(there, view - mean[at, None], 0)
+            deviation[at] = np.sqrt((apart * apart).sum(axis=1) / (n[at] - 1))
+    mean[n < 1] = deviation[n < 2] = np.nan
     found = np.full((len(shares), len(ends)), np.nan)
     start = int(starts[0]) if len(ends) else 0
     ordered = sorted(values[start:first][has[start:first]].tolist())

@@ -279,16 +279,26 @@ def test_streamed_bars(spark, sf_dir, tmp_path):
 
 
 def test_whole_jobs(spark, sf_dir):
-    import hashlib
-
     import numpy as np
 
-    def uniform(*parts):
-        return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    def mixed(x):
+        for _ in range(2):
+            x = ((x >> 16 ^ x) * 0x45D9F3B) % 2**32
+        return x >> 16 ^ x
+
+    def draws(path, days):
+        """Two days from each pair of words of the path's counter, in plain whole numbers."""
+        one = mixed(path % 2**32 ^ mixed(7))
+        two = mixed(one ^ path >> 32 ^ 0x5BD1E995)
+        number = lambda k: (mixed(mixed((one + k) % 2**32) ^ two) + 0.5) / 2**32
+        out = []
+        for j in range(1, (days + 1) // 2 + 1):
+            r, a = math.sqrt(-2 * math.log(number(2 * j))), 2 * math.pi * number(2 * j + 1)
+            out += [r * math.cos(a), r * math.sin(a)]
+        return out[:days]
 
     mu, sigma = one(queries.market_blend(spark, sf_dir).agg(F.avg("r").alias("mu"), F.stddev_samp("r").alias("sigma")), "mu", "sigma")
-    u = np.array([[[uniform(7, p, d, k) for k in (1, 2)] for d in range(1, 64)] for p in range(DEFAULT.paths)])
-    z = np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1])
+    z = np.array([draws(p, 63) for p in range(DEFAULT.paths)])
     values = DEFAULT.capital * np.maximum(1 + mu + sigma * z, 1e-6).prod(axis=1)
     found = queries.QUERIES["n9_monte_carlo_full"](spark, sf_dir).first()
     want = [*np.percentile(values, [5, 50, 95]), np.mean(values < DEFAULT.capital), np.mean(values)]
@@ -429,3 +439,45 @@ def test_a_fixed_range_has_its_own_calendar(spark, sf_dir):
 def test_formats(spark):
     rows = spark.createDataFrame([(0.5248,), (-0.0027,), (0.0,)], "x double").select(stats.percent(F.col("x")), stats.signed_percent(F.col("x")), stats.signed_points(F.col("x")), stats.tone(F.col("x")))
     assert [tuple(r) for r in rows.collect()] == [("52.5%", "+52.480%", "+52.5 pts", "positive"), ("-0.3%", "-0.270%", "-0.3 pts", "negative"), ("0.0%", "0.000%", "0.0 pts", "neutral")]
+
+
+def test_empty_basket_costs_nothing(spark):
+    rows = spark.createDataFrame([(["a"], ["b"]), (["a"], None)], "basket array<string>, before array<string>")
+    assert [r[0] for r in rows.select(strategies.rebalance_turnover(F.col("basket"), F.col("before"), 0)).collect()] == [0.0, 0.0]
+
+
+def test_look_ahead_sees_a_late_choice(spark):
+    calendar = spark.createDataFrame([(i, date(2020, 1, 20) + timedelta(i)) for i in range(50)], "pos int, date date")
+    months = [(date(2020, 2, 1), 12, "a", 11), (date(2020, 2, 1), 12, "b", 10), (date(2020, 3, 1), 41, "a", 40)]
+    schema = "month date, first_pos int, series_id string, seen int"
+    assert tuple(strategies.look_ahead(spark.createDataFrame(months, schema), calendar).first()) == (2, 0)
+    late = [*months[:1], (date(2020, 2, 1), 12, "b", 12), (date(2020, 3, 1), 41, "a", 99)]  # its own first day; a day that is not known
+    assert tuple(strategies.look_ahead(spark.createDataFrame(late, schema), calendar).first()) == (2, 2)
+
+
+def test_both_ranks_equal_one_rank_each(spark, sf_dir):
+    p = panels.panel(spark, sf_dir)
+    both = strategies.both_daily_ranks(p.stocks(), p.calendar)
+    for best in (True, False):
+        one = strategies.daily_rank(p.stocks(), p.calendar, best).where("r is not null").select("pos", F.round("r", 12).alias("r"), "turnover", "basket")
+        two = both.where(F.col("best") == best).select("pos", F.round("r", 12).alias("r"), "turnover", "basket")
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_small_views(spark):
+    curve = spark.createDataFrame([("a", i, float(i)) for i in range(12)] + [("b", 0, 1.0)], "k string, pos int, value double")
+    assert sorted((r.k, r.pos) for r in metrics.every_step(curve, "k", step=5).collect()) == [("a", 0), ("a", 5), ("a", 10), ("a", 11), ("b", 0)]
+    bins = spark.createDataFrame([(0, 8000.0, 9000.0, 1), (1, 9000.0, 10_000.0, 2), (2, 10_000.0, 11_000.0, 3)], "bin int, lo double, hi double, n long")
+    assert [(r.bin, r.mid) for r in montecarlo.marked(bins).where("marker").collect()] == [(1, 9500.0)]
+    kinds = spark.createDataFrame([("solved", 12.34), ("loses_at_zero", None), ("beyond_range", None), ("unavailable", None)], "kind string, bps double")
+    labels = [r[0] for r in kinds.select(costs.break_even_label(F.col("kind"), F.col("bps"))).collect()]
+    assert labels == ["12.3 bps:neutral", "Underperforms Buy & Hold even with zero costs:negative", "Still ahead at 500 bps:positive", "n/a:unknown"]
+    verdicts = spark.createDataFrame([("momentum_12m", 0.2), ("momentum_1d", 0.2), ("buy_and_hold", 0.5), ("low_volatility", None)], "strategy_id string, total_return double")
+    assert [(r.strategy_id, round(r.edge, 9)) for r in costs.best_active(verdicts, strategies.ORDER).collect()] == [("momentum_1d", -0.3)]
+    assert costs.best_active(verdicts.where("strategy_id = 'buy_and_hold'"), strategies.ORDER).count() == 0
+    weights = spark.createDataFrame([("a", 0.004), ("b", 0.5), ("c", 0.491), ("d", 0.005), ("e", 0.5)], "series_id string, w double")
+    assert [(r.series_id, r.share) for r in stress.shown_weights(weights).orderBy("place").collect()] == [("b", "50%"), ("e", "50%"), ("c", "49%"), ("d", "1%")]
+    names = spark.createDataFrame([("A", "Alpha"), ("B", "B"), ("C", None), ("D", "")], "t string, n string")
+    assert [r[0] for r in names.select(stats.ticker_label(F.col("t"), F.col("n"))).collect()] == ["A - Alpha", "B", "C", "D"]
+    days = spark.createDataFrame([(date(2024, 5, 3), date(2024, 5, 9)), (date(2024, 5, 3), date(2024, 5, 10)), (date(2024, 1, 1), date(2024, 5, 3)), (date(2024, 5, 3), date(2024, 5, 1))], "a date, b date")
+    assert [r[0] for r in days.select(stats.is_stale(F.col("a"), F.col("b"))).collect()] == [False, True, True, False]
