@@ -12,38 +12,49 @@ from strandline.functions.stats import business_days
 from strandline.sources.panel import INDEX, MARKET
 
 
-def row(frame: DataFrame, name: str, failed: Column, n: Column) -> DataFrame:
-    return frame.select(F.lit(name).alias("check_name"), (~F.coalesce(failed, F.lit(True))).alias("passed"), n.cast("long").alias("n"))
+def counted(condition: Column) -> Column:
+    return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+
+
+def figures(old: DataFrame, new: DataFrame, indexes: list[str], cfg: Config = DEFAULT) -> DataFrame:
+    """One row of all that the checks count: one aggregation by series, one by date, and one over the new rows beside the old."""
+    columns = ["series_id", "kind", "date", "r"]
+    rows = old.select(*columns, F.lit(False).alias("new")).unionByName(new.select(*columns, F.lit(True).alias("new")))
+    stock, index, wanted = F.col("kind") == "stock", F.col("kind") == "index", F.col("series_id").isin([f"{INDEX}{k}" for k in indexes])
+    had, has = F.col("had"), F.col("has")
+    by_series = rows.groupBy("series_id", "kind").agg(F.max(~F.col("new")).alias("had"), F.max("new").alias("has")).agg(
+        counted(stock & had & ~has).alias("gone"), counted(stock & had).alias("was"), counted(stock & has).alias("stocks"),
+        counted((F.col("series_id") == MARKET) & has).alias("market"), counted(index & wanted & has).alias("wanted"), counted(index & had & ~has).alias("dropped"),
+    )
+    names = [MARKET, *[f"{INDEX}{k}" for k in indexes]]
+    covered = [F.max(F.col("new") & (F.col("series_id") == n) & F.col("r").isNotNull()).alias(f"c{i}") for i, n in enumerate(names)]
+    days = rows.groupBy("date").agg(F.max(~F.col("new")).alias("had"), F.max("new").alias("has"), *covered)
+    ends = days.agg(F.max(F.when(had, F.col("date"))).alias("old_end"), F.max(F.when(has, F.col("date"))).alias("new_end"))
+    added = has & (F.col("date") > F.col("old_end"))
+    by_day = days.crossJoin(ends).agg(*[counted(added & ~F.col(f"c{i}")).alias(f"gaps{i}") for i in range(len(names))])  # one row of ends
+    before = old.where("r is not null").select("series_id", "date", F.col("r").alias("r_old"))
+    beside = new.where("r is not null").select("series_id", "date", "r").join(before, ["series_id", "date"], "left").crossJoin(ends)
+    changed = F.abs(F.col("r") - F.col("r_old")) > cfg.restate_tolerance
+    by_row = beside.agg(
+        counted((F.col("date") > F.col("old_end")) & (F.abs("r") > cfg.max_move)).alias("wild"), F.count("r_old").alias("both"), counted(changed).alias("restated"),
+    )
+    return by_series.crossJoin(ends).crossJoin(by_day).crossJoin(by_row)  # one row each
 
 
 def checks(old: DataFrame, new: DataFrame, today: date, indexes: list[str], cfg: Config = DEFAULT) -> DataFrame:
-    """check_name, passed, n (what was counted). old, new: series_id, kind, date, r."""
-    end_of = lambda df, c: df.agg(F.max("date").alias(c))
-    ends = end_of(old, "old_end").crossJoin(end_of(new, "new_end"))  # one row
-    back = row(ends, "end_not_earlier", F.col("new_end") < F.col("old_end"), F.datediff("new_end", "old_end"))
-    late = business_days(F.col("new_end"), F.lit(today))
-    fresh = row(ends, "fresh", late > cfg.stale_days, late)
-    ids = lambda df, kind: df.where(F.col("kind") == kind).select("series_id").distinct()
-    count = lambda df: df.agg(F.count("*").alias("n"))
-    gone = count(ids(old, "stock").join(ids(new, "stock"), "series_id", "left_anti"))
-    out = back.unionAll(fresh).unionAll(row(gone, "no_stock_missing", F.col("n") > 0, F.col("n")))
-    fewer = count(ids(old, "stock")).withColumnRenamed("n", "was").crossJoin(count(ids(new, "stock")))
-    out = out.unionAll(row(fewer, "stock_count", F.col("n") < F.col("was"), F.col("n")))
-    present = count(new.where(F.col("series_id") == MARKET).select("series_id").distinct())
-    out = out.unionAll(row(present, "benchmark_present", F.col("n") == 0, F.col("n")))
-    added = new.select("date").distinct().crossJoin(ends).where("date > old_end").select("date")
-    wanted = new.sparkSession.createDataFrame([(f"{INDEX}{k}",) for k in indexes], "series_id string")
-    absent = count(wanted.join(ids(new, "index"), "series_id", "left_anti"))
-    out = out.unionAll(row(absent, "indexes_present", F.col("n") > 0, F.col("n")))
-    dropped = count(ids(old, "index").join(ids(new, "index"), "series_id", "left_anti"))
-    out = out.unionAll(row(dropped, "no_index_dropped", F.col("n") > 0, F.col("n")))
-    for name in (MARKET, *[f"{INDEX}{k}" for k in indexes]):
-        has = new.where((F.col("series_id") == name) & F.col("r").isNotNull()).select("date")
-        out = out.unionAll(row(count(added.join(has, "date", "left_anti")), f"covers_new_dates:{name}", F.col("n") > 0, F.col("n")))
-    wild = count(extremes(old, new, cfg))
-    out = out.unionAll(row(wild, "no_wild_move", F.col("n") > 0, F.col("n")))
-    overlap = compared(old, new).agg(F.count("*").alias("all"), F.sum((F.abs(F.col("r_new") - F.col("r_old")) > cfg.restate_tolerance).cast("int")).alias("n"))
-    return out.unionAll(row(overlap, "history_unchanged", (F.col("all") == 0) | (F.col("n") / F.col("all") > cfg.restate_share), F.coalesce("n", F.lit(0))))
+    """check_name, passed, n (what was counted). old, new: series_id, kind, date, r, a row per series and date."""
+    late, c = business_days(F.col("new_end"), F.lit(today)), F.col
+    absent = F.lit(len(set(indexes))) - c("wanted")
+    found = {
+        "end_not_earlier": (c("new_end") < c("old_end"), F.datediff("new_end", "old_end")), "fresh": (late > cfg.stale_days, late),
+        "no_stock_missing": (c("gone") > 0, c("gone")), "stock_count": (c("stocks") < c("was"), c("stocks")), "benchmark_present": (c("market") == 0, c("market")),
+        "indexes_present": (absent > 0, absent), "no_index_dropped": (c("dropped") > 0, c("dropped")),
+    }
+    found |= {f"covers_new_dates:{n}": (c(f"gaps{i}") > 0, c(f"gaps{i}")) for i, n in enumerate([MARKET, *[f"{INDEX}{k}" for k in indexes]])}
+    found["no_wild_move"] = (c("wild") > 0, c("wild"))
+    found["history_unchanged"] = ((c("both") == 0) | (c("restated") > c("both") * cfg.restate_share), c("restated"))
+    each = [F.struct(F.lit(k).alias("check_name"), (~F.coalesce(failed, F.lit(True))).alias("passed"), n.cast("long").alias("n")) for k, (failed, n) in found.items()]
+    return figures(old, new, indexes, cfg).select(F.inline(F.array(*each)))
 
 
 def extremes(old: DataFrame, new: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
