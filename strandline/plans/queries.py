@@ -718,14 +718,11 @@ def c12_hero_curve(spark, sf_dir):
 
 @query
 def n2_two_asset_min_variance(spark, sf_dir):
-    two = gapped(spark, sf_dir).stocks().where(F.col("series_id").isin(*_two(gapped(spark, sf_dir))))
+    stocks = gapped(spark, sf_dir).stocks()
+    two = stocks.join(stocks.select("series_id").distinct().orderBy("series_id").limit(2), "series_id", "left_semi")
     return optimize.portfolios(two, kinds=("min_variance",)).select("series_id", (F.round("w", 5) + 0.0).alias("w"))
 
 
-def _two(p: Panel) -> list[str]:
-    return [r[0] for r in p.stocks().select("series_id").distinct().orderBy("series_id").limit(2).collect()]
-
-
 @query
 def n8_frontier(spark, sf_dir):
     return optimize.portfolios(gapped(spark, sf_dir).stocks())

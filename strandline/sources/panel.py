@@ -22,6 +22,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.config import DEFAULT
 from strandline.sources.stored import once, stored
 
 MARKET = "market"
@@ -67,7 +68,7 @@ def with_returns(prices: DataFrame) -> DataFrame:
     return prices.withColumn("r", F.round(clean(F.try_divide("price", before) - 1), 6) + F.lit(0.0))
 
 
-def enough_history(prices: DataFrame, share: float) -> DataFrame:
+def enough_history(prices: DataFrame, share: float = DEFAULT.min_history) -> DataFrame:
     """series_id, n of the series that have prices on at least that share of all dates; 0 keeps all."""
     days = prices.agg(F.countDistinct("pos").alias("days"))
     counted = prices.groupBy("series_id").agg(F.count("price").alias("n"))
