@@ -341,6 +341,7 @@ FIXED_BLEND = G + window_rows() + FIXED + """, fb AS MATERIALIZED (SELECT w.wind
 
 SQL = {
     "s1_prices": P + f" SELECT series_id, pos, date, {r('price', 4)} AS price FROM px WHERE kind = 'stock' AND date BETWEEN DATE '{START}' AND DATE '1998-12-31'",
+    "s1_prices_full": P + f" SELECT series_id, pos, date, {r('price', 4)} AS price FROM px WHERE kind = 'stock'",
     "s2_enough_history": G + " SELECT series_id, count(price) AS n FROM px WHERE kind = 'stock' GROUP BY series_id HAVING count(price) >= floor((SELECT count(*) FROM cal) * 0.98::DOUBLE)",
     "s3_universe": P + " SELECT kind, count(DISTINCT series_id) AS n_series, count(r) AS n_returns, min(date) AS first, max(date) AS last FROM ret GROUP BY kind",
     "s5_names": P + " SELECT DISTINCT series_id, CASE series_id WHEN 'Brand#11' THEN 'First Brand' WHEN 'Brand#12' THEN 'Second Brand' ELSE series_id END AS name FROM st",
@@ -515,3 +516,5 @@ SQL["v1_best_active"] = f"""WITH d AS ({SQL['c7_verdict']})
     ORDER BY total_return DESC, list_position(['momentum_1d', 'mean_reversion', 'momentum_12m', 'low_volatility'], strategy_id) LIMIT 1"""
 SQL["v1_underperformance_fixed"] = f"""WITH o AS ({SQL['c8_fixed_weights']}), q AS ({SQL['c9_stress_report']})
     SELECT kind, count(*) AS n_windows, sum((o.total_return < q.total_return)::INT) AS n_worse FROM o JOIN q ON q.window_key = o.window_key AND q.entity_kind = 'equal_weight' GROUP BY kind"""
+SQL["n7_cloud_full"] = SQL["n7_cloud"].replace("range(500)", f"range({D.cloud_points})")
+SQL["n9_monte_carlo_5y"] = SQL["n9_monte_carlo_full"].replace(FULL_PATHS, paths(D.paths, 5 * D.trading_days))
