@@ -82,9 +82,15 @@ def tone(x: Column) -> Column:
     return F.when(x > 0, "positive").when(x < 0, "negative").otherwise("neutral")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals, as C's printf rounds: by the double's own value (5.1815 lies below its half step), where format_string goes by its shortest digits."""
+    shown = F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.format_string("%f", x)).otherwise(shown)
+
+
 def percent(share: Column, digits: int = 1) -> Column:
     """0.5248 as 52.5%."""
-    return F.format_string(f"%.{digits}f%%", share * 100)
+    return F.concat(fixed(share * 100, digits), F.lit("%"))
 
 
 def signed_percent(share: Column, digits: int = 3) -> Column:
@@ -99,4 +105,4 @@ def ticker_label(ticker: Column, name: Column) -> Column:
 
 def signed_points(share: Column, digits: int = 1) -> Column:
     """0.711, a difference of shares, as +71.1 pts."""
-    return F.concat(F.when(share > 0, "+").otherwise(""), F.format_string(f"%.{digits}f pts", share * 100))
+    return F.concat(F.when(share > 0, "+").otherwise(""), fixed(share * 100, digits), F.lit(" pts"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
-from strandline.functions.stats import cents, years_between
+from strandline.functions.stats import cents, fixed, years_between
 from strandline.operators import metrics, segments
 
 PASSIVE = "buy_and_hold"
@@ -74,7 +74,7 @@ def break_even_label(kind: Column, bps: Column, cfg: Config = DEFAULT) -> Column
     """What a break-even says, and its tone after a colon."""
     beyond = f"Still ahead at {cfg.max_cost_bps:g} bps:positive"
     return (
-        F.when(kind == "solved", F.concat(F.format_string("%.1f", bps), F.lit(" bps:neutral")))
+        F.when(kind == "solved", F.concat(fixed(bps, 1), F.lit(" bps:neutral")))
         .when(kind == "loses_at_zero", "Underperforms Buy & Hold even with zero costs:negative")
         .when(kind == "beyond_range", beyond)
         .otherwise("n/a:unknown")

@@ -441,6 +441,17 @@ def test_formats(spark):
     assert [tuple(r) for r in rows.collect()] == [("52.5%", "+52.480%", "+52.5 pts", "positive"), ("-0.3%", "-0.270%", "-0.3 pts", "negative"), ("0.0%", "0.000%", "0.0 pts", "neutral")]
 
 
+def test_formats_round_by_the_value_itself(spark):
+    values = [-0.05181500000000001, -0.051815, 0.00125, 12345.678, -0.00001, None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    shown = rows.select("x", stats.percent(F.col("x"), 0), stats.percent(F.col("x"), 3), stats.signed_percent(F.col("x")), stats.signed_points(F.col("x"), 2)).collect()
+    for x, *got in shown:
+        at, plus = (x or 0) * 100, "+" if x and x > 0 else ""
+        assert got == ([None] * 4 if x is None else [f"{at:.0f}%", f"{at:.3f}%", f"{plus}{at:.3f}%", f"{plus}{at:.2f} pts"])
+    assert shown[1][2] == "-5.181%"  # 5.1815 is 5.18149999... as a double
+    assert [r[0] for r in spark.createDataFrame([(float("nan"),), (float("inf"),)], "x double").select(stats.percent(F.col("x"))).collect()] == ["NaN%", "Infinity%"]
+
+
 def test_empty_basket_costs_nothing(spark):
     rows = spark.createDataFrame([(["a"], ["b"]), (["a"], None)], "basket array<string>, before array<string>")
     assert [r[0] for r in rows.select(strategies.rebalance_turnover(F.col("basket"), F.col("before"), 0)).collect()] == [0.0, 0.0]
