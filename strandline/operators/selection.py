@@ -8,7 +8,8 @@ counted and summed in order. Any distribution gives the exact value: where value
 lie so unevenly that cuts don't part them, more is left for that last step.
 
 Counts and sums are added within each task before they are shuffled, so a pass
-shuffles at most BINS rows for each key and task, and no task sees a key's rows.
+shuffles at most BINS rows for each key and task, and no task sees a key's rows:
+the places, one row a key, are broadcast.
 Rows are read once a pass; store them if they are dear to make. Nulls are left out.
 """
 
@@ -24,9 +25,9 @@ BINS, PASSES = 1024, 2
 
 
 def within(rows: DataFrame, places: DataFrame, *by: str) -> DataFrame:
-    """rows between lo and hi of their key's place; places has a row per key."""
-    held = (rows.join(places, list(by)) if by else rows.crossJoin(places)).where("value between lo and hi")  # one row of places without keys
-    return held
+    """rows between lo and hi of their key's place; places has a row per key, each of many rows, and goes to the rows, which stay in their tasks."""
+    held = rows.join(F.broadcast(places), list(by)) if by else rows.crossJoin(F.broadcast(places))  # one row of places without keys
+    return held.where("value between lo and hi")
 
 
 def cut(rows: DataFrame, places: DataFrame, *by: str, bins: int) -> DataFrame:

@@ -137,6 +137,14 @@ def test_selection_of_every_rank_and_without_keys(spark):
     assert selection.tail(rows.where("false").withColumn("k", F.lit(1)), "k").count() == 0
 
 
+@pytest.mark.parametrize("by", [("k",), ()])
+def test_selection_leaves_rows_in_their_tasks(spark, by):
+    rows = spark.createDataFrame([(i % 2, float(i)) for i in range(50)], "k int, r double")
+    plan = selection.tail(rows, *by)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin" if by else "BroadcastNestedLoopJoin") >= selection.PASSES + 1
+    assert not any(x in plan for x in ("SortMergeJoin", "ShuffledHashJoin", "CartesianProduct"))
+
+
 def test_selection_equals_the_risk_table(panel):
     market = panel.select("pos", "m").distinct()
     want = {r.series_id: (r.n, r["var"], r.es) for r in metrics.risk_table(panel.drop("m"), market, "series_id").collect() if r.n}
