@@ -228,11 +228,15 @@ class Learner:
     def __init__(self, start: dict[str, np.ndarray], unigram: np.ndarray, slot: int) -> None:
         self.p, self.noise, self.seen = {k: v.copy() for k, v in start.items()}, np.cumsum(unigram), 0
         self.rng, self.shift = np.random.default_rng([SEED, slot]), np.log(NOISE * unigram)
+        self.room = np.empty((STEP_TOKENS, NOISE), np.float32)  # of a step's scores, used again
 
     def update(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        squares = self.p[name + "2"]
-        squares[rows] += gradient * gradient
-        self.p[name][rows] += RATE * gradient / np.sqrt(squares[rows])
+        squares = self.p[name + "2"][rows]
+        squares += gradient * gradient
+        self.p[name + "2"][rows] = squares
+        change = np.sqrt(squares)
+        np.divide(RATE * gradient, change, out=change)
+        self.p[name][rows] += change
 
     def step(self, own: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         p, n = self.p, len(own)
@@ -241,15 +245,17 @@ class Learner:
         drawn = np.searchsorted(self.noise, self.rng.random(NOISE) * self.noise[-1])
         single, qn = h.astype(np.float32), p["target"][drawn].astype(np.float32)
         up = 1 - 1 / (1 + np.exp(self.shift[own] - np.einsum("ij,ij->i", h, q) - p["bias"][own]))
-        down = single @ qn.T
+        down = np.matmul(single, qn.T, out=self.room[:n])
         down += (p["bias"][drawn] - self.shift[drawn]).astype(np.float32)
-        down = -1 / (1 + np.exp(-down))
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
         gh = up[:, None] * q + down @ qn
         rows, at = np.unique(np.concatenate([own, drawn]), return_inverse=True)
-        target, bias = summed_rows(at[:n], up[:, None] * h, len(rows)), np.bincount(at[:n], up, len(rows))
-        np.add.at(target, at[n:], down.T @ single)
-        np.add.at(bias, at[n:], down.sum(axis=0))
-        context = summed_rows(one, gh @ p["one"].T, CONTEXTS) + summed_rows(two, gh @ p["two"].T, CONTEXTS)
+        target = summed_rows(at, np.concatenate([up[:, None] * h, down.T @ single]), len(rows))
+        bias = np.bincount(at, np.concatenate([up, down.sum(axis=0)]), len(rows))
+        context = summed_rows(np.concatenate([one, two]), np.concatenate([gh @ p["one"].T, gh @ p["two"].T]), CONTEXTS)
         change_one, change_two = r1.T @ gh, r2.T @ gh
         self.update("target", target, rows)
         self.update("bias", bias, rows)
