@@ -82,6 +82,13 @@ def tone(x: Column) -> Column:
     return F.when(x > 0, "positive").when(x < 0, "negative").otherwise("neutral")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x with so many decimals, as SQL rounds doubles: half steps are told from x * 10^digits, where round goes by the shortest digits (333 / 640 is 0.5203125, but 520312.49999999994 millionths)."""
+    scale = F.lit(10.0**digits)
+    there = F.round(x * scale) / scale
+    return F.when(F.abs(there) < float("inf"), there).otherwise(x)
+
+
 def fixed(x: Column, digits: int) -> Column:
     """x with so many decimals, as C's printf rounds: by the double's own value (5.1815 lies below its half step), where format_string goes by its shortest digits."""
     shown = F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))

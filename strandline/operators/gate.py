@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
-from strandline.functions.stats import business_days
+from strandline.functions.stats import business_days, rounded
 from strandline.sources.panel import INDEX, MARKET
 
 
@@ -71,6 +71,6 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def restated(old: DataFrame, new: DataFrame, most: int = 10, cfg: Config = DEFAULT) -> DataFrame:
     """The largest changes of history beyond the tolerance."""
-    change = F.round(F.abs(F.col("r_new") - F.col("r_old")), 10)
+    change = rounded(F.abs(F.col("r_new") - F.col("r_old")), 10)
     rows = compared(old, new).withColumn("change", change).where(F.abs(F.col("r_new") - F.col("r_old")) > cfg.restate_tolerance)
     return rows.orderBy(F.desc("change"), "series_id", "date").limit(most)

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT
-from strandline.functions.stats import cagr, cents, order_index, years_between
+from strandline.functions.stats import cagr, cents, order_index, rounded, years_between
 from strandline.operators import gram
 
 
 def blend(returns: DataFrame, *by: str) -> DataFrame:
     """Equal weights over the series present that day; rounded at 10 decimals, null when none is."""
-    return returns.groupBy(*by, "pos", "date").agg(F.round(F.avg("r"), 10).alias("r"))
+    return returns.groupBy(*by, "pos", "date").agg(rounded(F.avg("r"), 10).alias("r"))
 
 
 def weighted_blend(returns: DataFrame, weights: DataFrame, *by: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
+from strandline.functions.stats import rounded
 
 ORDER = ["momentum_1d", "mean_reversion", "momentum_12m", "low_volatility", "buy_and_hold"]
 
@@ -52,7 +53,7 @@ def month_starts(calendar: DataFrame) -> DataFrame:
 def momentum_baskets(prices: DataFrame, calendar: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """month, first_pos, series_id, seen (the last day that the choice is made from): the best returns over momentum_days up to the day before the month."""
     past = F.lag("price", cfg.momentum_days).over(Window.partitionBy("series_id").orderBy("pos"))
-    scores = prices.withColumn("score", F.round(F.try_divide("price", past) - 1, 10)).where("score is not null")
+    scores = prices.withColumn("score", rounded(F.try_divide("price", past) - 1, 10)).where("score is not null")
     at = scores.withColumn("first_pos", F.col("pos") + 1).join(month_starts(calendar), "first_pos")
     return ranked(at, F.desc("score"), cfg.top_n, "month").select("month", "first_pos", "series_id", F.col("pos").alias("seen"))
 
@@ -60,7 +61,7 @@ def momentum_baskets(prices: DataFrame, calendar: DataFrame, cfg: Config = DEFAU
 def low_vol_baskets(returns: DataFrame, calendar: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """month, first_pos, series_id, seen: the least deviation over the low_vol_days rows before the month."""
     before = Window.partitionBy("series_id").orderBy("pos").rowsBetween(-cfg.low_vol_days, -1)
-    scores = returns.withColumns({"score": F.round(F.stddev_samp("r").over(before), 10), "n": F.count("r").over(before), "seen": F.max("pos").over(before)})
+    scores = returns.withColumns({"score": rounded(F.stddev_samp("r").over(before), 10), "n": F.count("r").over(before), "seen": F.max("pos").over(before)})
     scores = scores.where((F.col("pos") >= cfg.low_vol_days) & (F.col("n") >= int(cfg.low_vol_days * cfg.low_vol_coverage)) & F.col("score").isNotNull())
     at = scores.withColumnRenamed("pos", "first_pos").join(month_starts(calendar), "first_pos")
     return ranked(at, F.asc("score"), cfg.top_n, "month").select("month", "first_pos", "series_id", "seen")
@@ -133,11 +134,11 @@ def all_strategies(returns: DataFrame, prices: DataFrame, calendar: DataFrame, c
     # means of 6-digit returns often end in exactly half a step: those go up, whatever the last bit of the sum
     stepped = F.floor(F.col("r") * 1e6 + 0.500001) / 1e6
     rows = raw_strategies(returns, prices, calendar, cfg)
-    return rows.select("strategy_id", "pos", "date", stepped.alias("r"), F.when(F.col("r").isNotNull(), F.round("turnover", 4)).alias("turnover"))
+    return rows.select("strategy_id", "pos", "date", stepped.alias("r"), F.when(F.col("r").isNotNull(), rounded(F.col("turnover"), 4)).alias("turnover"))
 
 
 def holdings(baskets: DataFrame, most: int = DEFAULT.holdings) -> DataFrame:
     """series_id, months_held, fraction of months, of the most often held."""
     months = baskets.agg(F.countDistinct("month").alias("months"))
     counted = baskets.groupBy("series_id").agg(F.count("*").alias("months_held")).crossJoin(months)
-    return counted.orderBy(F.desc("months_held"), "series_id").limit(most).select("series_id", "months_held", F.round(F.col("months_held") / F.col("months"), 4).alias("fraction"))
+    return counted.orderBy(F.desc("months_held"), "series_id").limit(most).select("series_id", "months_held", rounded(F.col("months_held") / F.col("months"), 4).alias("fraction"))

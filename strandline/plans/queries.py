@@ -39,7 +39,7 @@ def query(f):
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(stats.rounded(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def dense(spark: SparkSession, sf_dir: str) -> Panel:
@@ -98,7 +98,7 @@ def s5_names(spark, sf_dir):
 @query
 def s4_long_history(spark, sf_dir):
     r = panel(spark, sf_dir, first=LONG_FIRST, last=LONG_LAST).returns
-    return r.groupBy("series_id").agg(F.min("date").alias("first"), F.max("pos").alias("last_pos"), F.count("r").alias("n"), F.round(F.sum("r"), 6).alias("total"))
+    return r.groupBy("series_id").agg(F.min("date").alias("first"), F.max("pos").alias("last_pos"), F.count("r").alias("n"), stats.rounded(F.sum("r"), 6).alias("total"))
 
 
 @query
@@ -720,7 +720,7 @@ def c12_hero_curve(spark, sf_dir):
 def n2_two_asset_min_variance(spark, sf_dir):
     stocks = gapped(spark, sf_dir).stocks()
     two = stocks.join(stocks.select("series_id").distinct().orderBy("series_id").limit(2), "series_id", "left_semi")
-    return optimize.portfolios(two, kinds=("min_variance",)).select("series_id", (F.round("w", 5) + 0.0).alias("w"))
+    return optimize.portfolios(two, kinds=("min_variance",)).select("series_id", (stats.rounded(F.col("w"), 5) + 0.0).alias("w"))
 
 
 @query
@@ -783,7 +783,7 @@ def _vintages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     r = dense(spark, sf_dir).returns
     old = r.where(F.col("date") <= F.lit(OLD_END)).where("series_id <> 'Brand#55'")
     shift = F.when(F.col("pos") % 97 == 13, 0.01).otherwise(0.0) + F.when((F.col("pos") % 53 == 7) & (F.col("date") > F.lit(OLD_END)), 0.5).otherwise(0.0)
-    new = r.where("series_id <> 'Brand#11'").withColumn("r", F.round(F.col("r") + shift, 6))
+    new = r.where("series_id <> 'Brand#11'").withColumn("r", stats.rounded(F.col("r") + shift, 6))
     return old, new.where("not (series_id = 'index:F' and pos % 61 = 5)")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT
+from strandline.functions.stats import rounded
 from strandline.sources.stored import once, stored
 
 MARKET = "market"
@@ -65,7 +66,7 @@ def simple_returns(prices: DataFrame) -> DataFrame:
 
 def with_returns(prices: DataFrame) -> DataFrame:
     before = F.lag("price").over(Window.partitionBy("series_id").orderBy("pos"))
-    return prices.withColumn("r", F.round(clean(F.try_divide("price", before) - 1), 6) + F.lit(0.0))
+    return prices.withColumn("r", rounded(clean(F.try_divide("price", before) - 1), 6) + F.lit(0.0))
 
 
 def enough_history(prices: DataFrame, share: float = DEFAULT.min_history) -> DataFrame:
