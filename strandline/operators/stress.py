@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.config import DEFAULT, Config
-from strandline.functions.stats import percent
 from strandline.operators import intervals, metrics, optimize
 
 
@@ -60,9 +59,9 @@ def optimized_weights(stocks: DataFrame, windows: DataFrame, cfg: Config = DEFAU
 
 
 def shown_weights(weights: DataFrame, *by: str, least: float = 0.005) -> DataFrame:
-    """keys, place, series_id, share (a whole percentage as text) of the weights of at least half a percent, the largest first."""
+    """keys, place, series_id, share (a whole percentage as text) of the weights of at least half a percent, the largest first; a half goes up, so none is shown as 0%."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("w"), "series_id"))
-    return weights.where(F.col("w") >= least).select(*by, place.alias("place"), "series_id", percent(F.col("w"), 0).alias("share"))
+    return weights.where(F.col("w") >= least).select(*by, place.alias("place"), "series_id", F.format_string("%.0f%%", F.col("w") * 100).alias("share"))
 
 
 def out_of_sample(stocks: DataFrame, weights: DataFrame, windows: DataFrame) -> DataFrame:
